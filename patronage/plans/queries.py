@@ -33,6 +33,17 @@ def ts_text(c) -> F.Column:
 MONEY4 = ("Monetary", "MaxOrderValue")
 
 
+def basket_display(monetary="Monetary", orders="TotalOrders") -> F.Column:
+    """Monetary / orders to 4 digits, half up, in exact integer arithmetic.
+
+    Monetary carries at most 4 true decimals, so ``m4`` is exact; rounding
+    the quotient as an integer keeps engine-specific float rounding of
+    exact ties (m / 2, m / 8, ...) out of the comparison."""
+    m4 = F.round(F.col(monetary) * 10000).cast("long")
+    n = F.col(orders).cast("long")
+    return F.floor((2 * m4 + n) / (2 * n)).cast("double") / 10000
+
+
 def feature_output(feat: DataFrame) -> DataFrame:
     cols = []
     for c in FT.OUTPUT_ORDER:
@@ -41,9 +52,7 @@ def feature_output(feat: DataFrame) -> DataFrame:
         elif c in MONEY4:
             cols.append(F.round(c, 4).alias(c))
         elif c == "AvgBasketSize":
-            # Monetary carries at most 4 true decimals; dividing the 4-digit
-            # value keeps float summation noise out of the rounding ties.
-            cols.append(F.round(F.round("Monetary", 4) / F.col("TotalOrders"), 6).alias(c))
+            cols.append(basket_display().alias(c))
         elif c in ("AvgQuantity", "PurchaseInterval", "WeekendRatio", "NightRatio",
                    "DiscountUsage", "ReturnRate"):
             cols.append(F.round(c, 6).alias(c))
@@ -64,3 +73,451 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_customer_features(spark, sf_dir):
     """Flagship: view -> clean -> A1 + A2."""
     return feature_output(features(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- shared inputs
+
+from patronage.functions import expr as E  # noqa: E402
+from patronage.operators import churn as L  # noqa: E402
+from patronage.operators import drift as R  # noqa: E402
+from patronage.operators import forecast as FC  # noqa: E402
+from patronage.operators import profile as P  # noqa: E402
+from patronage.sources import personas as PD  # noqa: E402
+
+TX_NUMERIC = ["Quantity", "UnitPrice", "DiscountPct"]
+
+
+def price_display(price="UnitPrice", qty="Quantity") -> F.Column:
+    """Unit price (a line total in cents over the quantity) to 6 digits,
+    half up, in exact integer arithmetic so exact ties (x / 32, ...) round
+    the same way in every engine."""
+    cents = F.round(F.col(price) * F.col(qty) * 100).cast("long")
+    q = F.col(qty).cast("long")
+    return F.floor((2 * cents * 10000 + q) / (2 * q)).cast("double") / 1_000_000
+
+
+def tx_output(df: DataFrame) -> DataFrame:
+    """Transaction rows for comparison: date as text, price to 6 digits."""
+    return df.select(
+        "InvoiceID", "CustomerID", ts_text("InvoiceDate").alias("InvoiceDate"), "ProductCategory",
+        "ProductID", "Quantity", price_display().alias("UnitPrice"), "DiscountPct",
+        "PaymentMethod", "Returned")
+
+
+def feat_seg(spark, sf_dir) -> DataFrame:
+    """Customer features with the data-given segment and region number."""
+    return features(spark, sf_dir).join(S.customer_segments(spark, sf_dir), "CustomerID", "left")
+
+
+def time_cut(tx: DataFrame) -> F.Column:
+    """Midpoint of the purchase period (lazy scalar)."""
+    b = tx.agg(F.struct(F.min("InvoiceDate").alias("lo"), F.max("InvoiceDate").alias("hi")).alias("b")).scalar()
+    return F.timestamp_micros(F.floor((F.unix_micros(b["lo"]) + F.unix_micros(b["hi"])) / 2).cast("long"))
+
+
+def halves(spark, sf_dir):
+    tx = cleaned(spark, sf_dir)
+    cut = time_cut(tx)
+    early = FT.build_customer_features(tx.filter(F.col("InvoiceDate") < cut))
+    late = FT.build_customer_features(tx.filter(F.col("InvoiceDate") >= cut))
+    return early, late
+
+
+def rnd(df: DataFrame, digits: int = 6, money: tuple = (), money_digits: int = 4) -> DataFrame:
+    """Round every double column (money columns to ``money_digits``)."""
+    out = []
+    for name, typ in df.dtypes:
+        if typ in ("double", "float"):
+            out.append(F.round(name, money_digits if name in money else digits).alias(name))
+        else:
+            out.append(F.col(name))
+    return df.select(*out)
+
+
+MONEY_FEATURES = ("Monetary", "MaxOrderValue", "AvgBasketSize", "TotalSales", "Sales", "y",
+                  "total_predicted")
+
+
+# ---------------------------------------------------------------- sources
+
+@register("transactions")
+def q_transactions(spark, sf_dir):
+    """S2 + W10: ten-column view ordered by invoice date."""
+    return tx_output(P.order_by_date(S.transactions(spark, sf_dir)))
+
+
+@register("tx_count")
+def q_tx_count(spark, sf_dir):
+    """S3: row count."""
+    return S.row_count(S.transactions(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- cleaning
+
+@register("clean_dedup")
+def q_clean_dedup(spark, sf_dir):
+    """The view appended to itself, then whole-row distinct."""
+    tx = S.transactions(spark, sf_dir)
+    return tx_output(C.drop_duplicates(tx.unionByName(tx)))
+
+
+@register("clean_cancelled")
+def q_clean_cancelled(spark, sf_dir):
+    """C2."""
+    return tx_output(C.drop_cancelled(S.transactions(spark, sf_dir)))
+
+
+@register("clean_customer")
+def q_clean_customer(spark, sf_dir):
+    """C3."""
+    return tx_output(C.drop_blank_customers(S.transactions(spark, sf_dir)))
+
+
+@register("clean_quantity")
+def q_clean_quantity(spark, sf_dir):
+    """C4."""
+    return tx_output(C.positive_quantity(S.transactions(spark, sf_dir)))
+
+
+@register("clean_data")
+def q_clean_data(spark, sf_dir):
+    """C5."""
+    return tx_output(cleaned(spark, sf_dir))
+
+
+@register("clean_outliers")
+def q_clean_outliers(spark, sf_dir):
+    """Sequential IQR fences on UnitPrice, Quantity, DiscountPct."""
+    return tx_output(C.handle_outliers(cleaned(spark, sf_dir), C.OUTLIER_COLUMNS))
+
+
+@register("features_fill_zero")
+def q_features_fill_zero(spark, sf_dir):
+    """Every customer of the dimension with its features, nulls -> 0."""
+    cust = S.customer_segments(spark, sf_dir).select("CustomerID")
+    f = features(spark, sf_dir).select("CustomerID", *FT.FEATURE_COLS)
+    filled = C.fill_zero(cust.join(f, "CustomerID", "left"), FT.FEATURE_COLS)
+    filled = filled.withColumn("AvgBasketSize", F.when(F.col("Frequency") > 0, basket_display("Monetary", "Frequency"))
+                               .otherwise(F.lit(0.0)))
+    return rnd(filled, money=MONEY_FEATURES)
+
+
+@register("segment_subset")
+def q_segment_subset(spark, sf_dir):
+    """Rows of one segment, flagged, with its share of customers."""
+    fs = feat_seg(spark, sf_dir)
+    sub = C.highlight(C.persona_subset(fs, "BUILDING", "Segment"), "BUILDING", "Segment")
+    share = fs.agg(F.avg((F.col("Segment") == "BUILDING").cast("double")) * 100).scalar()
+    return sub.select("CustomerID", "Segment", "highlight", F.round(share, 6).alias("share_pct"))
+
+
+# ---------------------------------------------------------------- expressions
+
+@register("line_expressions")
+def q_line_expressions(spark, sf_dir):
+    """Per line net revenue, weekend / night flags, month start
+    and end, weekday, hour, whole days to the reference date, capped qty."""
+    tx = cleaned(spark, sf_dir)
+    ref = FT.reference_date(tx)
+    return tx.select(
+        "InvoiceID", "ProductID", "Quantity", F.round(E.net_revenue(), 4).alias("NetRevenue"),
+        E.is_weekend().alias("IsWeekend"), E.is_night().alias("IsNight"),
+        E.month_start().alias("MonthStart"), E.month_end().alias("MonthEnd"),
+        E.day_of_week().alias("DayOfWeek"), E.hour_of_day().alias("Hour"),
+        E.whole_days(ref, F.col("InvoiceDate")).alias("DaysToRef"),
+        E.clip("Quantity", upper=20).alias("QtyCapped"))
+
+
+@register("persona_lookup")
+def q_persona_lookup(spark, sf_dir):
+    """Persona name from a cluster number (region number 0-4 here,
+    4 has no persona -> Unknown), broadcast join to the fixed dimension."""
+    fs = feat_seg(spark, sf_dir).select("CustomerID", F.col("RegionKey").alias("Cluster"))
+    return PD.attach_persona(fs, "Cluster").select("CustomerID", "Cluster", "Persona")
+
+
+@register("feature_hash")
+def q_feature_hash(spark, sf_dir):
+    """Change key per customer from the sorted feature values (text form)."""
+    f = features(spark, sf_dir)
+    cols = sorted(["Recency", "Frequency", "TotalQty", "ProductDiversity", "CategoryDiversity"])
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    return f.select("CustomerID", F.substring(F.sha2(text, 256), 1, 16).alias("feature_hash"))
+
+
+@register("friendly_sources")
+def q_friendly_sources(spark, sf_dir):
+    """Labels for every document source and page url."""
+    docs = S.read_table(spark, sf_dir, "documents").select(F.col("source").alias("src"))
+    pages = S.read_table(spark, sf_dir, "pages").select(F.col("url").alias("src"))
+    srcs = docs.unionByName(pages).distinct()
+    return srcs.select("src", E.friendly_source("src").alias("label"))
+
+
+@register("segment_profile_norm")
+def q_segment_profile_norm(spark, sf_dir):
+    """A3 + E12: mean features per segment, min-max normalised over segments."""
+    prof = P.cluster_profiles(feat_seg(spark, sf_dir), FT.FEATURE_COLS, "Segment")
+    long = prof.unpivot(["Segment"], FT.FEATURE_COLS, "feature", "mean")
+    rng = long.groupBy("feature").agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
+    out = long.join(F.broadcast(rng), "feature")
+    return out.select("Segment", "feature", F.round("mean", 4).alias("mean"),
+                      F.round(E.minmax_norm("mean", F.col("lo"), F.col("hi")), 6).alias("norm"))
+
+
+@register("recency_dates")
+def q_recency_dates(spark, sf_dir):
+    """Approximate last purchase date from Recency and a stated date."""
+    tx = cleaned(spark, sf_dir)
+    ref = F.to_date(FT.reference_date(tx))
+    f = FT.build_customer_features(tx)
+    return f.select("CustomerID", "Recency", E.recency_date("Recency", ref).alias("approx_last_purchase"))
+
+
+# ---------------------------------------------------------------- aggregations
+
+@register("segment_profiles")
+def q_segment_profiles(spark, sf_dir):
+    """A3: mean of each feature by segment."""
+    return rnd(P.cluster_profiles(feat_seg(spark, sf_dir), FT.FEATURE_COLS, "Segment"), money=MONEY_FEATURES)
+
+
+@register("payment_counts")
+def q_payment_counts(spark, sf_dir):
+    """A4: lines per payment method, descending."""
+    return P.value_counts(cleaned(spark, sf_dir), "PaymentMethod")
+
+
+@register("category_counts")
+def q_category_counts(spark, sf_dir):
+    """A4: lines per category."""
+    return P.value_counts(cleaned(spark, sf_dir), "ProductCategory")
+
+
+@register("returned_counts")
+def q_returned_counts(spark, sf_dir):
+    """A4: lines per returned flag."""
+    return P.value_counts(cleaned(spark, sf_dir), "Returned")
+
+
+@register("segment_counts")
+def q_segment_counts(spark, sf_dir):
+    """A4 + W9: customers per segment with their share."""
+    vc = P.value_counts(feat_seg(spark, sf_dir), "Segment")
+    return rnd(P.share_of_total(vc, "count", "share_pct"))
+
+
+@register("overview")
+def q_overview(spark, sf_dir):
+    """A5: customers, features, clusters (regions), personas (segments)."""
+    return P.overview(feat_seg(spark, sf_dir), FT.FEATURE_COLS, "RegionKey", "Segment")
+
+
+@register("null_counts")
+def q_null_counts(spark, sf_dir):
+    """Nulls per column of the raw view."""
+    return P.null_counts(S.transactions(spark, sf_dir))
+
+
+@register("data_quality")
+def q_data_quality(spark, sf_dir):
+    """Duplicates, distinct ids, bad quantities, cancelled invoices."""
+    return P.data_quality(S.transactions(spark, sf_dir))
+
+
+@register("describe_lines")
+def q_describe_lines(spark, sf_dir):
+    """Numeric summary of the cleaned lines."""
+    return rnd(P.describe(cleaned(spark, sf_dir), TX_NUMERIC), 4)
+
+
+@register("describe_features")
+def q_describe_features(spark, sf_dir):
+    """Numeric summary of the customer features."""
+    return rnd(P.describe(features(spark, sf_dir), FT.FEATURE_COLS), 4)
+
+
+@register("describe_text")
+def q_describe_text(spark, sf_dir):
+    """Count / unique / top / freq of the text columns."""
+    tx = cleaned(spark, sf_dir)
+    parts = [P.describe_strings(tx, c) for c in ("ProductCategory", "PaymentMethod", "ProductID", "CustomerID")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("customer_totals")
+def q_customer_totals(spark, sf_dir):
+    """A8 + E13: EDA totals per customer, order count capped at 20."""
+    t = P.customer_totals(cleaned(spark, sf_dir))
+    t = t.withColumn("OrderCountCapped", E.clip("OrderCount", upper=20))
+    return rnd(t, money=("TotalSales",))
+
+
+@register("histograms")
+def q_histograms(spark, sf_dir):
+    """Quantity and UnitPrice in 20 bins, DiscountPct in 15."""
+    tx = cleaned(spark, sf_dir)
+    parts = [P.histogram(tx, c, b).withColumn("column", F.lit(c))
+             for c, b in (("Quantity", 20), ("UnitPrice", 20), ("DiscountPct", 15))]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rnd(out)
+
+
+@register("box_summaries")
+def q_box_summaries(spark, sf_dir):
+    """A10: five-number summary and outlier count per column."""
+    tx = cleaned(spark, sf_dir)
+    parts = [P.box_summary(tx, c) for c in TX_NUMERIC]
+    return rnd(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@register("correlation_lines")
+def q_correlation_lines(spark, sf_dir):
+    """Pearson matrix of the numeric line columns."""
+    return rnd(P.correlation_matrix(cleaned(spark, sf_dir), TX_NUMERIC))
+
+
+@register("correlation_features")
+def q_correlation_features(spark, sf_dir):
+    """Pearson matrix of the 14 features."""
+    return rnd(P.correlation_matrix(features(spark, sf_dir), FT.FEATURE_COLS))
+
+
+@register("orders_by_weekday")
+def q_orders_by_weekday(spark, sf_dir):
+    """Lines per weekday, zero filled."""
+    return P.orders_by_weekday(cleaned(spark, sf_dir))
+
+
+@register("orders_by_hour")
+def q_orders_by_hour(spark, sf_dir):
+    """Lines per hour."""
+    return P.orders_by_hour(cleaned(spark, sf_dir))
+
+
+@register("monthly_sales")
+def q_monthly_sales(spark, sf_dir):
+    """Sales and distinct orders per month."""
+    return rnd(P.monthly_sales(cleaned(spark, sf_dir)), money=("Sales",))
+
+
+def tx_segment(spark, sf_dir) -> DataFrame:
+    """Lines with the customer's segment (left join; missing -> null)."""
+    seg = S.customer_segments(spark, sf_dir).select("CustomerID", "Segment")
+    return cleaned(spark, sf_dir).join(seg, "CustomerID", "left")
+
+
+@register("tx_segment")
+def q_tx_segment(spark, sf_dir):
+    """Every cleaned line with its customer's segment."""
+    return tx_segment(spark, sf_dir).select("InvoiceID", "CustomerID", "ProductID", "Quantity", "Segment")
+
+
+@register("monthly_segment_revenue")
+def q_monthly_segment_revenue(spark, sf_dir):
+    """A14 + E6: monthly revenue per segment, zero filled, > 3 months."""
+    return rnd(P.monthly_by_group(tx_segment(spark, sf_dir), "Segment"), money=("y",))
+
+
+@register("headline")
+def q_headline(spark, sf_dir):
+    """Headline figures of the raw view."""
+    h = P.headline(S.transactions(spark, sf_dir))
+    return rnd(h.withColumn("first_date", ts_text("first_date")).withColumn("last_date", ts_text("last_date")))
+
+
+@register("churn_labels")
+def q_churn_labels(spark, sf_dir):
+    """L1: churn label per customer."""
+    return L.prepare_churn_labels(features(spark, sf_dir)).select("CustomerID", "Recency", "Frequency", "ChurnLabel")
+
+
+@register("churn_share")
+def q_churn_share(spark, sf_dir):
+    """Share of churn labels."""
+    return rnd(P.label_share(L.prepare_churn_labels(features(spark, sf_dir))))
+
+
+@register("recency_ranking_metrics")
+def q_recency_ranking_metrics(spark, sf_dir):
+    """L4 + L5: ROC-AUC and average precision of Recency as a churn score."""
+    lab = L.prepare_churn_labels(features(spark, sf_dir))
+    scored = lab.select(F.col("ChurnLabel").alias("label"), F.col("Recency").cast("double").alias("score"))
+    return rnd(L.ranking_metrics(scored))
+
+
+@register("segment_forecast")
+def q_segment_forecast(spark, sf_dir):
+    """F1 + F3: linear forecast of monthly revenue per segment."""
+    return FC.forecast_all(tx_segment(spark, sf_dir), "Segment")
+
+
+@register("segment_forecast_tail")
+def q_segment_forecast_tail(spark, sf_dir):
+    """Last 3 months of each segment's series."""
+    series = P.monthly_by_group(tx_segment(spark, sf_dir), "Segment")
+    return rnd(P.tail_per_group(series, "Segment", "ds", 3), money=("y",))
+
+
+@register("forecast_summary")
+def q_forecast_summary(spark, sf_dir):
+    """Total predicted, first lower, last upper per segment."""
+    return rnd(P.forecast_summary(FC.forecast_all(tx_segment(spark, sf_dir), "Segment"), "Segment"), 2)
+
+
+@register("top_products")
+def q_top_products(spark, sf_dir):
+    """Top 10 products by summed price (ties by id)."""
+    return rnd(P.top_n(cleaned(spark, sf_dir), "ProductID", "UnitPrice", 10), 4)
+
+
+@register("category_sales")
+def q_category_sales(spark, sf_dir):
+    """Categories by summed price."""
+    tx = cleaned(spark, sf_dir)
+    return rnd(tx.groupBy("ProductCategory").agg(F.sum("UnitPrice").alias("sum_UnitPrice")), 4)
+
+
+@register("head_lines")
+def q_head_lines(spark, sf_dir):
+    """First 10 lines in a full order."""
+    tx = tx_output(cleaned(spark, sf_dir))
+    return P.head(tx, ["InvoiceDate", "InvoiceID", "ProductID", "Quantity", "UnitPrice", "DiscountPct",
+                       "Returned"], 10)
+
+
+# ---------------------------------------------------------------- drift
+
+@register("drift_features")
+def q_drift_features(spark, sf_dir):
+    """Drift per feature between customers' early and late halves."""
+    early, late = halves(spark, sf_dir)
+    return R.detect_drift(early, late, FT.FEATURE_COLS)
+
+
+@register("drift_overall")
+def q_drift_overall(spark, sf_dir):
+    """Overall drift row."""
+    early, late = halves(spark, sf_dir)
+    return R.drift_overall(R.detect_drift(early, late, FT.FEATURE_COLS))
+
+
+# ---------------------------------------------------------------- persona dimension
+
+@register("persona_summary")
+def q_persona_summary(spark, sf_dir):
+    """Cluster, Persona, Description export, every customer region
+    counted against it (regions without a persona are left out)."""
+    fs = feat_seg(spark, sf_dir).groupBy(F.col("RegionKey").alias("Cluster")).agg(F.count(F.lit(1)).alias("n"))
+    return PD.persona_summary(spark).join(fs, "Cluster", "left")
+
+
+@register("persona_recommendations")
+def q_persona_recommendations(spark, sf_dir):
+    """Persona x recommendation rows with each region's customer count."""
+    fs = PD.attach_persona(feat_seg(spark, sf_dir).select(F.col("RegionKey").alias("Cluster")), "Cluster")
+    counts = fs.groupBy("Persona").agg(F.count(F.lit(1)).alias("n_customers"))
+    return PD.recommendations_long(spark).join(counts, "Persona", "left")

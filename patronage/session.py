@@ -20,6 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -61,3 +62,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the shared checkpoint folder (survives
+    executor loss, unlike a local checkpoint) and read it back."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
