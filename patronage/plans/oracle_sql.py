@@ -501,3 +501,22 @@ SELECT count(*) AS features_checked, count(*) FILTER (WHERE drift_detected) AS f
        count(*) FILTER (WHERE drift_detected) > 0 AS drift_detected,
        round(count(*) FILTER (WHERE drift_detected) / greatest(count(*), 1), 4) AS drift_ratio
 FROM drift"""
+
+ORACLE["document_chunks"] = """
+WITH d AS (SELECT doc_id, text, source, lang,
+                  CAST(greatest(1, ceil((length(text) - 200) / 800)) AS BIGINT) AS n
+           FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, source, lang, CAST(i AS INTEGER) AS chunk_no, substring(text, CAST(i * 800 + 1 AS BIGINT), 1000) AS content
+      FROM d, unnest(generate_series(0, n - 1)) AS t(i))
+SELECT doc_id, chunk_no, source, lang, length(content) AS n_chars, md5(content) AS content_md5 FROM c"""
+
+ORACLE["label_centroid_neighbours"] = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ex AS (SELECT label, unnest(generate_series(1, len(v))) AS pos, unnest(v) AS x FROM e),
+cent AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM ex GROUP BY 1, 2) GROUP BY 1),
+sims AS (SELECT c.label, e.vec_id,
+                list_dot_product(e.v, c.c) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.c, c.c))) AS sim
+         FROM cent c, e),
+ranked AS (SELECT label, vec_id, sim, row_number() OVER (PARTITION BY label ORDER BY round(sim, 9) DESC, vec_id) AS rank
+           FROM sims)
+SELECT label, vec_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 20"""

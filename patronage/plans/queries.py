@@ -521,3 +521,55 @@ def q_persona_recommendations(spark, sf_dir):
     fs = PD.attach_persona(feat_seg(spark, sf_dir).select(F.col("RegionKey").alias("Cluster")), "Cluster")
     counts = fs.groupBy("Persona").agg(F.count(F.lit(1)).alias("n_customers"))
     return PD.recommendations_long(spark).join(counts, "Persona", "left")
+
+
+# ---------------------------------------------------------------- retrieval
+
+from patronage.operators import retrieve as T  # noqa: E402
+
+
+@register("document_chunks")
+def q_document_chunks(spark, sf_dir):
+    """1000-character windows with 200 overlap over every whole document."""
+    docs = S.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    ch = T.chunk_documents(docs, "text")
+    return ch.select("doc_id", "chunk_no", "source", "lang", F.length("content").alias("n_chars"),
+                     F.md5("content").alias("content_md5"))
+
+
+@register("label_centroid_neighbours")
+def q_label_centroid_neighbours(spark, sf_dir):
+    """The 20 stored vectors closest (cosine) to each label's centroid."""
+    vecs = S.read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    cent = T.label_centroids(vecs, "label", "embedding")
+    top = T.nearest(vecs, cent, 20, id_col="vec_id", qid_col="label")
+    return top.select("label", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def retrieval_hits(spark, sf_dir):
+    """Benchmark items as questions over the document chunks."""
+    docs = S.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    chunks = T.chunk_documents(docs, "text").withColumn(
+        "chunk_id", F.col("doc_id") * 100000 + F.col("chunk_no"))
+    model = T.fit_embedder(chunks, "content")
+    cvec = T.embed(model, chunks)
+    bench = S.read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"),
+                                                           F.col("text").alias("content"))
+    qvec = T.embed(model, bench)
+    top = T.nearest(cvec, qvec, T.FETCH_K, id_col="chunk_id", qid_col="qid")
+    cand = top.join(cvec.select("chunk_id", "embedding", "source", "doc_id"), "chunk_id")
+    picked = T.mmr(cand.select("qid", "chunk_id", "embedding"), qvec, T.MMR_K, T.MMR_LAMBDA, "chunk_id", "qid")
+    return picked.join(cand.select("qid", "chunk_id", "source", "doc_id"), ["qid", "chunk_id"])
+
+
+@register("benchmark_retrieval")
+def q_benchmark_retrieval(spark, sf_dir):
+    """Top-20 by TF-IDF cosine, MMR to 6 per benchmark question."""
+    return retrieval_hits(spark, sf_dir).select("qid", "mmr_rank", "chunk_id", "doc_id",
+                                                F.round("relevance", 6).alias("relevance"))
+
+
+@register("benchmark_sources")
+def q_benchmark_sources(spark, sf_dir):
+    """T5: cited source labels per benchmark question."""
+    return T.cited_sources(retrieval_hits(spark, sf_dir), "qid", "source")
