@@ -45,3 +45,20 @@ def running_totals(counts: DataFrame, keys: list[str], order_col: str, measures:
     out = joined.select(*counts.columns, *[
         (F.col(f"__o_{m}") + F.sum(m).over(wb)).alias(f"{prefix}{m}") for m in measures])
     return out
+
+
+def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int = DEFAULT_BUCKETS):
+    """Interpolated quantile (pandas / numpy ``linear``) without a single
+    aggregation buffer: values are counted per distinct value (a shuffle by
+    value), ranked with ``running_totals``, and the two order statistics
+    around rank (n-1)p are picked by filtered minimums. Returns a lazy
+    scalar Column."""
+    counts = (df.filter(F.col(col).isNotNull())
+                .groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    cum = running_totals(counts, [], "v", ["c"], n_buckets)
+    n = counts.agg(F.sum("c")).scalar()
+    h = (n - 1) * F.lit(p)
+    lo, hi = F.floor(h), F.ceil(h)
+    v = cum.agg(F.struct(F.min(F.when(F.col("cum_c") >= lo + 1, F.col("v"))).alias("a"),
+                         F.min(F.when(F.col("cum_c") >= hi + 1, F.col("v"))).alias("b")).alias("s")).scalar()
+    return v["a"] + (h - lo) * (v["b"] - v["a"])
