@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.expr import risk_band
+from patronage.functions.scalars import stats_row
 from patronage.operators.ordered import running_totals
 
 # Default churn training columns, split and forest settings.
@@ -25,9 +26,10 @@ FOREST = dict(numTrees=200, maxDepth=8, minInstancesPerNode=10)
 
 def prepare_churn_labels(df: DataFrame, recency="Recency", frequency="Frequency") -> DataFrame:
     """L1: 1 when Recency > its 75th percentile and Frequency <= its 25th."""
-    q = df.agg(F.struct(F.percentile(F.col(recency).cast("double"), 0.75).alias("r"),
-                        F.percentile(F.col(frequency).cast("double"), 0.25).alias("f")).alias("q")).scalar()
-    return df.withColumn("ChurnLabel", ((F.col(recency) > q["r"]) & (F.col(frequency) <= q["f"])).cast("int"))
+    q = stats_row(df.agg(F.percentile(F.col(recency).cast("double"), 0.75).alias("r"),
+                         F.percentile(F.col(frequency).cast("double"), 0.25).alias("f")))
+    return df.withColumn("ChurnLabel", ((F.col(recency) > F.lit(q["r"])) & (F.col(frequency) <= F.lit(q["f"])))
+                         .cast("int"))
 
 
 def stratified_split(df: DataFrame, label="ChurnLabel", id_col="CustomerID", test_size=TEST_SIZE,
@@ -41,10 +43,10 @@ def stratified_split(df: DataFrame, label="ChurnLabel", id_col="CustomerID", tes
 
 def class_weights(df: DataFrame, label="ChurnLabel") -> DataFrame:
     """Balanced weight n / (2 * n_class) as a column."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    n_pos = df.agg(F.sum(F.col(label))).scalar()
-    n_cls = F.when(F.col(label) == 1, n_pos).otherwise(n - n_pos)
-    return df.withColumn("class_weight", n / (2.0 * n_cls))
+    t = stats_row(df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label)).alias("p")))
+    n, n_pos = float(t["n"]), float(t["p"] or 0)
+    n_cls = F.when(F.col(label) == 1, F.lit(n_pos)).otherwise(F.lit(n - n_pos))
+    return df.withColumn("class_weight", F.lit(n) / (2.0 * n_cls))
 
 
 def train_churn_model(features: DataFrame, feature_cols: list[str] | None = None, id_col="CustomerID"):
@@ -81,9 +83,10 @@ def roc_auc(scored: DataFrame, label="label", score="score") -> DataFrame:
     """L4: exact ROC-AUC (Mann-Whitney, tied scores count one half)."""
     g = score_groups(scored, label, score)
     cum = running_totals(g, [], "score", ["neg"])
-    tot = g.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
+    t = stats_row(g.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))
     below = F.col("cum_neg") - F.col("neg")
-    return cum.agg((F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))) / (tot["p"] * tot["n"])).alias("roc_auc"))
+    return cum.agg((F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))) / F.lit(float(t["p"] * t["n"])))
+                   .alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, label="label", score="score") -> DataFrame:
@@ -91,15 +94,16 @@ def average_precision(scored: DataFrame, label="label", score="score") -> DataFr
     low) of recall increment x precision at that threshold."""
     g = score_groups(scored, label, score)
     cum = running_totals(g, [], "score", ["pos", "neg"], descending=True)
-    p_total = g.agg(F.sum("pos")).scalar()
+    p_total = F.lit(float(stats_row(g.agg(F.sum("pos").alias("p")))["p"]))
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     return cum.agg((F.sum(F.col("pos") * prec) / p_total).alias("avg_precision"))
 
 
 def ranking_metrics(scored: DataFrame, label="label", score="score") -> DataFrame:
-    auc = roc_auc(scored, label, score).scalar()
-    ap = average_precision(scored, label, score).scalar()
-    return scored.sparkSession.range(1).select(auc.alias("roc_auc"), ap.alias("avg_precision"))
+    auc = roc_auc(scored, label, score).first()[0]
+    ap = average_precision(scored, label, score).first()[0]
+    return scored.sparkSession.range(1).select(F.lit(auc).cast("double").alias("roc_auc"),
+                                               F.lit(ap).cast("double").alias("avg_precision"))
 
 
 def feature_importances(model, cols: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patronage.functions.scalars import stats_row
+
 OUTLIER_COLUMNS = ["UnitPrice", "Quantity", "DiscountPct"]
 WHITESPACE_EDGES = r"^\s+|\s+$"
 
@@ -45,7 +47,7 @@ def clean_data(df: DataFrame) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, c: str, k: float = 1.5, exact: bool = True,
                accuracy: int = 100_000):
-    """Lazy (lo, hi) fence columns for ``c`` as scalar subqueries.
+    """(lo, hi) fence literals for ``c`` (one aggregation, two numbers).
 
     ``exact`` uses the interpolated percentile (pandas ``quantile``,
     DuckDB ``quantile_cont``); its buffer is one entry per distinct value.
@@ -57,9 +59,8 @@ def iqr_bounds(df: DataFrame, c: str, k: float = 1.5, exact: bool = True,
         q = F.percentile(x, [0.25, 0.75])
     else:
         q = F.percentile_approx(x, [0.25, 0.75], accuracy).cast("array<double>")
-    bounds = df.agg(F.struct((q[0] - k * (q[1] - q[0])).alias("lo"),
-                             (q[1] + k * (q[1] - q[0])).alias("hi")).alias("b")).scalar()
-    return bounds["lo"], bounds["hi"]
+    b = stats_row(df.agg((q[0] - k * (q[1] - q[0])).alias("lo"), (q[1] + k * (q[1] - q[0])).alias("hi")))
+    return F.lit(b["lo"]), F.lit(b["hi"])
 
 
 def handle_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 1.5,

@@ -11,6 +11,8 @@ values, so a hot value is a single row and the work spreads over
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +53,14 @@ def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int = DEFAULT_B
     """Interpolated quantile (pandas / numpy ``linear``) without a single
     aggregation buffer: values are counted per distinct value (a shuffle by
     value), ranked with ``running_totals``, and the two order statistics
-    around rank (n-1)p are picked by filtered minimums. Returns a lazy
-    scalar Column."""
+    around rank (n-1)p are picked by filtered minimums. Returns a literal
+    Column."""
     counts = (df.filter(F.col(col).isNotNull())
                 .groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
     cum = running_totals(counts, [], "v", ["c"], n_buckets)
-    n = counts.agg(F.sum("c")).scalar()
-    h = (n - 1) * F.lit(p)
-    lo, hi = F.floor(h), F.ceil(h)
-    v = cum.agg(F.struct(F.min(F.when(F.col("cum_c") >= lo + 1, F.col("v"))).alias("a"),
-                         F.min(F.when(F.col("cum_c") >= hi + 1, F.col("v"))).alias("b")).alias("s")).scalar()
-    return v["a"] + (h - lo) * (v["b"] - v["a"])
+    n = counts.agg(F.sum("c")).first()[0] or 0
+    h = (n - 1) * p
+    lo, hi = math.floor(h), math.ceil(h)
+    v = cum.agg(F.min(F.when(F.col("cum_c") >= lo + 1, F.col("v"))).alias("a"),
+                F.min(F.when(F.col("cum_c") >= hi + 1, F.col("v"))).alias("b")).first()
+    return F.lit(v["a"] + (h - lo) * (v["b"] - v["a"]))

@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patronage.functions.scalars import stats_row
+
 # Selection settings and the kept feature names.
 CORRELATION_THRESHOLD = 0.85
 VARIANCE_THRESHOLD = 0.01
@@ -26,21 +28,24 @@ TIE_REL = 1e-9
 
 def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """M1: (x - mean) / population std; a constant column becomes 0."""
-    st = df.agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c)
-                           for c in cols]).alias("st")).scalar()
-    return df.withColumns({
-        c: F.when(st[c]["s"] > 0, (F.col(c) - st[c]["m"]) / st[c]["s"]).otherwise(F.col(c) - st[c]["m"])
-        for c in cols})
+    st = stats_row(df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                           *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]))
+    out = {}
+    for i, c in enumerate(cols):
+        m, s = F.lit(st[f"m{i}"]).cast("double"), st[f"s{i}"]
+        out[c] = (F.col(c) - m) / F.lit(s) if s else F.col(c) - m
+    return df.withColumns(out)
 
 
 def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """M2: (x - median) / IQR (IQR 0 -> divide by 1)."""
-    st = df.agg(F.struct(*[F.percentile(F.col(c).cast("double"), [0.25, 0.5, 0.75]).alias(c)
-                           for c in cols]).alias("q")).scalar()
+    st = stats_row(df.agg(*[F.percentile(F.col(c).cast("double"), [0.25, 0.5, 0.75]).alias(f"q{i}")
+                           for i, c in enumerate(cols)]))
     out = {}
-    for c in cols:
-        iqr = st[c][2] - st[c][0]
-        out[c] = (F.col(c) - st[c][1]) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)
+    for i, c in enumerate(cols):
+        q1, med, q3 = st[f"q{i}"]
+        iqr = (q3 - q1) or 1.0
+        out[c] = (F.col(c) - F.lit(med)) / F.lit(iqr)
     return df.withColumns(out)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.functions import expr as E
+from patronage.functions.scalars import stats_row
 
 
 def cluster_profiles(df: DataFrame, cols: list[str], by: str = "Cluster") -> DataFrame:
@@ -99,9 +100,9 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """``bins`` equal-width bins over [min, max]; the last bin is closed.
     A constant column uses [x - 0.5, x + 0.5]. Empty bins count 0."""
     x = F.col(col).cast("double")
-    rng = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("r")).scalar()
-    lo = F.when(rng["hi"] > rng["lo"], rng["lo"]).otherwise(rng["lo"] - 0.5)
-    hi = F.when(rng["hi"] > rng["lo"], rng["hi"]).otherwise(rng["hi"] + 0.5)
+    r = stats_row(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")))
+    lo_v, hi_v = (r["lo"], r["hi"]) if r["hi"] > r["lo"] else (r["lo"] - 0.5, r["hi"] + 0.5)
+    lo, hi = F.lit(float(lo_v)), F.lit(float(hi_v))
     idx = F.least(F.floor((x - lo) * F.lit(bins) / (hi - lo)), F.lit(bins - 1)).cast("int")
     counts = df.filter(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -117,7 +118,7 @@ def box_summary(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """A10: quartiles, whiskers (most extreme points inside the 1.5 IQR
     fences) and the number of points outside the fences."""
     x = F.col(col).cast("double")
-    q = df.agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("q")).scalar()
+    q = [F.lit(v) for v in stats_row(df.agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("q")))["q"]]
     iqr = q[2] - q[0]
     lo_f, hi_f = q[0] - k * iqr, q[2] + k * iqr
     return df.agg(

@@ -520,3 +520,107 @@ sims AS (SELECT c.label, e.vec_id,
 ranked AS (SELECT label, vec_id, sim, row_number() OVER (PARTITION BY label ORDER BY round(sim, 9) DESC, vec_id) AS rank
            FROM sims)
 SELECT label, vec_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 20"""
+
+_SC = FEATURES + """,
+st AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEAT_COLS) + """ FROM feat),
+sc AS (SELECT f.CustomerID, """ + ", ".join(
+    f"CASE WHEN s_{c} > 0 THEN (f.{c} - m_{c}) / s_{c} ELSE f.{c} - m_{c} END AS {c}" for c in FEAT_COLS) + """
+       FROM feat f, st)"""
+ORACLE["scaled_features"] = with_(_SC) + "SELECT CustomerID, " + ", ".join(
+    f"round({c}, 6) AS {c}" for c in FEAT_COLS) + " FROM sc"
+
+_RB = FEATURES + """,
+rq AS (SELECT """ + ", ".join(
+    f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS a_{c}, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m_{c}, "
+    f"quantile_cont(CAST({c} AS DOUBLE), 0.75) AS b_{c}" for c in FEAT_COLS) + " FROM feat)"
+ORACLE["robust_scaled_features"] = with_(_RB) + "SELECT CustomerID, " + ", ".join(
+    f"round((f.{c} - m_{c}) / CASE WHEN b_{c} - a_{c} = 0 THEN 1.0 ELSE b_{c} - a_{c} END, 6) AS {c}"
+    for c in FEAT_COLS) + " FROM feat f, rq"
+
+
+def _drop_sql(src: str) -> str:
+    parts = []
+    for i, a in enumerate(FEAT_COLS):
+        for b in FEAT_COLS[i + 1:]:
+            parts.append(f"""SELECT CASE WHEN abs(var_samp({a}) - var_samp({b})) <= 1e-9 * greatest(abs(var_samp({a})), abs(var_samp({b})))
+                 THEN '{a}' WHEN var_samp({b}) < var_samp({a}) THEN '{b}' ELSE '{a}' END AS feature
+FROM {src} HAVING abs(corr({a}, {b})) > 0.85""")
+    return "SELECT DISTINCT feature FROM (" + "\nUNION ALL\n".join(parts) + ")"
+
+
+ORACLE["correlated_drop"] = with_(_SC) + _drop_sql("sc")
+ORACLE["variance_selection"] = with_(FEATURES) + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, printf('%.9e', var_pop(CAST({c} AS DOUBLE))) AS variance, "
+    f"var_pop(CAST({c} AS DOUBLE)) > 0.01 AS kept FROM feat" for c in FEAT_COLS)
+_KEEP = ["Recency", "Frequency", "Monetary", "AvgBasketSize", "PurchaseInterval", "WeekendRatio",
+         "NightRatio", "DiscountUsage", "ReturnRate", "ProductDiversity"]
+ORACLE["final_features"] = with_(_SC, "dropped AS (" + _drop_sql("sc") + ")") + """
+SELECT feature FROM (VALUES """ + ", ".join(f"('{c}')" for c in _KEEP) + """) AS t(feature)
+WHERE feature NOT IN (SELECT feature FROM dropped) OR feature IN ('Recency', 'Frequency', 'Monetary')"""
+
+_SCR = _SC + ",\n" + SEGMENTS.strip() + """,
+scr AS (SELECT s.*, g.RegionKey FROM sc s LEFT JOIN seg g USING (CustomerID)),
+pd AS (SELECT a.CustomerID AS ia, a.RegionKey AS la, b.CustomerID AS ib, b.RegionKey AS lb,
+              sqrt(""" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in FEAT_COLS) + """) AS d
+       FROM scr a, scr b)"""
+ORACLE["silhouette_regions"] = with_(_SCR) + """,
+sizes AS (SELECT RegionKey AS l, count(*) AS n FROM scr GROUP BY 1),
+pm AS (SELECT ia, la, lb, sum(d) AS s FROM pd GROUP BY 1, 2, 3),
+ab AS (SELECT p.ia, p.la,
+              max(CASE WHEN p.lb = p.la THEN p.s / greatest(z.n - 1, 1) END) AS a,
+              min(CASE WHEN p.lb <> p.la THEN p.s / z.n END) AS b,
+              max(CASE WHEN p.lb = p.la THEN z.n END) AS own
+       FROM pm p JOIN sizes z ON p.lb = z.l GROUP BY 1, 2)
+SELECT ia AS CustomerID, la AS RegionKey,
+       round(CASE WHEN own > 1 THEN (b - a) / greatest(a, b) ELSE 0.0 END, 6) AS silhouette FROM ab"""
+
+ORACLE["intra_inter_regions"] = with_(_SCR) + """,
+sizes AS (SELECT RegionKey AS l, count(*) AS n FROM scr GROUP BY 1),
+intra AS (SELECT la, avg(d) AS intra FROM pd WHERE la = lb AND d > 0 GROUP BY 1),
+inter AS (SELECT avg(m) AS inter_mean FROM (SELECT la, lb, avg(d) AS m FROM pd WHERE la < lb GROUP BY 1, 2))
+SELECT CAST(row_number() OVER (ORDER BY la) - 1 AS INTEGER) AS pos, round(intra, 6) AS intra,
+       round((SELECT inter_mean FROM inter), 6) AS inter_mean FROM intra"""
+
+ORACLE["davies_bouldin_regions"] = with_(_SC + ",\n" + SEGMENTS.strip() + """,
+scr AS (SELECT s.*, g.RegionKey FROM sc s LEFT JOIN seg g USING (CustomerID)),
+cen AS (SELECT RegionKey, """ + ", ".join(f"avg({c}) AS {c}" for c in FEAT_COLS) + """ FROM scr GROUP BY 1),
+sp AS (SELECT s.RegionKey, avg(sqrt(""" + " + ".join(f"pow(s.{c} - c.{c}, 2)" for c in FEAT_COLS) + """)) AS si
+       FROM scr s JOIN cen c USING (RegionKey) GROUP BY 1),
+rr AS (SELECT a.RegionKey AS i, max((sa.si + sb.si) / sqrt(""" + " + ".join(
+    f"pow(a.{c} - b.{c}, 2)" for c in FEAT_COLS) + """)) AS r
+       FROM cen a JOIN cen b ON a.RegionKey <> b.RegionKey JOIN sp sa ON sa.RegionKey = a.RegionKey
+       JOIN sp sb ON sb.RegionKey = b.RegionKey GROUP BY 1)""") + "SELECT round(avg(r), 6) AS davies_bouldin FROM rr"
+
+ORACLE["ari_region_segment"] = with_(FS.removeprefix("WITH ")) + """,
+cont AS (SELECT RegionKey, Segment, count(*) AS nij FROM fs GROUP BY 1, 2),
+sa AS (SELECT sum(ai * (ai - 1) / 2.0) AS sa FROM (SELECT sum(nij) AS ai FROM cont GROUP BY RegionKey)),
+sb AS (SELECT sum(bj * (bj - 1) / 2.0) AS sb FROM (SELECT sum(nij) AS bj FROM cont GROUP BY Segment)),
+sij AS (SELECT sum(nij * (nij - 1) / 2.0) AS sij, sum(nij) AS n FROM cont)
+SELECT round(CASE WHEN (sa + sb) / 2.0 = sa * sb / (n * (n - 1) / 2.0) THEN 1.0
+            ELSE (sij - sa * sb / (n * (n - 1) / 2.0)) / ((sa + sb) / 2.0 - sa * sb / (n * (n - 1) / 2.0)) END, 6) AS ari
+FROM sa, sb, sij"""
+
+ORACLE["kafka_records"] = with_(CLEAN) + """
+SELECT CustomerID AS key, to_json(struct_pack(invoice_id := InvoiceID, customer_id := CustomerID,
+       invoice_date := strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S'), product_category := ProductCategory,
+       product_id := ProductID, quantity := Quantity, unit_price := UnitPrice, discount_pct := DiscountPct,
+       payment_method := PaymentMethod, returned := Returned))::VARCHAR AS value FROM clean"""
+
+_EARLY = CLEAN + """,
+cutv AS (SELECT make_timestamp(CAST(floor((epoch_us(min(InvoiceDate)) + epoch_us(max(InvoiceDate))) / 2) AS BIGINT))
+                AS cut FROM clean),
+early AS (SELECT c.* FROM clean c, cutv WHERE c.InvoiceDate < cutv.cut),
+""" + feature_ctes("early", "e_") + ",\n" + FEATURES[len(CLEAN):].lstrip(",\n")
+ORACLE["write_clusters"] = with_(_EARLY, SEGMENTS, PERSONAS_SQL.strip()) + """
+SELECT f.CustomerID AS customer_id,
+       CASE WHEN a.CustomerID IS NOT NULL THEN a.RegionKey END AS cluster,
+       CASE WHEN a.CustomerID IS NOT NULL THEN coalesce(p.Persona, 'Unknown') END AS persona,
+       CASE WHEN a.CustomerID IS NOT NULL THEN '2001-09-01 00:00:00' END AS updated_at
+FROM e_feat f
+LEFT JOIN (SELECT x.CustomerID, s.RegionKey FROM feat x LEFT JOIN seg s USING (CustomerID)) a USING (CustomerID)
+LEFT JOIN pdim p ON a.RegionKey = p.Cluster"""
+ORACLE["upsert_counts"] = with_(_EARLY) + """
+SELECT count(*) FILTER (WHERE e.CustomerID IS NULL) AS inserted,
+       count(*) FILTER (WHERE e.CustomerID IS NOT NULL AND f.CustomerID IS NOT NULL) AS updated,
+       count(*) AS total
+FROM e_feat e FULL OUTER JOIN feat f USING (CustomerID)"""

@@ -111,8 +111,9 @@ def feat_seg(spark, sf_dir) -> DataFrame:
 
 def time_cut(tx: DataFrame) -> F.Column:
     """Midpoint of the purchase period (lazy scalar)."""
-    b = tx.agg(F.struct(F.min("InvoiceDate").alias("lo"), F.max("InvoiceDate").alias("hi")).alias("b")).scalar()
-    return F.timestamp_micros(F.floor((F.unix_micros(b["lo"]) + F.unix_micros(b["hi"])) / 2).cast("long"))
+    b = tx.agg(F.floor((F.unix_micros(F.min("InvoiceDate")) + F.unix_micros(F.max("InvoiceDate"))) / 2)
+               .cast("long").alias("m")).first()
+    return F.timestamp_micros(F.lit(b["m"]))
 
 
 def halves(spark, sf_dir):
@@ -573,3 +574,157 @@ def q_benchmark_retrieval(spark, sf_dir):
 def q_benchmark_sources(spark, sf_dir):
     """T5: cited source labels per benchmark question."""
     return T.cited_sources(retrieval_hits(spark, sf_dir), "qid", "source")
+
+
+# ---------------------------------------------------------------- scaling, selection, clusters
+
+from patronage.operators import anomaly as N  # noqa: E402
+from patronage.operators import cluster as K  # noqa: E402
+from patronage.operators import evaluate as V  # noqa: E402
+from patronage.operators import explain as X  # noqa: E402
+from patronage.operators import prep as M  # noqa: E402
+from patronage.operators import upsert as U  # noqa: E402
+from patronage.streaming import transactions as ST  # noqa: E402
+
+
+def scaled_regions(spark, sf_dir) -> DataFrame:
+    """Standard-scaled 14 features with the customer's region number."""
+    fs = feat_seg(spark, sf_dir).select("CustomerID", "RegionKey", *FT.FEATURE_COLS)
+    return M.standard_scale(fs, FT.FEATURE_COLS)
+
+
+@register("scaled_features")
+def q_scaled_features(spark, sf_dir):
+    """M1: (x - mean) / population std of the 14 features."""
+    return rnd(M.standard_scale(features(spark, sf_dir).select("CustomerID", *FT.FEATURE_COLS), FT.FEATURE_COLS))
+
+
+@register("robust_scaled_features")
+def q_robust_scaled_features(spark, sf_dir):
+    """M2: (x - median) / IQR of the 14 features."""
+    return rnd(M.robust_scale(features(spark, sf_dir).select("CustomerID", *FT.FEATURE_COLS), FT.FEATURE_COLS))
+
+
+@register("correlated_drop")
+def q_correlated_drop(spark, sf_dir):
+    """M3: features dropped by the 0.85 correlation rule on scaled features."""
+    sc = M.standard_scale(features(spark, sf_dir).select(*FT.FEATURE_COLS), FT.FEATURE_COLS)
+    return M.correlation_drop(sc, FT.FEATURE_COLS)
+
+
+@register("variance_selection")
+def q_variance_selection(spark, sf_dir):
+    """M4: population variance per feature and the 0.01 threshold decision."""
+    v = M.variance_select(features(spark, sf_dir), FT.FEATURE_COLS)
+    return v.select("feature", F.format_string("%.9e", "variance").alias("variance"), "kept")
+
+
+@register("final_features")
+def q_final_features(spark, sf_dir):
+    """M5: the selected feature list."""
+    sc = M.standard_scale(features(spark, sf_dir).select(*FT.FEATURE_COLS), FT.FEATURE_COLS)
+    return M.final_features_df(M.correlation_drop(sc, FT.FEATURE_COLS), FT.FEATURE_COLS)
+
+
+@register("silhouette_regions")
+def q_silhouette_regions(spark, sf_dir):
+    """Exact Euclidean silhouette per customer of the region grouping
+    on the scaled features."""
+    sc = scaled_regions(spark, sf_dir)
+    return rnd(V.silhouette_samples(sc, FT.FEATURE_COLS, "RegionKey").select("CustomerID", "RegionKey", "silhouette"))
+
+
+@register("davies_bouldin_regions")
+def q_davies_bouldin_regions(spark, sf_dir):
+    """Davies-Bouldin index of the region grouping."""
+    v = V.davies_bouldin(scaled_regions(spark, sf_dir), FT.FEATURE_COLS, "RegionKey")
+    return spark.range(1).select(F.round(F.lit(v), 6).alias("davies_bouldin"))
+
+
+@register("intra_inter_regions")
+def q_intra_inter_regions(spark, sf_dir):
+    """Mean positive within-region distance per region and the mean
+    cross-region distance."""
+    r = V.intra_inter_distances(scaled_regions(spark, sf_dir), FT.FEATURE_COLS, "RegionKey")
+    rows = [(i, float(round(v, 6))) for i, v in enumerate(r["intra"])]
+    intra = spark.createDataFrame(rows, "pos int, intra double")
+    return intra.withColumn("inter_mean", F.round(F.lit(r["inter_mean"]), 6))
+
+
+@register("ari_region_segment")
+def q_ari_region_segment(spark, sf_dir):
+    """Adjusted Rand index between the region and segment labelings."""
+    return rnd(V.adjusted_rand(feat_seg(spark, sf_dir), "RegionKey", "Segment"))
+
+
+@register("persona_assignment")
+def q_persona_assignment(spark, sf_dir):
+    """K1 + K5 + E8: best-of-10 KMeans (k=4) on the selected scaled
+    features, clusters renumbered by Monetary, persona names."""
+    from patronage.plans import training as TR
+    feats = TR.prepare(S.transactions(spark, sf_dir))
+    res = TR.train_personas(feats, compare=False)
+    return res["personas"].select("CustomerID", "Cluster", "Persona", F.round("PC1", 6).alias("PC1"),
+                                  F.round("PC2", 6).alias("PC2"))
+
+
+@register("dbscan_customers")
+def q_dbscan_customers(spark, sf_dir):
+    """K6: DBSCAN (eps 1.5, min_samples 5) on the scaled features."""
+    sc = scaled_regions(spark, sf_dir).withColumn("id", F.col("CustomerID").cast("long"))
+    return K.dbscan(sc, FT.FEATURE_COLS, K.DBSCAN_EPS, K.DBSCAN_MIN_SAMPLES, "id")
+
+
+@register("k_distance_customers")
+def q_k_distance_customers(spark, sf_dir):
+    """K8 + W4: sorted 5-NN distances on the scaled features."""
+    sc = scaled_regions(spark, sf_dir).withColumn("id", F.col("CustomerID").cast("long"))
+    return rnd(K.k_distance_graph(sc, FT.FEATURE_COLS, 5, "id"))
+
+
+@register("anomaly_scores")
+def q_anomaly_scores(spark, sf_dir):
+    """N1 + N2: isolation forest (200 trees, 5 %) over the customer features."""
+    f = features(spark, sf_dir)
+    model, _ = N.fit_isolation_forest(f, FT.FEATURE_COLS)
+    return N.decision(model, f)
+
+
+@register("anomaly_summary")
+def q_anomaly_summary(spark, sf_dir):
+    """Checked, found, rate."""
+    f = features(spark, sf_dir)
+    _, summary = N.fit_isolation_forest(f, FT.FEATURE_COLS)
+    return summary
+
+
+@register("kafka_records")
+def q_kafka_records(spark, sf_dir):
+    """ST1: cleaned lines as Kafka (key, value) records."""
+    return ST.kafka_records(ST.to_messages(cleaned(spark, sf_dir)))
+
+
+def _stored(spark, sf_dir):
+    ref = F.lit("2001-09-01 00:00:00").cast("timestamp")
+    early, _ = halves(spark, sf_dir)
+    return U.feature_table(early, now=F.lit(None).cast("timestamp")), ref
+
+
+@register("write_clusters")
+def q_write_clusters(spark, sf_dir):
+    """The stored feature table (early half) updated with cluster
+    numbers (regions) and persona names of all current customers."""
+    table, ref = _stored(spark, sf_dir)
+    assign = PD.attach_persona(feat_seg(spark, sf_dir).select(F.col("CustomerID").alias("customer_id"),
+                                                             F.col("RegionKey").alias("Cluster")), "Cluster")
+    out = U.write_clusters(table, assign, key="customer_id", now=ref)
+    return out.select("customer_id", "cluster", "persona", ts_text("updated_at").alias("updated_at"))
+
+
+@register("upsert_counts")
+def q_upsert_counts(spark, sf_dir):
+    """Inserted and updated customers when the full-period
+    features are stored over the early-half table."""
+    table, ref = _stored(spark, sf_dir)
+    merged, counts = U.upsert_features(table, features(spark, sf_dir), now=ref)
+    return counts.withColumn("total", F.lit(merged.count()).cast("long"))

@@ -29,6 +29,8 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
     builder = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master.startswith("local"):
+        conf.setdefault("spark.driver.memory", "12g")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
