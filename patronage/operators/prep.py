@@ -52,21 +52,22 @@ def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 def correlation_drop(df: DataFrame, cols: list[str], threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
     """M3: for each pair (row before col in ``cols``) with |r| > threshold,
     drop the column with the smaller sample variance; on a tie (relative
-    1e-9) the earlier column (``row``) is dropped. Returns (feature)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    stats = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r|{a}|{b}")
-                     for a, b in pairs],
-                   *[F.var_samp(F.col(c).cast("double")).alias(f"v|{c}") for c in cols])
-    cand = []
-    for a, b in pairs:
-        r, va, vb = F.col(f"`r|{a}|{b}`"), F.col(f"`v|{a}`"), F.col(f"`v|{b}`")
-        tie = F.abs(va - vb) <= TIE_REL * F.greatest(F.abs(va), F.abs(vb))
-        drop = F.when(~tie & (vb < va), F.lit(b)).otherwise(F.lit(a))
-        cand.append(F.when(F.abs(r) > threshold, drop))
-    if not cand:
-        return df.sparkSession.createDataFrame([], "feature string")
-    return (stats.select(F.explode(F.array(*cand)).alias("feature"))
-                 .filter(F.col("feature").isNotNull()).distinct())
+    1e-9) the earlier column (``row``) is dropped. Returns (feature).
+    The d x d correlations and d variances are aggregated on the cluster;
+    the pair rule runs on those numbers."""
+    from patronage.operators.profile import pearson_matrix
+    r = pearson_matrix(df, cols)
+    v = stats_row(df.agg(*[F.var_samp(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]))
+    var = [v[f"v{i}"] for i in range(len(cols))]
+    drop = set()
+    for j, b in enumerate(cols):
+        for i in range(j):
+            a = cols[i]
+            if abs(r[i, j]) > threshold:
+                va, vb = var[i], var[j]
+                tie = abs(va - vb) <= TIE_REL * max(abs(va), abs(vb))
+                drop.add(b if (not tie and vb < va) else a)
+    return df.sparkSession.createDataFrame([(c,) for c in cols if c in drop], "feature string")
 
 
 def variance_select(df: DataFrame, cols: list[str], threshold: float = VARIANCE_THRESHOLD) -> DataFrame:

@@ -128,20 +128,26 @@ def box_summary(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
         F.count(F.when((x < lo_f) | (x > hi_f), 1)).alias("n_outliers"))
 
 
+def pearson_matrix(df: DataFrame, cols: list[str]):
+    """d x d Pearson matrix (numpy) from Spark ML's tree-aggregated Gram
+    matrix of mean-centred vectors. Only d^2 numbers reach the driver.
+    Rows with a null in any listed column are skipped (listwise)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
+    st = stats_row(x.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]))
+    cen = x.select(*[(F.col(c) - F.lit(st[f"m{i}"] or 0.0)).alias(c) for i, c in enumerate(cols)])
+    vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(cen).select("__v")
+    return Correlation.corr(vec, "__v", "pearson").first()[0].toArray()
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair (both orders and the diagonal),
-    from one aggregation over the table."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}")
-                    for a, b in pairs]) if pairs else None
-    entries = []
-    for a, b in pairs:
-        v = F.col(f"`{a}|{b}`")
-        entries += [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), v.alias("corr")),
-                    F.struct(F.lit(b).alias("col1"), F.lit(a).alias("col2"), v.alias("corr"))]
-    diag = [F.struct(F.lit(c).alias("col1"), F.lit(c).alias("col2"), F.lit(1.0).alias("corr")) for c in cols]
-    base = wide if wide is not None else df.sparkSession.range(1)
-    return base.select(F.explode(F.array(*(entries + diag))).alias("e")).select("e.*")
+    """Pearson correlation of every pair, both orders and the diagonal,
+    as (col1, col2, corr) rows."""
+    m = pearson_matrix(df, cols)
+    rows = [(a, b, 1.0 if i == j else (None if m[i, j] != m[i, j] else float(m[i, j])))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "col1 string, col2 string, corr double")
 
 
 def orders_by_weekday(tx: DataFrame, ts: str = "InvoiceDate") -> DataFrame:
