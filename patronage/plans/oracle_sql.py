@@ -624,3 +624,28 @@ SELECT count(*) FILTER (WHERE e.CustomerID IS NULL) AS inserted,
        count(*) FILTER (WHERE e.CustomerID IS NOT NULL AND f.CustomerID IS NOT NULL) AS updated,
        count(*) AS total
 FROM e_feat e FULL OUTER JOIN feat f USING (CustomerID)"""
+
+_PROFILE = ["AvgQuantity", "DiscountUsage", "Frequency", "NightRatio", "Recency", "ReturnRate", "WeekendRatio"]
+_PROF = FS.removeprefix("WITH ") + ",\n" + PERSONAS_SQL.strip() + """,
+prof AS (SELECT RegionKey AS Cluster, """ + ", ".join(f"round(avg({c}), 3) AS {c}" for c in _PROFILE) + """
+         FROM fs GROUP BY 1),
+entries AS (""" + " UNION ALL ".join(
+    f"SELECT Cluster, '{c}' AS k, CAST({c} AS VARCHAR) AS v FROM prof" for c in _PROFILE) + """),
+pp AS (SELECT p.Cluster, coalesce(d.Persona, 'Unknown') AS Persona, coalesce(d.Description, '') AS Description
+       FROM prof p LEFT JOIN pdim d USING (Cluster)),
+recs AS (SELECT Persona, string_agg('- ' || Recommendation, chr(10) ORDER BY rank) AS lines FROM precs GROUP BY 1),
+ranked AS (SELECT Cluster, k, v, row_number() OVER (PARTITION BY Cluster ORDER BY k) AS rn FROM entries)"""
+ORACLE["persona_narratives"] = with_(_PROF) + """
+SELECT pp.Cluster, pp.Persona,
+       '## ' || pp.Persona || chr(10) || chr(10) || pp.Description || chr(10) || chr(10)
+       || '**Recommended Strategies:**' || coalesce(chr(10) || r.lines, '')
+       || chr(10) || chr(10) || '**Profile Highlights:**' || chr(10)
+       || (SELECT string_agg('- ' || k || ': ' || v, chr(10) ORDER BY k) FROM ranked x
+           WHERE x.Cluster = pp.Cluster AND x.rn <= 6) AS narrative
+FROM pp LEFT JOIN recs r USING (Persona)"""
+ORACLE["persona_prompts"] = with_(_PROF) + """
+SELECT pp.Cluster,
+       'Persona: ' || pp.Persona || chr(10) || 'Behavioral Profile:' || chr(10)
+       || (SELECT string_agg('  ' || k || ': ' || v, chr(10) ORDER BY k) FROM ranked x WHERE x.Cluster = pp.Cluster)
+       || chr(10) || chr(10) || 'Generate a detailed marketing persona narrative (2-3 paragraphs).' AS prompt
+FROM pp"""

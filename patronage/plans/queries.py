@@ -740,3 +740,119 @@ def q_upsert_counts(spark, sf_dir):
     table, ref = _stored(spark, sf_dir)
     merged, counts = U.upsert_features(table, features(spark, sf_dir), now=ref)
     return counts.withColumn("total", F.lit(merged.count()).cast("long"))
+
+
+# ---------------------------------------------------------------- texts, models, stream
+
+PROFILE_FEATURES = ["AvgQuantity", "DiscountUsage", "Frequency", "NightRatio", "Recency", "ReturnRate",
+                    "WeekendRatio"]
+
+
+def region_profiles(spark, sf_dir) -> DataFrame:
+    """Cluster (region number) -> map of mean features (3 digits), with the
+    persona dimension attached (Unknown outside the map)."""
+    fs = feat_seg(spark, sf_dir)
+    prof = fs.groupBy(F.col("RegionKey").alias("Cluster")).agg(
+        *[F.round(F.avg(c), 3).alias(c) for c in PROFILE_FEATURES])
+    prof = prof.select("Cluster", F.create_map(*[x for c in PROFILE_FEATURES for x in (F.lit(c), F.col(c))])
+                       .alias("profile"))
+    return PD.attach_persona(prof, "Cluster", keep_details=True)
+
+
+@register("persona_narratives")
+def q_persona_narratives(spark, sf_dir):
+    """Rule-based narrative per cluster with its first six profile entries."""
+    p = region_profiles(spark, sf_dir)
+    return p.select("Cluster", "Persona", E.narrative_text("Persona", "Description", "Recommendations", "profile")
+                    .alias("narrative"))
+
+
+@register("persona_prompts")
+def q_persona_prompts(spark, sf_dir):
+    """Narrative prompt per cluster with the whole profile sorted by key."""
+    p = region_profiles(spark, sf_dir)
+    return p.select("Cluster", E.prompt_text("Persona", "profile").alias("prompt"))
+
+
+@register("churn_model")
+def q_churn_model(spark, sf_dir):
+    """Class-weighted forest (200 trees, depth 8, leaf 10) on
+    the default churn columns; per-customer probability, band, top factors."""
+    f = features(spark, sf_dir)
+    model, _, _, _, cols = L.train_churn_model(f)
+    return L.predict_churn(model, f, cols)
+
+
+@register("churn_model_metrics")
+def q_churn_model_metrics(spark, sf_dir):
+    """L4 + L5 + A16 on the held-out split of the churn forest."""
+    f = features(spark, sf_dir)
+    _, metrics, rates, _, _ = L.train_churn_model(f)
+    r = rates.first()
+    return metrics.select("*", F.lit(r["churn_rate"]).alias("churn_rate"), F.lit(r["n_train"]).alias("n_train"),
+                          F.lit(r["n_test"]).alias("n_test"))
+
+
+@register("persona_explanations")
+def q_persona_explanations(spark, sf_dir):
+    """Exact Shapley contributions of each selected feature to the
+    predicted cluster number, background = 100 hashed-sample customers."""
+    from patronage.plans import training as TR
+    feats = features(spark, sf_dir)
+    res = TR.train_personas(feats, compare=False)
+    sel = res["features"]
+    idx = [res["scale_cols"].index(c) for c in sel]
+    mean = [res["means"][i] for i in idx]
+    scale = [res["scales"][i] for i in idx]
+    import numpy as np
+    centers = np.array(res["centers"])
+    return X.explain(feats, sel, mean, scale, centers, feats)
+
+
+@register("seasonal_forecast")
+def q_seasonal_forecast(spark, sf_dir):
+    """trend + yearly seasonality per segment (grouped pandas fit)."""
+    series = P.monthly_by_group(tx_segment(spark, sf_dir), "Segment")
+    return FC.seasonal_forecast(series, "Segment")
+
+
+@register("pca_scree")
+def q_pca_scree(spark, sf_dir):
+    """M6 + M8 + W5: explained-variance ratio per component of the selected
+    scaled features, running total, and the number kept for 95 %."""
+    f = features(spark, sf_dir).select("CustomerID", *FT.FEATURE_COLS)
+    sc = M.standard_scale(f, FT.FEATURE_COLS)
+    drop = [r[0] for r in M.correlation_drop(sc, FT.FEATURE_COLS).collect()]
+    final = M.final_features(drop, FT.FEATURE_COLS)
+    _, ratios, k, _ = M.fit_pca(sc, final)
+    return M.scree_table(spark, ratios).withColumn("kept", F.col("component") <= k)
+
+
+@register("pca_projection")
+def q_pca_projection(spark, sf_dir):
+    """M7: 2-D display projection of the scaled features."""
+    f = features(spark, sf_dir).select("CustomerID", *FT.FEATURE_COLS)
+    sc = M.standard_scale(f, FT.FEATURE_COLS)
+    return M.projection_2d(sc, FT.FEATURE_COLS).select("CustomerID", "PC1", "PC2")
+
+
+@register("dbscan_grid")
+def q_dbscan_grid(spark, sf_dir):
+    """K7: clusters and noise for eps in {1.0, 1.5, 2.0} x min_samples {3, 5, 10}."""
+    sc = scaled_regions(spark, sf_dir).withColumn("id", F.col("CustomerID").cast("long"))
+    return K.dbscan_tune(sc, FT.FEATURE_COLS, [1.0, 1.5, 2.0], [3, 5, 10], "id")
+
+
+@register("stream_refresh")
+def q_stream_refresh(spark, sf_dir):
+    """ST2-ST4: the cleaned lines replayed as a JSON message stream through
+    the foreachBatch refresher; returns the features from the final state."""
+    import uuid
+    from patronage.session import scratch_path
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    ST.to_messages(cleaned(spark, sf_dir)).repartition(4).write.json(f"{base}/in")
+    q, ref = ST.start_refresh(ST.read_folder(spark, f"{base}/in", 1), f"{base}/state", f"{base}/out",
+                              f"{base}/ckpt")
+    q.awaitTermination()
+    return ref.latest_features(spark).select("CustomerID", "Recency", "Frequency", "TotalQty",
+                                             F.round("Monetary", 4).alias("Monetary"))
