@@ -7,8 +7,8 @@ rewritten by Catalyst into an Expand + two-level aggregation whose first
 shuffle is keyed by (customer, distinct value), which spreads a hot
 customer over many tasks instead of collecting its values in one set.
 
-The reference date (latest purchase + 1 day) is a scalar subquery, not a
-join, and is computed once per query.
+The reference date (latest purchase + 1 day) is a scalar subquery over the
+customer aggregate (not a join, and no second pass over the lines).
 """
 
 from __future__ import annotations
@@ -97,13 +97,16 @@ OUTPUT_ORDER = [
 def build_customer_features(tx: DataFrame, ref_date=None) -> DataFrame:
     """A1 + A2. ``ref_date`` may be a timestamp literal / Column; default is
     the latest purchase in ``tx`` plus one day."""
+    agg = customer_aggregates(tx)
     if ref_date is None:
-        ref = reference_date(tx)
+        # from the customer grain: the subquery shares the aggregation's
+        # shuffle stages instead of re-reading and re-joining the lines
+        ref = agg.agg((F.max("LastPurchase") + F.expr("INTERVAL 1 DAY")).alias("ref")).scalar()
     elif isinstance(ref_date, Column):
         ref = ref_date
     else:
         ref = F.lit(ref_date).cast("timestamp")
-    return derived_features(customer_aggregates(tx), ref).select(*OUTPUT_ORDER)
+    return derived_features(agg, ref).select(*OUTPUT_ORDER)
 
 
 def feature_columns_present(df: DataFrame, wanted=FEATURE_COLS) -> list[str]:
