@@ -37,6 +37,7 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -71,3 +72,26 @@ def materialize(df):
     executor loss, unlike a local checkpoint) and read it back."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``patronage`` importable in Python workers (pandas functions
+    pickle references to its modules): zip the package once per context and
+    add it with ``addPyFile``, which distributes it to every executor."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_patronage_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="patronage-pkg-"), "patronage.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._patronage_shipped = True
