@@ -674,7 +674,8 @@ def q_persona_assignment(spark, sf_dir):
     """K1 + K5 + E8: best-of-10 KMeans (k=4) on the selected scaled
     features, clusters renumbered by Monetary, persona names."""
     from patronage.plans import training as TR
-    feats = TR.prepare(S.transactions(spark, sf_dir))
+    from patronage.session import materialize
+    feats = materialize(TR.prepare(S.transactions(spark, sf_dir)))
     res = TR.train_personas(feats, compare=False)
     return res["personas"].select("CustomerID", "Cluster", "Persona", F.round("PC1", 6).alias("PC1"),
                                   F.round("PC2", 6).alias("PC2"))
