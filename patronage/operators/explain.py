@@ -11,7 +11,6 @@ except the number of tasks.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -26,12 +25,14 @@ BACKGROUND = 100
 
 
 def _coalition_weights(d: int):
-    subsets = list(itertools.product((0, 1), repeat=d))
-    masks = np.array(subsets, dtype=bool)
+    """Coalitions as bitmasks 0..2^d-1 (bit j = feature j present) and the
+    Shapley weight |S|! (d-|S|-1)! / d! of each."""
+    ids = np.arange(2 ** d)
+    masks = ((ids[:, None] >> np.arange(d)[None, :]) & 1).astype(bool)
     sizes = masks.sum(axis=1)
-    w = np.array([math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) if s < d else 0.0
-                  for s in sizes])
-    return masks, sizes, w
+    fact = [math.factorial(t) for t in range(d + 1)]
+    w = np.array([fact[t] * fact[d - t - 1] / fact[d] if t < d else 0.0 for t in sizes])
+    return ids, masks, w
 
 
 def _predict(Z: np.ndarray, mean, scale, centers) -> np.ndarray:
@@ -41,22 +42,18 @@ def _predict(Z: np.ndarray, mean, scale, centers) -> np.ndarray:
 
 
 def shapley_values(x: np.ndarray, background: np.ndarray, predict) -> tuple[np.ndarray, float, float]:
+    """Exact Shapley values of ``predict`` at ``x`` against a background set:
+    phi_j = sum over S without j of w(S) * (v(S + j) - v(S))."""
     d = len(x)
-    masks, sizes, w = _coalition_weights(d)
-    # Z[s, b, :] = x where mask else background row b
+    ids, masks, w = _coalition_weights(d)
+    # Z[s, b, :] = x where feature in coalition s, else background row b
     Z = np.where(masks[:, None, :], x[None, None, :], background[None, :, :])
-    v = predict(Z).mean(axis=1)                       # value of each coalition
-    index = {tuple(m): i for i, m in enumerate(masks)}
+    v = predict(Z).mean(axis=1)
     phi = np.zeros(d)
-    for i, m in enumerate(masks):
-        for j in range(d):
-            if not m[j]:
-                with_j = list(m)
-                with_j[j] = True
-                phi[j] += w[i] * (v[index[tuple(with_j)]] - v[i])
-    base = float(v[index[tuple([False] * d)]])
-    full = float(v[index[tuple([True] * d)]])
-    return phi, base, full
+    for j in range(d):
+        without = ids[~masks[:, j]]
+        phi[j] = np.sum(w[without] * (v[without | (1 << j)] - v[without]))
+    return phi, float(v[0]), float(v[-1])
 
 
 def explain(features: DataFrame, cols: list[str], mean: list[float], scale: list[float],
