@@ -49,18 +49,29 @@ def running_totals(counts: DataFrame, keys: list[str], order_col: str, measures:
     return out
 
 
-def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int = DEFAULT_BUCKETS):
-    """Interpolated quantile (pandas / numpy ``linear``) without a single
-    aggregation buffer: values are counted per distinct value (a shuffle by
-    value), ranked with ``running_totals``, and the two order statistics
-    around rank (n-1)p are picked by filtered minimums. Returns a literal
-    Column."""
+def exact_quantiles(df: DataFrame, col: str, ps: list[float], n_buckets: int = DEFAULT_BUCKETS) -> list:
+    """Interpolated quantiles (pandas / numpy ``linear``, DuckDB
+    ``quantile_cont``) without a single aggregation buffer: values are
+    counted per distinct value (a shuffle by value), ranked with
+    ``running_totals``, and the order statistics around each rank (n-1)p
+    are picked by filtered minimums. Returns Python floats (None if empty)."""
     counts = (df.filter(F.col(col).isNotNull())
                 .groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    cum = running_totals(counts, [], "v", ["c"], n_buckets)
     n = counts.agg(F.sum("c")).first()[0] or 0
-    h = (n - 1) * p
-    lo, hi = math.floor(h), math.ceil(h)
-    v = cum.agg(F.min(F.when(F.col("cum_c") >= lo + 1, F.col("v"))).alias("a"),
-                F.min(F.when(F.col("cum_c") >= hi + 1, F.col("v"))).alias("b")).first()
-    return F.lit(v["a"] + (h - lo) * (v["b"] - v["a"]))
+    if n == 0:
+        return [None for _ in ps]
+    cum = running_totals(counts, [], "v", ["c"], n_buckets)
+    ranks = sorted({r for p in ps for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
+    row = cum.agg(*[F.min(F.when(F.col("cum_c") >= r + 1, F.col("v"))).alias(f"r{r}") for r in ranks]).first()
+    out = []
+    for p in ps:
+        h = (n - 1) * p
+        lo, hi = math.floor(h), math.ceil(h)
+        a, b = row[f"r{lo}"], row[f"r{hi}"]
+        out.append(a + (h - lo) * (b - a))
+    return out
+
+
+def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int = DEFAULT_BUCKETS):
+    """One interpolated quantile as a literal Column (see ``exact_quantiles``)."""
+    return F.lit(exact_quantiles(df, col, [p], n_buckets)[0])
