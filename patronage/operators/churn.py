@@ -26,9 +26,10 @@ FOREST = dict(numTrees=200, maxDepth=8, minInstancesPerNode=10)
 
 def prepare_churn_labels(df: DataFrame, recency="Recency", frequency="Frequency") -> DataFrame:
     """L1: 1 when Recency > its 75th percentile and Frequency <= its 25th."""
-    q = stats_row(df.agg(F.percentile(F.col(recency).cast("double"), 0.75).alias("r"),
-                         F.percentile(F.col(frequency).cast("double"), 0.25).alias("f")))
-    return df.withColumn("ChurnLabel", ((F.col(recency) > F.lit(q["r"])) & (F.col(frequency) <= F.lit(q["f"])))
+    from patronage.operators.ordered import quantiles_checked
+    r = quantiles_checked(df, [recency], [0.75])[recency][0]
+    f = quantiles_checked(df, [frequency], [0.25])[frequency][0]
+    return df.withColumn("ChurnLabel", ((F.col(recency) > F.lit(r)) & (F.col(frequency) <= F.lit(f)))
                          .cast("int"))
 
 

@@ -45,7 +45,7 @@ def clean_data(df: DataFrame) -> DataFrame:
     return positive_quantity(drop_blank_customers(drop_cancelled(drop_duplicates(df))))
 
 
-BUFFER_DISTINCT_LIMIT = 1_000_000
+from patronage.operators.ordered import BUFFER_DISTINCT_LIMIT  # noqa: E402
 
 
 def iqr_bounds(df: DataFrame, c: str, k: float = 1.5, exact: bool = True,

@@ -75,3 +75,27 @@ def exact_quantiles(df: DataFrame, col: str, ps: list[float], n_buckets: int = D
 def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int = DEFAULT_BUCKETS):
     """One interpolated quantile as a literal Column (see ``exact_quantiles``)."""
     return F.lit(exact_quantiles(df, col, [p], n_buckets)[0])
+
+
+BUFFER_DISTINCT_LIMIT = 1_000_000
+
+
+def quantiles_checked(df: DataFrame, cols: list[str], ps: list[float]) -> dict:
+    """Exact interpolated quantiles for several columns behind a size check:
+    one fixed-size sketch pass counts distinct values per column; columns
+    below ``BUFFER_DISTINCT_LIMIT`` share one ``percentile`` aggregation (a
+    buffer entry per distinct value), the rest use ``exact_quantiles``.
+    Returns {column: [q for p in ps]}."""
+    nd = df.agg(*[F.approx_count_distinct(F.col(c).cast("double"), 0.05).alias(f"d{i}")
+                  for i, c in enumerate(cols)]).first()
+    small = [c for i, c in enumerate(cols) if (nd[f"d{i}"] or 0) <= BUFFER_DISTINCT_LIMIT]
+    out = {}
+    if small:
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), list(ps)).alias(f"q{i}")
+                       for i, c in enumerate(small)]).first()
+        out.update({c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(ps)
+                    for i, c in enumerate(small)})
+    for c in cols:
+        if c not in out:
+            out[c] = exact_quantiles(df, c, list(ps))
+    return out

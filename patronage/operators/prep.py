@@ -39,11 +39,11 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """M2: (x - median) / IQR (IQR 0 -> divide by 1)."""
-    st = stats_row(df.agg(*[F.percentile(F.col(c).cast("double"), [0.25, 0.5, 0.75]).alias(f"q{i}")
-                           for i, c in enumerate(cols)]))
+    from patronage.operators.ordered import quantiles_checked
+    st = quantiles_checked(df, cols, [0.25, 0.5, 0.75])
     out = {}
-    for i, c in enumerate(cols):
-        q1, med, q3 = st[f"q{i}"]
+    for c in cols:
+        q1, med, q3 = st[c]
         iqr = (q3 - q1) or 1.0
         out[c] = (F.col(c) - F.lit(med)) / F.lit(iqr)
     return df.withColumns(out)

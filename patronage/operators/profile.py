@@ -66,10 +66,12 @@ DESCRIBE_STATS = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles (interpolated), max per
     numeric column; one aggregation pass, then one row per column."""
+    from patronage.operators.ordered import quantiles_checked
+    qs = quantiles_checked(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = F.percentile(x, [0.25, 0.5, 0.75])
+        q = [F.lit(v).cast("double") for v in qs[c]]
         aggs.append(F.struct(
             F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"),
             F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"),
@@ -118,7 +120,8 @@ def box_summary(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """A10: quartiles, whiskers (most extreme points inside the 1.5 IQR
     fences) and the number of points outside the fences."""
     x = F.col(col).cast("double")
-    q = [F.lit(v) for v in stats_row(df.agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("q")))["q"]]
+    from patronage.operators.ordered import quantiles_checked
+    q = [F.lit(v) for v in quantiles_checked(df, [col], [0.25, 0.5, 0.75])[col]]
     iqr = q[2] - q[0]
     lo_f, hi_f = q[0] - k * iqr, q[2] + k * iqr
     return df.agg(
