@@ -142,9 +142,9 @@ def _profile_lines(profile_map: Column, n: int | None) -> Column:
     return entries
 
 
-def narrative_text(persona, description, recommendations, profile_map=None) -> Column:
+def narrative_text(persona, description, recommendations, profile_map=None, entries: int | None = None) -> Column:
     """Rule-based narrative: heading, description, strategies and the
-    first six profile entries in key order, one line each."""
+    profile entries in key order, one line each; ``entries`` limits them."""
     recs = F.coalesce(col_(recommendations), F.array().cast("array<string>"))
     lines = F.concat(
         F.array(F.concat(F.lit("## "), col_(persona)), F.lit(""), F.coalesce(col_(description), F.lit("")),
@@ -152,7 +152,7 @@ def narrative_text(persona, description, recommendations, profile_map=None) -> C
         F.transform(recs, lambda r: F.concat(F.lit("- "), r)),
     )
     if profile_map is not None:
-        prof = F.transform(_profile_lines(col_(profile_map), 6),
+        prof = F.transform(_profile_lines(col_(profile_map), entries),
                            lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"].cast("string")))
         with_prof = F.concat(lines, F.array(F.lit(""), F.lit("**Profile Highlights:**")), prof)
         lines = F.when(F.coalesce(F.size(col_(profile_map)), F.lit(0)) > 0, with_prof).otherwise(lines)

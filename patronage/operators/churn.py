@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from patronage.functions.expr import risk_band
 from patronage.functions.scalars import stats_row
 from patronage.operators.ordered import running_totals
+from patronage.session import materialize
 
 # Default churn training columns, split and forest settings.
 DEFAULT_CHURN_FEATURES = ["Recency", "Frequency", "Monetary", "AvgBasketSize", "DiscountUsage", "ReturnRate"]
@@ -26,20 +27,29 @@ FOREST = dict(numTrees=200, maxDepth=8, minInstancesPerNode=10)
 
 def prepare_churn_labels(df: DataFrame, recency="Recency", frequency="Frequency") -> DataFrame:
     """L1: 1 when Recency > its 75th percentile and Frequency <= its 25th."""
-    from patronage.operators.ordered import quantiles_checked
-    r = quantiles_checked(df, [recency], [0.75])[recency][0]
-    f = quantiles_checked(df, [frequency], [0.25])[frequency][0]
+    from patronage.operators.ordered import column_quantiles
+    r = column_quantiles(df, [recency], [0.75])[recency][0]
+    f = column_quantiles(df, [frequency], [0.25])[frequency][0]
     return df.withColumn("ChurnLabel", ((F.col(recency) > F.lit(r)) & (F.col(frequency) <= F.lit(f)))
                          .cast("int"))
 
 
 def stratified_split(df: DataFrame, label="ChurnLabel", id_col="CustomerID", test_size=TEST_SIZE,
                      seed=SEED) -> DataFrame:
-    """L2: deterministic split: a seeded hash of the id places each row; the
-    test share holds per class in expectation, with no sort or per-class
-    window (which would put a whole class in one task)."""
-    u = (F.abs(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed), F.col(label))) % 1_000_000) / 1_000_000.0
-    return df.withColumn("is_test", u < test_size)
+    """L2: exact stratified split: rows are ranked in each class by a seeded
+    hash of the id and the first round(n * test_size) are the test rows. Ranks
+    come from bucketed running counts, so no class gathers in one task."""
+    marked = materialize(df.withColumn("__u", F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)),
+                                                     F.lit(1 << 52)).cast("double")))
+    counts = marked.groupBy(label, "__u").agg(F.count(F.lit(1)).alias("c"))
+    total = counts.groupBy(label).agg(F.sum("c").alias("__n"))
+    cum = running_totals(counts, [label], "__u", ["c"])
+    # a class's cut is the smallest hash whose rank reaches its share; equal hashes stay together
+    cut = (cum.join(F.broadcast(total), label).filter(F.col("cum_c") >= F.round(F.col("__n") * test_size))
+              .groupBy(label).agg(F.min("__u").alias("__cut"), F.max(F.round(F.col("__n") * test_size)).alias("__k")))
+    return (marked.join(F.broadcast(cut), label, "left")
+                  .withColumn("is_test", F.coalesce((F.col("__u") <= F.col("__cut")) & (F.col("__k") > 0), F.lit(False)))
+                  .drop("__u", "__cut", "__k").select(*df.columns, "is_test"))
 
 
 def class_weights(df: DataFrame, label="ChurnLabel") -> DataFrame:
@@ -86,8 +96,9 @@ def roc_auc(scored: DataFrame, label="label", score="score") -> DataFrame:
     cum = running_totals(g, [], "score", ["neg"])
     t = stats_row(g.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))
     below = F.col("cum_neg") - F.col("neg")
-    return cum.agg((F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))) / F.lit(float(t["p"] * t["n"])))
-                   .alias("roc_auc"))
+    pairs = float(t["p"] or 0) * float(t["n"] or 0)
+    # one class only: undefined, null
+    return cum.agg(F.try_divide(F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))), F.lit(pairs)).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, label="label", score="score") -> DataFrame:
@@ -95,9 +106,9 @@ def average_precision(scored: DataFrame, label="label", score="score") -> DataFr
     low) of recall increment x precision at that threshold."""
     g = score_groups(scored, label, score)
     cum = running_totals(g, [], "score", ["pos", "neg"], descending=True)
-    p_total = F.lit(float(stats_row(g.agg(F.sum("pos").alias("p")))["p"]))
+    p_total = F.lit(float(stats_row(g.agg(F.sum("pos").alias("p")))["p"] or 0))
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    return cum.agg((F.sum(F.col("pos") * prec) / p_total).alias("avg_precision"))
+    return cum.agg(F.try_divide(F.sum(F.col("pos") * prec), p_total).alias("avg_precision"))
 
 
 def ranking_metrics(scored: DataFrame, label="label", score="score") -> DataFrame:

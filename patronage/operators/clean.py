@@ -45,37 +45,18 @@ def clean_data(df: DataFrame) -> DataFrame:
     return positive_quantity(drop_blank_customers(drop_cancelled(drop_duplicates(df))))
 
 
-from patronage.operators.ordered import BUFFER_DISTINCT_LIMIT  # noqa: E402
-
-
-def iqr_bounds(df: DataFrame, c: str, k: float = 1.5, exact: bool = True,
-               accuracy: int = 100_000, method: str = "auto"):
-    """(lo, hi) fence literals for ``c``.
-
-    Quartiles are interpolated (pandas ``quantile``, DuckDB
-    ``quantile_cont``) and exact either way:
-    ``method="buffer"`` uses Spark's ``percentile`` aggregate, whose final
-    task holds one entry per distinct value; ``method="distributed"`` ranks
-    the distinct values with bucketed running counts, so no task holds the
-    value set; ``method="auto"`` (default) measures the distinct count with a
-    fixed-size sketch first and uses the buffer only below
-    ``BUFFER_DISTINCT_LIMIT``. ``exact=False`` uses ``percentile_approx``.
-    """
+def iqr_bounds(df: DataFrame, c: str, k: float = 1.5, exact: bool = True, accuracy: int = 100_000):
+    """(lo, hi) fence literals for ``c`` from interpolated quartiles (pandas
+    ``quantile``, DuckDB ``quantile_cont``): exact by ranked value counts, so no
+    task holds the value set, or ``percentile_approx`` with ``exact=False``."""
     x = F.col(c).cast("double")
-    if exact and method == "auto":
-        nd = df.agg(F.approx_count_distinct(x, 0.05)).first()[0] or 0
-        method = "buffer" if nd <= BUFFER_DISTINCT_LIMIT else "distributed"
-    if exact and method == "distributed":
-        from patronage.operators.ordered import exact_quantiles
-        q1, q3 = exact_quantiles(df, c, [0.25, 0.75])
+    if exact:
+        from patronage.operators.ordered import column_quantiles
+        q1, q3 = column_quantiles(df, [c], [0.25, 0.75])[c]
         if q1 is None:
             return F.lit(None).cast("double"), F.lit(None).cast("double")
-        iqr = q3 - q1
-        return F.lit(q1 - k * iqr), F.lit(q3 + k * iqr)
-    if exact:
-        q = F.percentile(x, [0.25, 0.75])
-    else:
-        q = F.percentile_approx(x, [0.25, 0.75], accuracy).cast("array<double>")
+        return F.lit(q1 - k * (q3 - q1)), F.lit(q3 + k * (q3 - q1))
+    q = F.percentile_approx(x, [0.25, 0.75], accuracy).cast("array<double>")
     b = stats_row(df.agg((q[0] - k * (q[1] - q[0])).alias("lo"), (q[1] + k * (q[1] - q[0])).alias("hi")))
     return F.lit(b["lo"]), F.lit(b["hi"])
 

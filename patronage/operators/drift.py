@@ -9,6 +9,8 @@ window runs over a whole feature in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,14 +108,19 @@ def ks_table(values: DataFrame) -> DataFrame:
                     ks_pvalue(F.col("ks_statistic"), F.col("n_e"), F.col("n_a")).alias("ks_pvalue"))
 
 
-def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
+def ks_pvalue(d: Column, n1: Column, n2: Column, terms: int = 20) -> Column:
     """Asymptotic Kolmogorov tail with effective size n1*n2/(n1+n2) and the
-    Stephens small-sample correction, clipped to [0, 1]."""
-    en = F.sqrt(n1 * n2 / (n1 + n2))
+    Stephens small-sample correction. Large arguments use the alternating
+    series, small ones its theta dual, so both converge in a few terms."""
+    a, b = n1.cast("double"), n2.cast("double")
+    en = F.sqrt(a * b / (a + b))
     lam = (en + 0.12 + 0.11 / en) * d
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
-                         lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam))
-    p = F.when(d <= 0, F.lit(1.0)).otherwise(2.0 * series)
+    ks = F.sequence(F.lit(1), F.lit(terms))
+    far = F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam))
+    near = F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.exp(
+        -F.pow(2.0 * k - 1.0, F.lit(2.0)) * (math.pi ** 2) / (8.0 * lam * lam)))
+    p = (F.when(lam < 0.2, F.lit(1.0)).when(lam < 1.18, 1.0 - math.sqrt(2 * math.pi) / lam * near)
+          .otherwise(2.0 * far))
     return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
 
 

@@ -72,17 +72,18 @@ def customer_aggregates(tx: DataFrame) -> DataFrame:
 
 def derived_features(agg: DataFrame, ref: Column) -> DataFrame:
     """A2: recency, basket size, purchase interval and ratios (line counts
-    over distinct invoices, so ratios can exceed 1)."""
+    over distinct invoices, so ratios can exceed 1; null where a customer
+    has no invoice number)."""
     span_days = E.whole_days("LastPurchase", "FirstPurchase")
     interval = span_days / (F.greatest(F.col("Frequency"), F.lit(2)) - 1)
     return agg.withColumns({
         "Recency": E.whole_days(ref, F.col("LastPurchase")),
-        "AvgBasketSize": F.col("Monetary") / F.col("TotalOrders"),
+        "AvgBasketSize": F.try_divide(F.col("Monetary"), F.col("TotalOrders")),
         "PurchaseInterval": F.greatest(F.coalesce(interval, F.lit(0.0)), F.lit(0.0)),
-        "WeekendRatio": F.col("WeekendOrders") / F.col("TotalOrders"),
-        "NightRatio": F.col("NightOrders") / F.col("TotalOrders"),
-        "DiscountUsage": F.col("DiscountOrders") / F.col("TotalOrders"),
-        "ReturnRate": F.col("ReturnCount") / F.col("TotalOrders"),
+        "WeekendRatio": F.try_divide(F.col("WeekendOrders"), F.col("TotalOrders")),
+        "NightRatio": F.try_divide(F.col("NightOrders"), F.col("TotalOrders")),
+        "DiscountUsage": F.try_divide(F.col("DiscountOrders"), F.col("TotalOrders")),
+        "ReturnRate": F.try_divide(F.col("ReturnCount"), F.col("TotalOrders")),
     })
 
 

@@ -16,6 +16,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from patronage.session import materialize
+
 DEFAULT_BUCKETS = 64
 
 
@@ -77,25 +79,29 @@ def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int = DEFAULT_B
     return F.lit(exact_quantiles(df, col, [p], n_buckets)[0])
 
 
-BUFFER_DISTINCT_LIMIT = 1_000_000
-
-
-def quantiles_checked(df: DataFrame, cols: list[str], ps: list[float]) -> dict:
-    """Exact interpolated quantiles for several columns behind a size check:
-    one fixed-size sketch pass counts distinct values per column; columns
-    below ``BUFFER_DISTINCT_LIMIT`` share one ``percentile`` aggregation (a
-    buffer entry per distinct value), the rest use ``exact_quantiles``.
-    Returns {column: [q for p in ps]}."""
-    nd = df.agg(*[F.approx_count_distinct(F.col(c).cast("double"), 0.05).alias(f"d{i}")
-                  for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if (nd[f"d{i}"] or 0) <= BUFFER_DISTINCT_LIMIT]
+def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], n_buckets: int = DEFAULT_BUCKETS) -> dict:
+    """Exact interpolated quantiles of several columns: one pass counts every
+    (column, value), the counts are ranked per column with ``running_totals``.
+    No task holds a column's values. Returns {column: [q for p in ps]}; None
+    for a column without values."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    counts = materialize(df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("v").isNotNull())
+                           .groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")))
+    total = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("c").alias("n")).collect()}
+    if not total:
+        return {c: [None] * len(ps) for c in cols}
+    ranks = {k: sorted({r for p in ps for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}) for k, n in total.items()}
+    cum = running_totals(counts, ["k"], "v", ["c"], n_buckets)
+    width = max(map(len, ranks.values()))
+    want = F.create_map(*[x for k, r in ranks.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in r]))])
+    rows = cum.withColumn("r", want[F.col("k")]).groupBy("k").agg(*[
+        F.min(F.when(F.col("cum_c") > F.get(F.col("r"), F.lit(i)), F.col("v"))).alias(f"q{i}") for i in range(width)]).collect()
+    at = {r["k"]: dict(zip(ranks[r["k"]], [r[f"q{i}"] for i in range(width)])) for r in rows}
     out = {}
-    if small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), list(ps)).alias(f"q{i}")
-                       for i, c in enumerate(small)]).first()
-        out.update({c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(ps)
-                    for i, c in enumerate(small)})
-    for c in cols:
-        if c not in out:
-            out[c] = exact_quantiles(df, c, list(ps))
+    for i, c in enumerate(cols):
+        if i not in total:
+            out[c] = [None] * len(ps)
+            continue
+        hs = [(total[i] - 1) * p for p in ps]
+        out[c] = [at[i][math.floor(h)] + (h - math.floor(h)) * (at[i][math.ceil(h)] - at[i][math.floor(h)]) for h in hs]
     return out

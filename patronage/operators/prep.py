@@ -39,11 +39,13 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     """M2: (x - median) / IQR (IQR 0 -> divide by 1)."""
-    from patronage.operators.ordered import quantiles_checked
-    st = quantiles_checked(df, cols, [0.25, 0.5, 0.75])
+    from patronage.operators.ordered import column_quantiles
+    st = column_quantiles(df, cols, [0.25, 0.5, 0.75])
     out = {}
     for c in cols:
         q1, med, q3 = st[c]
+        if med is None:  # no values: stays null
+            continue
         iqr = (q3 - q1) or 1.0
         out[c] = (F.col(c) - F.lit(med)) / F.lit(iqr)
     return df.withColumns(out)
@@ -77,15 +79,9 @@ def variance_select(df: DataFrame, cols: list[str], threshold: float = VARIANCE_
                 .withColumn("kept", F.col("variance") > threshold))
 
 
-def final_features(dropped: list[str], present: list[str], keep=KEEP_COLS) -> list[str]:
-    """M5: fixed names minus the drop set; R, F, M always stay; sorted."""
-    cols = [c for c in keep if c in present]
-    cols = [c for c in cols if c not in set(dropped) or c in ALWAYS_KEEP]
-    return sorted(set(cols))
-
-
 def final_features_df(drop_df: DataFrame, present: list[str], keep=KEEP_COLS) -> DataFrame:
-    """M5 as a table (feature, position)."""
+    """M5: the wanted features that were not dropped; recency, frequency and
+    monetary value always stay."""
     spark = drop_df.sparkSession
     cand = spark.createDataFrame([(c,) for c in keep if c in present], "feature string")
     kept = cand.join(drop_df, "feature", "left_anti").unionByName(

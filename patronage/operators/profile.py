@@ -8,6 +8,8 @@ subquery total rather than a window over the whole table.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +68,8 @@ DESCRIBE_STATS = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample std, min, quartiles (interpolated), max per
     numeric column; one aggregation pass, then one row per column."""
-    from patronage.operators.ordered import quantiles_checked
-    qs = quantiles_checked(df, cols, [0.25, 0.5, 0.75])
+    from patronage.operators.ordered import column_quantiles
+    qs = column_quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
@@ -103,6 +105,10 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     A constant column uses [x - 0.5, x + 0.5]. Empty bins count 0."""
     x = F.col(col).cast("double")
     r = stats_row(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")))
+    if r["lo"] is None:  # no values: bins without edges, all empty
+        return df.sparkSession.range(bins).select(
+            F.col("id").cast("int").alias("bin"), F.lit(None).cast("double").alias("bin_start"),
+            F.lit(None).cast("double").alias("bin_end"), F.lit(0).cast("long").alias("count"))
     lo_v, hi_v = (r["lo"], r["hi"]) if r["hi"] > r["lo"] else (r["lo"] - 0.5, r["hi"] + 0.5)
     lo, hi = F.lit(float(lo_v)), F.lit(float(hi_v))
     idx = F.least(F.floor((x - lo) * F.lit(bins) / (hi - lo)), F.lit(bins - 1)).cast("int")
@@ -120,8 +126,8 @@ def box_summary(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """A10: quartiles, whiskers (most extreme points inside the 1.5 IQR
     fences) and the number of points outside the fences."""
     x = F.col(col).cast("double")
-    from patronage.operators.ordered import quantiles_checked
-    q = [F.lit(v) for v in quantiles_checked(df, [col], [0.25, 0.5, 0.75])[col]]
+    from patronage.operators.ordered import column_quantiles
+    q = [F.lit(v) for v in column_quantiles(df, [col], [0.25, 0.5, 0.75])[col]]
     iqr = q[2] - q[0]
     lo_f, hi_f = q[0] - k * iqr, q[2] + k * iqr
     return df.agg(
@@ -132,23 +138,43 @@ def box_summary(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
 
 
 def pearson_matrix(df: DataFrame, cols: list[str]):
-    """d x d Pearson matrix (numpy) from Spark ML's tree-aggregated Gram
-    matrix of mean-centred vectors. Only d^2 numbers reach the driver.
-    Rows with a null in any listed column are skipped (listwise)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    st = stats_row(x.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]))
-    cen = x.select(*[(F.col(c) - F.lit(st[f"m{i}"] or 0.0)).alias(c) for i, c in enumerate(cols)])
-    vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(cen).select("__v")
-    return Correlation.corr(vec, "__v", "pearson").first()[0].toArray()
+    """d x d Pearson matrix (numpy) over the rows where both columns have a
+    value. Columns are centred on their means; each task folds its rows into
+    one masked Gram matrix, so d x d sums a task are all that is shuffled. A
+    constant column has no correlation (NaN), itself included."""
+    d = len(cols)
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    st = stats_row(x.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)]))
+    mean = np.array([st[f"m{i}"] or 0.0 for i in range(d)])
+
+    def fold(it):
+        g = np.zeros((3 * d, 3 * d))
+        for pdf in it:
+            v = pdf.to_numpy(dtype=float) - mean
+            ok = ~np.isnan(v)
+            v = np.where(ok, v, 0.0)
+            z = np.hstack([ok.astype(float), v, v * v])
+            g += z.T @ z
+        i, j = np.indices(g.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": g.ravel()})
+
+    rows = x.mapInPandas(fold, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    g = np.zeros((3 * d, 3 * d))
+    for r in rows:
+        g[r["i"], r["j"]] = r["s"]
+    n, sx, sxx, sxy = g[:d, :d], g[d:2 * d, :d], g[2 * d:, :d], g[d:2 * d, d:2 * d]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = sxy - sx * sx.T / n
+        var = np.maximum(sxx - sx ** 2 / n, 0.0)  # [i, j]: column i over the rows that have j
+        var = np.where(var <= 1e-12 * sxx, 0.0, var)
+        return np.clip(cov / np.sqrt(var * var.T), -1.0, 1.0)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair, both orders and the diagonal,
     as (col1, col2, corr) rows."""
     m = pearson_matrix(df, cols)
-    rows = [(a, b, 1.0 if i == j else (None if m[i, j] != m[i, j] else float(m[i, j])))
+    rows = [(a, b, None if m[i, j] != m[i, j] else 1.0 if i == j else float(m[i, j]))
             for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "col1 string, col2 string, corr double")
 

@@ -27,7 +27,7 @@ FETCH_K = 20
 MMR_K = 6
 MMR_LAMBDA = 0.7
 EMBED_DIM = 256
-MAX_QUERIES = 10_000
+QUERY_BLOCK = 10_000
 
 
 def chunk_documents(docs: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE,
@@ -64,20 +64,12 @@ def _unit(a: np.ndarray) -> np.ndarray:
     return a / np.where(nrm == 0, 1.0, nrm)
 
 
-def nearest(items: DataFrame, queries: DataFrame, k: int = FETCH_K, id_col: str = "id",
-            qid_col: str = "qid", vec: str = "embedding") -> DataFrame:
-    """Per query the ``k`` items with the highest cosine similarity
-    (ties by item id). Returns (qid, id, similarity, rank)."""
-    nq = queries.count()
-    if nq > MAX_QUERIES:
-        raise ValueError(f"{nq} queries exceed the broadcast bound {MAX_QUERIES}; split the query set")
-    qpdf = queries.select(F.col(qid_col).alias("qid"), F.col(vec).alias("v")).toPandas()
-    Q = _unit(np.array([np.asarray(v, dtype=float) for v in qpdf["v"]]))
-    qids = qpdf["qid"].to_numpy()
-    bq = items.sparkSession.sparkContext.broadcast((qids, Q))
-
+def _block_topk(bq, k: int):
+    """The k best items of one task for every query of a broadcast block."""
     def part_topk(it):
         ids_all, Qm = bq.value
+        if not len(ids_all):
+            return
         best_ids, best_sims = None, None
         for pdf in it:
             if pdf.empty:
@@ -98,10 +90,29 @@ def nearest(items: DataFrame, queries: DataFrame, k: int = FETCH_K, id_col: str
         yield pd.DataFrame({"qid": np.repeat(ids_all, best_ids.shape[1]),
                             "id": best_ids.reshape(-1), "similarity": best_sims.reshape(-1)})
 
+    return part_topk
+
+
+def nearest(items: DataFrame, queries: DataFrame, k: int = FETCH_K, id_col: str = "id",
+            qid_col: str = "qid", vec: str = "embedding") -> DataFrame:
+    """Per query the ``k`` items with the highest cosine similarity
+    (ties by item id). Returns (qid, id, similarity, rank)."""
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    numbered = queries.select(F.col(qid_col).alias("qid"), F.col(vec).alias("v"),
+                              F.pmod(F.xxhash64(qid_col), F.lit(n_blocks)).alias("b"))
     id_type = dict(items.dtypes)[id_col]
     q_type = dict(queries.dtypes)[qid_col]
-    cand = (items.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
-                 .mapInPandas(part_topk, f"qid {q_type}, id {id_type}, similarity double"))
+    cand = None
+    # the query set goes to the tasks in blocks of a fixed size, each against all items
+    for block in range(n_blocks):
+        qpdf = numbered.filter(F.col("b") == block).toPandas()
+        if qpdf.empty and n_blocks > 1:
+            continue
+        Q = _unit(np.array([np.asarray(v, dtype=float) for v in qpdf["v"]])) if len(qpdf) else np.zeros((0, 1))
+        bq = items.sparkSession.sparkContext.broadcast((qpdf["qid"].to_numpy(), Q))
+        part = (items.select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
+                     .mapInPandas(_block_topk(bq, k), f"qid {q_type}, id {id_type}, similarity double"))
+        cand = part if cand is None else cand.unionAll(part)
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.asc("id"))
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return top.withColumnRenamed("qid", qid_col).withColumnRenamed("id", id_col)

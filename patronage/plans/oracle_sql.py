@@ -481,12 +481,13 @@ kcum AS (SELECT feature, sum(m_e) OVER w AS ce, sum(m_a) OVER w AS ca,
                 sum(m_e) OVER (PARTITION BY feature) AS n_e, sum(m_a) OVER (PARTITION BY feature) AS n_a
          FROM kvals WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 ksd AS (SELECT feature, max(abs(ce / n_e - ca / n_a)) AS d, max(n_e) AS n_e, max(n_a) AS n_a FROM kcum GROUP BY 1),
+lam AS (SELECT *, (sqrt(n_e * n_a / (n_e + n_a)) + 0.12 + 0.11 / sqrt(n_e * n_a / (n_e + n_a))) * d AS l
+        FROM (SELECT feature, d, CAST(n_e AS DOUBLE) AS n_e, CAST(n_a AS DOUBLE) AS n_a FROM ksd)),
 ks AS (SELECT k.feature, k.d AS ks_statistic,
-              least(greatest(CASE WHEN k.d <= 0 THEN 1.0 ELSE 2.0 * sum(pow(-1.0, t.i - 1) * exp(
-                  -2.0 * t.i * t.i * pow((sqrt(k.n_e * k.n_a / (k.n_e + k.n_a)) + 0.12
-                                          + 0.11 / sqrt(k.n_e * k.n_a / (k.n_e + k.n_a))) * k.d, 2))) END,
-                             0.0), 1.0) AS ks_pvalue
-       FROM ksd k, (SELECT range AS i FROM range(1, 101)) t GROUP BY k.feature, k.d, k.n_e, k.n_a),
+              least(greatest(CASE WHEN k.l < 0.2 THEN 1.0
+                  WHEN k.l < 1.18 THEN 1.0 - sqrt(2 * pi()) / k.l * sum(exp(-pow(2 * t.i - 1, 2) * pi() * pi() / (8 * k.l * k.l)))
+                  ELSE 2.0 * sum(pow(-1.0, t.i - 1) * exp(-2.0 * t.i * t.i * k.l * k.l)) END, 0.0), 1.0) AS ks_pvalue
+       FROM lam k, (SELECT range AS i FROM range(1, 21)) t GROUP BY k.feature, k.d, k.l),
 drift AS (
   SELECT r.feature, round(coalesce(p.psi, 0.0), 6) AS psi, round(coalesce(k.kl_divergence, 0.0), 6) AS kl_divergence,
          round(s.ks_statistic, 6) AS ks_statistic, round(s.ks_pvalue, 6) AS ks_pvalue,
@@ -649,3 +650,6 @@ SELECT pp.Cluster,
        || (SELECT string_agg('  ' || k || ': ' || v, chr(10) ORDER BY k) FROM ranked x WHERE x.Cluster = pp.Cluster)
        || chr(10) || chr(10) || 'Generate a detailed marketing persona narrative (2-3 paragraphs).' AS prompt
 FROM pp"""
+
+ORACLE["stream_refresh"] = with_(FEATURES) + """
+SELECT CustomerID, Recency, Frequency, TotalQty, round(Monetary, 4) AS Monetary FROM feat"""

@@ -764,7 +764,7 @@ def region_profiles(spark, sf_dir) -> DataFrame:
 def q_persona_narratives(spark, sf_dir):
     """Rule-based narrative per cluster with its first six profile entries."""
     p = region_profiles(spark, sf_dir)
-    return p.select("Cluster", "Persona", E.narrative_text("Persona", "Description", "Recommendations", "profile")
+    return p.select("Cluster", "Persona", E.narrative_text("Persona", "Description", "Recommendations", "profile", 6)
                     .alias("narrative"))
 
 
@@ -797,9 +797,11 @@ def q_churn_model_metrics(spark, sf_dir):
 @register("persona_explanations")
 def q_persona_explanations(spark, sf_dir):
     """Exact Shapley contributions of each selected feature to the
-    predicted cluster number, background = 100 hashed-sample customers."""
+    predicted cluster number, background = 100 hashed-sample customers;
+    the model and the customers are those of ``persona_assignment``."""
     from patronage.plans import training as TR
-    feats = features(spark, sf_dir)
+    from patronage.session import materialize
+    feats = materialize(TR.prepare(S.transactions(spark, sf_dir)))
     res = TR.train_personas(feats, compare=False)
     sel = res["features"]
     idx = [res["scale_cols"].index(c) for c in sel]
@@ -823,8 +825,8 @@ def q_pca_scree(spark, sf_dir):
     scaled features, running total, and the number kept for 95 %."""
     f = features(spark, sf_dir).select("CustomerID", *FT.FEATURE_COLS)
     sc = M.standard_scale(f, FT.FEATURE_COLS)
-    drop = [r[0] for r in M.correlation_drop(sc, FT.FEATURE_COLS).collect()]
-    final = M.final_features(drop, FT.FEATURE_COLS)
+    kept = M.final_features_df(M.correlation_drop(sc, FT.FEATURE_COLS), FT.FEATURE_COLS)
+    final = [r["feature"] for r in kept.orderBy("feature").collect()]
     _, ratios, k, _ = M.fit_pca(sc, final)
     return M.scree_table(spark, ratios).withColumn("kept", F.col("component") <= k)
 
@@ -846,12 +848,15 @@ def q_dbscan_grid(spark, sf_dir):
 
 @register("stream_refresh")
 def q_stream_refresh(spark, sf_dir):
-    """ST2-ST4: the cleaned lines replayed as a JSON message stream through
-    the foreachBatch refresher; returns the features from the final state."""
+    """ST2-ST4: the raw lines, with repeats of some of them, replayed as a JSON
+    message stream through the foreachBatch refresher, which cleans them and
+    drops the repeats; returns the features from the final state."""
     import uuid
     from patronage.session import scratch_path
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    ST.to_messages(cleaned(spark, sf_dir)).repartition(4).write.json(f"{base}/in")
+    raw = S.transactions(spark, sf_dir)
+    ST.to_messages(raw).write.json(f"{base}/in")
+    ST.to_messages(raw.filter(F.pmod(F.col("CustomerID").cast("long"), F.lit(10)) == 0)).write.mode("append").json(f"{base}/in")
     q, ref = ST.start_refresh(ST.read_folder(spark, f"{base}/in", 1), f"{base}/state", f"{base}/out",
                               f"{base}/ckpt")
     q.awaitTermination()

@@ -60,8 +60,9 @@ def train_personas(features: DataFrame, k: int = K.KMEANS_K, seed: int = K.SEED,
     scaled = scaler.transform(feats)
     s_cols = [f"{c}__s" for c in scale_cols]
     renamed = scaled.select(id_col, *[F.col(f"{c}__s").alias(c) for c in scale_cols])
-    drop = [r["feature"] for r in M.correlation_drop(renamed, scale_cols).collect()]
-    final = M.final_features(drop, scale_cols)
+    dropped = M.correlation_drop(renamed, scale_cols)
+    drop = [r["feature"] for r in dropped.collect()]
+    final = [r["feature"] for r in M.final_features_df(dropped, scale_cols).orderBy("feature").collect()]
     pca_model, ratios, n_pc, signs = M.fit_pca(renamed, final)
     proj = M.pca_project(pca_model, renamed, n_pc, signs)
     pcs = [f"PC{i + 1}" for i in range(n_pc)]
@@ -83,7 +84,14 @@ def train_personas(features: DataFrame, k: int = K.KMEANS_K, seed: int = K.SEED,
     return {"model": model, "features": final, "dropped": drop, "scale_cols": scale_cols,
             "means": means, "scales": sds, "pca_ratios": ratios, "pca_components": n_pc,
             "comparison": table, "best": best, "k": best_k, "personas": personas,
-            "centers": km_model.stages[-1].clusterCenters(), "mapping": mapping}
+            "centers": _ordered(km_model.stages[-1].clusterCenters(), mapping), "mapping": mapping}
+
+
+def _ordered(centers, mapping: dict[int, int]) -> list:
+    """Centres in the order of the renumbered clusters; one that no customer
+    has keeps a place after them."""
+    last = len(mapping)
+    return [centers[i] for i in sorted(range(len(centers)), key=lambda i: (mapping.get(i, last), i))]
 
 
 def predict_personas(model: PipelineModel, features: DataFrame) -> DataFrame:

@@ -1,9 +1,8 @@
 """Spark session helpers.
 
-The library never creates machine-local scratch space on a cluster: the
-checkpoint location comes from ``spark.checkpoint.dir`` of the running
-session. Only a local-mode session (tests, bench) without that setting gets
-a fresh temporary folder.
+The library creates no scratch space of its own: the checkpoint location
+comes from ``spark.checkpoint.dir`` of the running session, which tests, bench
+and the entry point set where it is unset.
 """
 
 from __future__ import annotations
@@ -36,27 +35,20 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering it with the context.
-
-    On a cluster ``spark.checkpoint.dir`` must name a shared folder (HDFS,
-    object store). Only local mode falls back to a new temporary folder.
-    """
+    ``spark.checkpoint.dir`` must name it (HDFS, object store)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="patronage-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 

@@ -136,7 +136,7 @@ def test_upsert_counts(spark):
 def test_stream_equals_batch(spark):
     tx = S.transactions(spark, SF)
     from patronage.operators import clean as C
-    msgs = ST.to_messages(tx)
+    msgs = ST.to_messages(tx.unionByName(tx.filter("Quantity > 40")))
     base = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
     src = os.path.join(base, "in")
     msgs.repartition(3).write.json(src)
@@ -145,8 +145,7 @@ def test_stream_equals_batch(spark):
                               os.path.join(base, "ckpt"))
     q.awaitTermination(300)
     got = ref.latest_features(spark)
-    cleaned = C.positive_quantity(C.drop_blank_customers(C.drop_cancelled(tx)))
-    exp = FT.build_customer_features(cleaned)
+    exp = FT.build_customer_features(C.clean_data(tx))
     cols = ["CustomerID", "Recency", "Frequency", "TotalQty", "ProductDiversity", "CategoryDiversity",
             "WeekendOrders", "NightOrders"]
     assert got.select(*cols).exceptAll(exp.select(*cols)).count() == 0
@@ -161,7 +160,8 @@ def test_kafka_record_encoding(spark):
     v = json.loads(rec["value"])
     assert rec["key"] == v["customer_id"] and set(v) == {f.name for f in ST.MESSAGE_SCHEMA.fields}
     opts = ST.kafka_source_options("host:9092")
-    assert opts["startingOffsets"] == "latest" and opts["maxOffsetsPerTrigger"] == "100"
+    assert opts["startingOffsets"] == "latest" and "maxOffsetsPerTrigger" not in opts
+    assert ST.kafka_source_options("host:9092", records_per_trigger=7)["maxOffsetsPerTrigger"] == "7"
 
 
 def test_generator_and_csv_roundtrip(spark):

@@ -38,9 +38,10 @@ def test_zero_variance_dropped(spark):
     assert bool(v.loc["a", "kept"]) and not bool(v.loc["b", "kept"])
 
 
-def test_final_features_keeps_rfm():
-    assert M.final_features(["Recency", "ReturnRate"], M.KEEP_COLS) == sorted(
-        c for c in M.KEEP_COLS if c != "ReturnRate")
+def test_final_features_keeps_rfm(spark):
+    drop = spark.createDataFrame([("Recency",), ("ReturnRate",)], "feature string")
+    got = {r["feature"] for r in M.final_features_df(drop, M.KEEP_COLS).collect()}
+    assert got == set(M.KEEP_COLS) - {"ReturnRate"}
 
 
 def test_pca_variance_target(spark):
