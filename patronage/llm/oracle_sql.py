@@ -5,8 +5,8 @@ WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ok AS (
   SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
-    AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0),
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
@@ -32,7 +32,7 @@ f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 s AS (
   SELECT q.doc_id AS query_id, p.doc_id,
          round(sum(q.tf * ln(1 + (g.n - f.df + 0.5) / (f.df + 0.5))
-             * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.dl / g.mean))), 9) AS score
+             * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.dl / g.mean))), 6) AS score
   FROM p q JOIN p USING (term) JOIN f USING (term) JOIN lens l ON l.doc_id = p.doc_id, g
   WHERE q.doc_id % 100 = 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
