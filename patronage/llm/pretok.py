@@ -166,7 +166,7 @@ def intern_pieces(texts: list[str], seen: Interner, attach_space: bool = True):
     return idx, np.diff(bounds)
 
 
-def text_groups(texts, limit: int = 1 << 21):
+def text_groups(texts, limit: int = 1 << 20):
     """Index ranges of consecutive texts of about ``limit`` characters; a
     longer text is a range of its own."""
     a, n = 0, 0
