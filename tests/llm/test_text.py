@@ -182,6 +182,29 @@ def test_search_equals_brute_force(spark, small_docs, shard, postings):
     assert all(any(r["query_id"] == r["doc_id"] for r in got if r["query_id"] == q) for q in {r["query_id"] for r in got})
 
 
+@pytest.mark.parametrize("cells, rare, share", [(0, 1, 0.9), (0, 1, 0.3), (0, 10**6, 0.02), (4000, 4, 0.5), (10**6, 16, 0.02)])
+def test_search_shard_pruning_is_exact(monkeypatch, cells, rare, share):
+    monkeypatch.setattr(search, "SHARE", share)
+    rng = np.random.default_rng(3)
+    bags = [np.sort(rng.zipf(1.3, n) % 500).astype(np.int64) for n in rng.integers(0, 120, 700)]
+    row = search._shard_row(list(range(len(bags))), bags)
+    parts = [row.column(c)[0].values.to_numpy().astype(np.int64) for c in range(6)]
+    mean = float(np.mean([len(b) for b in bags]))
+    shard = search.Shard(*parts, mean=mean, block=8, rare=rare, cells=cells)
+    queries = [(t, rng.uniform(0.1, 5, len(t))) for t in (np.unique(b) for b in bags[:70])]
+    got = {i: list(zip(shard.ids[d].tolist(), s.tolist())) for i, d, s in shard.top_all(queries, 5)}
+    for i, (terms, weights) in enumerate(queries):
+        weight, scores = dict(zip(terms.tolist(), weights.tolist())), []
+        for d, bag in enumerate(bags):
+            norm = search.K1 * (1 - search.B + search.B * len(bag) / mean)
+            s = sum(weight.get(t, 0) * n * (search.K1 + 1) / (n + norm)
+                    for t, n in zip(*(x.tolist() for x in np.unique(bag, return_counts=True))))
+            if s > 0:
+                scores.append((-round(s, 6), d))
+        best = sorted(scores)[:5]
+        assert [d for d, _ in sorted(got[i], key=lambda x: (-x[1], x[0]))] == [d for _, d in best]
+
+
 def test_search_odd_rows(spark, odd_docs, no_docs):
     got = search.search(odd_docs, odd_docs.selectExpr("doc_id as query_id", "text"), k=3).collect()
     asked = Counter(r["query_id"] for r in got)
