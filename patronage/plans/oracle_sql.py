@@ -653,3 +653,62 @@ FROM pp"""
 
 ORACLE["stream_refresh"] = with_(FEATURES) + """
 SELECT CustomerID, Recency, Frequency, TotalQty, round(Monetary, 4) AS Monetary FROM feat"""
+
+ORACLE["csv_round_trip"] = ORACLE["table_store"] = ORACLE["request_rows"] = ORACLE["transactions"]
+
+BAD = TX + """,
+bad AS (
+  SELECT * FROM tx UNION ALL
+  SELECT * EXCLUDE (k) REPLACE (
+    CASE WHEN k = 3 THEN NULL ELSE InvoiceID END AS InvoiceID,
+    CASE k WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(9) || ' ' WHEN 2 THEN '  ' || CustomerID || chr(9)
+           ELSE CustomerID END AS CustomerID,
+    CASE k WHEN 4 THEN 0 WHEN 5 THEN -Quantity ELSE Quantity END AS Quantity)
+  FROM (SELECT *, CAST(ProductID AS BIGINT) % 6 AS k FROM tx))"""
+BAD_SELECT = """
+SELECT InvoiceID, CustomerID, strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') AS InvoiceDate, ProductID, Quantity FROM """
+STRIPPED = "(SELECT * REPLACE (regexp_replace(CustomerID, '^\\s+|\\s+$', '', 'g') AS CustomerID) FROM {src})"
+ORACLE["clean_customer_bad_rows"] = with_(BAD) + BAD_SELECT + STRIPPED.format(src="bad") + " WHERE CustomerID <> ''"
+ORACLE["clean_quantity_bad_rows"] = with_(BAD) + BAD_SELECT + "bad WHERE Quantity > 0"
+ORACLE["clean_data_bad_rows"] = with_(BAD) + BAD_SELECT + STRIPPED.format(src="(SELECT DISTINCT * FROM bad)") + """
+WHERE CustomerID <> '' AND Quantity > 0 AND NOT coalesce(starts_with(InvoiceID, 'C'), false)"""
+
+ORACLE["friendly_sources_labelled"] = """
+WITH srcs AS (
+  SELECT DISTINCT coalesce(source, 'none') || '/' || n AS src FROM documents,
+    (SELECT unnest(['CUSTOMER_PERSONAS', 'CUSTOMER_FEATURES_SCALED', 'CUSTOMER_FEATURES', 'DRIFT_BASELINE', 'PIPELINE',
+                    'README', 'PREDICTIONS', '']) AS n)
+  UNION SELECT 'config')
+SELECT src,""" + ORACLE["friendly_sources"].split("SELECT src,", 1)[1]
+
+ORACLE["risk_bands"] = with_(FEATURES) + """
+SELECT CustomerID, CASE WHEN WeekendRatio < 0.3 THEN 'Low' WHEN WeekendRatio < 0.6 THEN 'Medium' ELSE 'High' END AS band,
+       round(abs(ReturnRate - DiscountUsage), 6) AS importance,
+       CASE WHEN ReturnRate - DiscountUsage > 0 THEN 'positive' ELSE 'negative' END AS direction
+FROM feat"""
+
+ORACLE["feature_hash_json"] = with_(FEATURES) + """
+SELECT CustomerID, substring(sha256('{"CategoryDiversity":' || CategoryDiversity || ',"Frequency":' || Frequency
+       || ',"ProductDiversity":' || ProductDiversity || ',"Recency":' || Recency || ',"TotalQty":' || TotalQty || '}'), 1, 16)
+       AS feature_hash
+FROM feat"""
+
+ORACLE["existing_and_new"] = with_(_EARLY) + """
+SELECT f.CustomerID, f.Frequency, e.CustomerID IS NOT NULL AS existing
+FROM feat f LEFT JOIN e_feat e USING (CustomerID)"""
+ORACLE["upsert_values"] = with_(_EARLY) + """
+SELECT coalesce(f.CustomerID, e.CustomerID) AS customer_id,
+       CAST(coalesce(f.Recency, e.Recency) AS DOUBLE) AS recency,
+       CAST(coalesce(f.Frequency, e.Frequency) AS DOUBLE) AS frequency,
+       CAST(coalesce(f.TotalQty, e.TotalQty) AS DOUBLE) AS total_qty,
+       round(coalesce(f.Monetary, e.Monetary), 4) AS monetary, e.CustomerID IS NULL AS created_now
+FROM e_feat e FULL OUTER JOIN feat f USING (CustomerID)"""
+
+ORACLE["forecast_store"] = with_(FORECAST) + "SELECT * FROM fc WHERE Segment = 'BUILDING'"
+ORACLE["drift_baseline"] = FS + """
+SELECT CustomerID, Recency, Frequency, TotalQty, RegionKey, round(Monetary, 4) AS Monetary FROM fs"""
+ORACLE["best_category"] = with_(CLEAN) + """
+SELECT ProductCategory, count(*) AS n FROM clean GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1"""
+ORACLE["top_products_by_category"] = with_(CLEAN) + """
+SELECT * FROM (SELECT ProductCategory, ProductID, CAST(sum(Quantity) AS BIGINT) AS units FROM clean GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY ProductCategory ORDER BY units DESC, ProductID) <= 3"""

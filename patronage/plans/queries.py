@@ -862,3 +862,152 @@ def q_stream_refresh(spark, sf_dir):
     q.awaitTermination()
     return ref.latest_features(spark).select("CustomerID", "Recency", "Frequency", "TotalQty",
                                              F.round("Monetary", 4).alias("Monetary"))
+
+
+# ---------------------------------------------------------------- stores, bad rows, small operators
+
+def _scratch(spark, tag: str) -> str:
+    import uuid
+    from patronage.session import scratch_path
+    return scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
+
+
+@register("csv_round_trip")
+def q_csv_round_trip(spark, sf_dir):
+    """S1 + S4: the view written as CSV and read back by the fixed schema."""
+    from patronage.sources.sinks import write_table
+    path = _scratch(spark, "csv")
+    write_table(S.transactions(spark, sf_dir).withColumn("InvoiceDate", ts_text("InvoiceDate")), path, "csv")
+    return tx_output(S.load_raw_csv(spark, path))
+
+
+@register("table_store")
+def q_table_store(spark, sf_dir):
+    """S2 + S4: the snake-case table stored by category, read back and
+    projected to the batch names in order of date."""
+    from patronage.sources.sinks import write_table
+    path = _scratch(spark, "table")
+    write_table(S.to_snake(S.transactions(spark, sf_dir)), path, partition_by=["product_category"])
+    return tx_output(S.load_transactions(spark.read.parquet(path)))
+
+
+@register("request_rows")
+def q_request_rows(spark, sf_dir):
+    """Snake-case request rows with dates as text, to the batch schema."""
+    asked = S.to_snake(S.transactions(spark, sf_dir).withColumn("InvoiceDate", ts_text("InvoiceDate")))
+    return tx_output(S.from_snake(asked))
+
+
+def bad_rows(spark, sf_dir) -> DataFrame:
+    """The view and derived rows that cleaning must drop or mend: null, blank
+    and padded customers, null invoices, zero and negative quantities."""
+    tx = S.transactions(spark, sf_dir)
+    key = F.pmod(F.col("ProductID").cast("long"), F.lit(6))
+    return tx.unionByName(tx.withColumns({
+        "InvoiceID": F.when(key != 3, F.col("InvoiceID")),
+        "CustomerID": F.when(key == 0, F.lit(None)).when(key == 1, F.lit(" \t "))
+                       .when(key == 2, F.concat(F.lit("  "), "CustomerID", F.lit("\t"))).otherwise(F.col("CustomerID")),
+        "Quantity": F.when(key == 4, F.lit(0)).when(key == 5, -F.col("Quantity")).otherwise(F.col("Quantity"))}))
+
+
+def bad_output(df: DataFrame) -> DataFrame:
+    """Rows for comparison without a division by their quantity."""
+    return df.select("InvoiceID", "CustomerID", ts_text("InvoiceDate").alias("InvoiceDate"), "ProductID", "Quantity")
+
+
+@register("clean_customer_bad_rows")
+def q_clean_customer_bad_rows(spark, sf_dir):
+    """C3 with rows to drop and to strip."""
+    return bad_output(C.drop_blank_customers(bad_rows(spark, sf_dir)))
+
+
+@register("clean_quantity_bad_rows")
+def q_clean_quantity_bad_rows(spark, sf_dir):
+    """C4 with rows to drop."""
+    return bad_output(C.positive_quantity(bad_rows(spark, sf_dir)))
+
+
+@register("clean_data_bad_rows")
+def q_clean_data_bad_rows(spark, sf_dir):
+    """C5 over the view with bad rows; null invoices stay."""
+    return bad_output(C.clean_data(bad_rows(spark, sf_dir)))
+
+
+@register("friendly_sources_labelled")
+def q_friendly_sources_labelled(spark, sf_dir):
+    """Every document source under names that its rules look for."""
+    needles = F.array(*[F.lit(n.upper()) for n, _ in E.SOURCE_LABELS], F.lit(""))
+    src = S.read_table(spark, sf_dir, "documents").select("source").distinct()
+    src = src.select(F.coalesce("source", F.lit("none")).alias("s"), F.explode(needles).alias("n")) \
+             .select(F.concat_ws("/", "s", "n").alias("src"))
+    src = src.unionByName(src.select(F.lit(E.CONFIG_SOURCE[0]).alias("src"))).distinct()
+    return src.select("src", E.friendly_source("src").alias("label"))
+
+
+@register("risk_bands")
+def q_risk_bands(spark, sf_dir):
+    """E7 + E11: band of each customer's share of weekend lines, and the
+    size and sign of its returned less its discounted share."""
+    size, way = E.signed_contribution(F.col("ReturnRate") - F.col("DiscountUsage"))
+    return features(spark, sf_dir).select("CustomerID", E.risk_band("WeekendRatio").alias("band"),
+                                          size.alias("importance"), way.alias("direction"))
+
+
+@register("feature_hash_json")
+def q_feature_hash_json(spark, sf_dir):
+    """The change key over the whole-number features."""
+    cols = ["TotalQty", "Recency", "ProductDiversity", "Frequency", "CategoryDiversity"]
+    return features(spark, sf_dir).select("CustomerID", E.feature_hash(cols).alias("feature_hash"))
+
+
+@register("existing_and_new")
+def q_existing_and_new(spark, sf_dir):
+    """Customers with features, against the stored early half."""
+    table, _ = _stored(spark, sf_dir)
+    known, new = U.existing_and_new(table.select(F.col("customer_id").alias("CustomerID")),
+                                    features(spark, sf_dir).select("CustomerID", "Frequency"))
+    return (known.withColumn("existing", F.lit(True))
+                 .unionByName(new.withColumn("existing", F.lit(False))))
+
+
+@register("upsert_values")
+def q_upsert_values(spark, sf_dir):
+    """The merged table itself: new values of customers in the full
+    period, stamps kept or set."""
+    table, ref = _stored(spark, sf_dir)
+    table = table.withColumn("created_at", F.lit("2001-01-01 00:00:00").cast("timestamp"))
+    merged, _ = U.upsert_features(table, features(spark, sf_dir), now=ref)
+    return merged.select("customer_id", "recency", "frequency", "total_qty", F.round("monetary", 4).alias("monetary"),
+                         (F.col("created_at") == F.col("updated_at")).alias("created_now"))
+
+
+@register("forecast_store")
+def q_forecast_store(spark, sf_dir):
+    """Forecasts of all segments stored by key, one read back."""
+    path = _scratch(spark, "forecast")
+    FC.save_forecast(FC.forecast_all(tx_segment(spark, sf_dir), "Segment"), path, "Segment")
+    return FC.get_forecast(spark, path, "BUILDING")
+
+
+@register("drift_baseline")
+def q_drift_baseline(spark, sf_dir):
+    """The baseline snapshot stored and read back."""
+    from patronage.sources.sinks import write_table
+    path = _scratch(spark, "baseline")
+    write_table(R.baseline_snapshot(feat_seg(spark, sf_dir)), path)
+    got = spark.read.parquet(path)
+    return got.select("CustomerID", "Recency", "Frequency", "TotalQty", "RegionKey", F.round("Monetary", 4).alias("Monetary"))
+
+
+@register("best_category")
+def q_best_category(spark, sf_dir):
+    """The category with the most lines, ties to the first name."""
+    return P.best_by(cleaned(spark, sf_dir).groupBy("ProductCategory").agg(F.count(F.lit(1)).alias("n")),
+                     "n", "ProductCategory")
+
+
+@register("top_products_by_category")
+def q_top_products_by_category(spark, sf_dir):
+    """The three products of each category with the most units."""
+    sums = cleaned(spark, sf_dir).groupBy("ProductCategory", "ProductID").agg(F.sum("Quantity").alias("units"))
+    return P.ranked_within(sums, ["ProductCategory"], [F.desc("units"), F.asc("ProductID")], 3)
