@@ -205,6 +205,30 @@ def test_search_shard_pruning_is_exact(monkeypatch, cells, rare, share):
         assert [d for d, _ in sorted(got[i], key=lambda x: (-x[1], x[0]))] == [d for _, d in best]
 
 
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_search_carries_the_best_over_shards(spark, small_docs, tasks):
+    """Copies tie across shards; every task hands on one list a query."""
+    twice = small_docs.unionAll(small_docs.selectExpr("doc_id + 100000", "text", "lang", "source", "n_chars")).repartition(3)
+    docs = [tuple(r) for r in twice.select("doc_id", "text").collect()]
+    queries = small_docs.filter("doc_id % 20 = 0").selectExpr("doc_id as query_id", "text")
+    got = search.search(twice, queries, k=3, shard_docs=23, tasks=tasks).collect()
+    want = plain_bm25(docs, [(i, t) for i, t in docs if i % 20 == 0 and i < 100000], 3)
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [w[:2] for w in want]
+    assert sorted(r["score"] for r in got) == pytest.approx(sorted(w[2] for w in want), abs=2e-6)
+    first = {r["query_id"]: r["doc_id"] for r in got if r["rank"] == 1}
+    assert all(d < 100000 for d in first.values())
+
+
+def test_best_keeps_ties_by_id():
+    best = search.Best(2, 2)
+    best.add(0, np.array([9, 5]), np.array([1.0, 1.0]))
+    best.add(0, np.array([7, 1]), np.array([1.0, 0.5]))
+    best.add(1, np.array([3]), np.array([0.0]))
+    q, ids, score = best.rows()
+    assert (q.tolist(), ids.tolist(), score.tolist()) == ([0, 0, 1], [5, 7, 3], [1.0, 1.0, 0.0])
+    assert best.least.tolist() == [1.0, 0.0]
+
+
 def test_search_odd_rows(spark, odd_docs, no_docs):
     got = search.search(odd_docs, odd_docs.selectExpr("doc_id as query_id", "text"), k=3).collect()
     asked = Counter(r["query_id"] for r in got)
