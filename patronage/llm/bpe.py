@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from patronage.llm.pretok import Interner, intern_pieces, text_groups
 
-REPLAY_PIECES = 3_000_000  # piece occurrences that share one replay: bounds a task's memory
+REPLAY_PIECES = 1_000_000  # piece occurrences that share one replay: bounds a task's memory
 NO_RANK = np.int32(2**31 - 1)
 
 
