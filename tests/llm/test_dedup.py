@@ -207,3 +207,38 @@ def test_lines_report_covers_small_table(spark, small_docs):
     assert len(got) == len(rows)
     for (i, _), g in want.items():
         assert got[i]["n_removed"] >= len(g)
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_lines_cuts_every_later_line(spark, table):
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    seen, want = set(), {}
+    for r in docs.orderBy("doc_id").collect():
+        out = want.setdefault(r["doc_id"], [])
+        for i, line in enumerate(r["text"].split("\n")):
+            if line.split():
+                key = " ".join(line.split())
+                out += [i] if key in seen else []
+                seen.add(key)
+    got = {r["doc_id"]: r["removed"] for r in lines.dedup_report(docs).collect()}
+    assert got == {d: ",".join(map(str, gone)) for d, gone in want.items()}
+
+
+def test_lines_of_few_words(spark):
+    df = spark.createDataFrame([(1, "Menu\nown words"), (2, "Menu"), (3, "  Menu \n\nAll rights reserved.\nx"),
+                                (4, "All rights  reserved.\nMenu\ny\nMenu")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()} == {
+        1: "Menu\nown words", 2: "", 3: "\nAll rights reserved.\nx", 4: "y"}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_lines_wider_windows(spark, seed):
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sure, may = plain_runs(rows, 20), plain_runs(rows, 10)
+    keys = {(r["_k1"], r["_k2"]): (r["doc_id"], r["text"] or "") for r in df.select(
+        "doc_id", "text", *lines.row_keys(df["doc_id"], df["text"])).collect()}
+    cut = {keys[(r["_k1"], r["_k2"])]: {k for x in r["runs"] for k in range(x["a"], x["z"] + 1)}
+           for r in lines.repeated_runs(df, gram=10, least=20).collect()}
+    for key in sure:
+        assert sure[key] <= cut.get(key, set()) <= may[key], key
