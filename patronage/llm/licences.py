@@ -3,7 +3,8 @@
 A text is cut into sentences, once within its lines and once over paragraphs
 whose lines are joined (wrapped notices). A sentence is normalised (lower case,
 runs of other characters than letters and digits as one blank) and looked up
-among the known licence sentences. The sequence of their identifiers is then
+among the known licence sentences; a copyright notice ends with its sentence
+and gives way to them. The sequence of their identifiers is then
 matched against ordered rules, longest first: a rule matches consecutive
 identifiers, copyright lines between them aside, no more than ``MAX_GAP``
 characters apart. A sentence serves one match.
@@ -15,6 +16,7 @@ rows give equal rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -97,7 +99,8 @@ _SENTENCE = re.compile(r"[^.!?:;\n]+(?:[.!?:;](?!\s|$)[^.!?:;\n]*)*[.!?:;]*")
 _WRAPPED = re.compile(r"[^.!?:;]+(?:[.!?:;](?!\s|$)[^.!?:;]*)*[.!?:;]*")
 _PARAGRAPH = re.compile(r"(?:[^\n]*\S[^\n]*\n?)+")
 _OTHER = re.compile(r"[\W_]+")
-_COPYRIGHT = re.compile(r"(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t]*[0-9]{4}[^\n]{0,200}", re.I)
+_COPYRIGHT = re.compile(r"(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©)?[ \t]*[0-9]{4}"
+                        r"(?:[^.!?:;\n]|[.!?:;](?!\s|$))*[.!?:;]*", re.I)
 
 
 def normalise(sentence: str) -> str:
@@ -128,7 +131,7 @@ def _identify(pieces: list[tuple[int, int, str]], out: set):
 
 def sentence_ids(text: str) -> list[tuple[int, int, str]]:
     """(start, end, identifier) of every known sentence, by start; of two that
-    overlap the longer stays."""
+    overlap the longer stays. Copyright notices that overlap none are added."""
     low = text.lower()
     if not any(a in low for a in ANCHORS):
         return []
@@ -140,13 +143,20 @@ def sentence_ids(text: str) -> list[tuple[int, int, str]]:
             got = [(par.start() + m.start(), par.start() + m.end(), normalise(m.group()))
                    for m in _WRAPPED.finditer(par.group())]
             _identify([p for p in got if p[2]], out)
-    out |= {(m.start(), m.end(), COPYRIGHT) for m in _COPYRIGHT.finditer(text)}
+    starts: list = []
     kept: list = []
-    for s in sorted(out, key=lambda s: (s[0], -s[1], s[2])):
-        lead = len(text[s[0]: s[1]]) - len(text[s[0]: s[1]].lstrip())
-        s = (s[0] + lead, s[1], s[2])
-        if not kept or s[0] >= kept[-1][1]:
-            kept.append(s)
+
+    def keep(a, z, name):
+        i = bisect_right(starts, a)
+        if (not i or kept[i - 1][1] <= a) and (i == len(kept) or z <= kept[i][0]):
+            starts.insert(i, a)
+            kept.insert(i, (a, z, name))
+
+    bare = {(z - len(text[a:z].lstrip()), z, name) for a, z, name in out}
+    for s in sorted(bare, key=lambda s: (s[0] - s[1], s)):
+        keep(*s)
+    for m in _COPYRIGHT.finditer(text):
+        keep(m.start(), m.end(), COPYRIGHT)
     return kept
 
 

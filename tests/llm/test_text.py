@@ -140,6 +140,23 @@ def test_licence_rules():
     assert [(n, text[a:z]) for n, a, z in got] == [("MIT", "Released under the MIT License."), ("all-rights-reserved", "All rights reserved.")]
 
 
+def test_licence_sentences_on_the_line_of_a_copyright():
+    s = licences.SENTENCES
+    for c in ("Copyright (c) 2020 Jane Doe.", "copyright 2020 X.", "\u00a9 2019-2021 J. Doe and others, Inc.", "(c) 2020 a.b.c!"):
+        for name, want in (("reserved", "all-rights-reserved"), ("apache-head", "Apache-2.0"), ("gpl-free", "GPL-3.0-or-later"),
+                           ("isc-grant", "ISC")):
+            for text in (f"{c} {s[name]}", f"{c} {s[name]} {c}", f"x\n{c} Some words. {s[name]}\ny"):
+                found = licences.sentence_ids(text)
+                assert [(n, text[a:z]) for a, z, n in found if n != licences.COPYRIGHT] == [(name, s[name])], text
+                assert sum(n == licences.COPYRIGHT for _, _, n in found) == text.count(c)
+                assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+                assert [m[0] for m in licences.match_rules(found)] == [want]
+    text = " ".join(["Copyright (c) 2020 Jane Doe. All rights reserved.", s["apache-head"], s["apache-copy"], s["apache-as-is"], s["apache-see"]])
+    assert [m[0] for m in licences.match_rules(licences.sentence_ids(text))] == ["all-rights-reserved", "Apache-2.0"]
+    text = "Copyright (c) 2020 Jane Doe. All rights reserved."
+    assert licences.sentence_ids(text) == [(0, 28, "copyright"), (29, 49, "reserved")]
+
+
 def test_licence_scan(spark, odd_docs, no_docs, small_docs):
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
              "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
