@@ -13,13 +13,15 @@ Spark's committer handles lost tasks and the files need no local paths:
   part, chunk   place in the sorted order       first, n   ids before it in its part, ids in it
   doc_ids, doc_lens   its documents             block, planes   ids a block, compressed planes
 
-Null and empty texts hold the end id alone; a long text only makes its chunk
+Added tokens of the vocabulary file (``<|endoftext|>``) that stand in a text get
+their own ids. Null and empty texts hold the end id alone; a long text only makes its chunk
 long; rows with equal ids follow each other in the order of their text hashes;
 null ids come first. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import uuid
 import zlib
@@ -81,9 +83,18 @@ def unpack_ids(planes: list[bytes], n: int, block: int) -> np.ndarray:
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _added(path: str) -> dict[str, int]:
+    """The file's added tokens and their ids. They are looked for in the text
+    as it is; options that match them otherwise are refused."""
+    added = _tokenizer(path).get_added_tokens_decoder()
+    for t in added.values():
+        if t.normalized or t.single_word or t.lstrip or t.rstrip:
+            raise ValueError(f"added token {t.content!r} has options that are not supported")
+    return {t.content: i for i, t in added.items() if t.content}
 
 
 @lru_cache(maxsize=1)
@@ -101,10 +112,15 @@ def normalise(text: str) -> str:
 
 class Encoder:
     """Ids of whole texts: each distinct piece goes through the library's BPE
-    model once and is remembered by its number."""
+    model once and is remembered by its number. Texts are cut at the file's
+    added tokens before they are normalised, as the library does unless its
+    switch of the same name, ``encode_special_tokens``, is set."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         self.model = _tokenizer(path).model
+        self.added = {} if encode_special_tokens else _added(path)
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cutter = re.compile(f"({'|'.join(map(re.escape, longest_first))})")
         self._reset()
 
     def _reset(self):
@@ -124,6 +140,18 @@ class Encoder:
         self.known = len(self.seen.order)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        # plain text, token, plain text, ...
+        cuts = [self.cutter.split(t) if any(x in t for x in self.added) else [t] for t in texts]
+        plain = iter(self._plain([p for c in cuts for p in c[::2]]))
+        out = []
+        for c in cuts:
+            ids = [next(plain)]
+            for token in c[1::2]:
+                ids += [np.array([self.added[token]], np.uint32), next(plain)]
+            out.append(np.concatenate(ids) if len(ids) > 1 else ids[0])
+        return out
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         clean = [normalise(t) for t in texts]
         for a, b in text_groups(clean):
@@ -151,7 +179,7 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        enc = Encoder(path)
+        enc = Encoder(path, encode_special_tokens=False)
         first = number = held = 0
         doc_ids: list = []
         ids: list[np.ndarray] = []

@@ -111,3 +111,30 @@ def test_write_and_read(spark, odd_docs, small_docs, no_docs, bits):
             assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
             start += r["n_tokens"]
     assert binary.read_ids(spark, binary.write_ids(no_docs, VOCAB)).count() == 0
+
+
+ADDED = ["<|endoftext|>", "<|startoftext|>"]
+
+
+def test_encoder_cuts_at_added_tokens():
+    t, rng = Tokenizer.from_file(VOCAB), random.Random(7)
+    parts = [*ADDED, "<|EndOfText|>", "<|endoftext", "|>", "<|", " ", "'s", "a", "\u0301", "\u03a3", "12", "\n", "The words"]
+    texts = odd_texts(300) + ["a <|endoftext|> b", *ADDED, "<|<|endoftext|>|>", "x<|endoftext|><|endoftext|>\u0301y"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    got = [i.tolist() for i in binary.Encoder(VOCAB, encode_special_tokens=False).encode(texts)]
+    bad = [(x, a, b) for x, a, b in zip(texts, got, want) if a != b]
+    assert not bad, bad[:3]
+    assert got[texts.index("a <|endoftext|> b")] == [320, 49407, 321]
+
+
+def test_written_ids_equal_unchanged_library(spark):
+    t = Tokenizer.from_file(VOCAB)
+    rows = [(1, "a <|endoftext|> b"), (2, "plain"), (3, "<|startoftext|>x<|endoftext|>"), (4, None)]
+    folder = binary.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), VOCAB)
+    want, start = [], 0
+    for i, x in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids + [2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
+        start += len(ids)
+    assert [tuple(r) for r in binary.read_ids(spark, folder, with_ids=True).orderBy("start").collect()] == want
