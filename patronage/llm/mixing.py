@@ -6,7 +6,12 @@ of its source's size and the excess is shared again by weight. A source is
 taken whole as often as its target allows; for the rest of its budget the
 documents are counted by exact size, a proportional share of every size is
 taken, and bounded-knapsack dynamic programming over the sizes left fills what
-remains (a window of ``WINDOW`` words). Which documents of a size are taken is
+remains: first by the largest sizes down to a window of ``WINDOW`` words and
+exactly inside it; where that is not as near as can be, by the sums of all
+documents left against all that remains, then by the sums of all documents
+against the whole budget. The nearest of these is taken. Sums are held one by
+one up to ``SUMS`` of them, from then on one for each ``SUMS``-th part of the
+budget, each with its exact value; every sum met is compared. Which documents of a size are taken is
 decided by a seeded hash.
 
 Documents never gather by source: they are counted by (source, size, hash
@@ -33,6 +38,7 @@ SHARE = 1.5
 CAP = 2
 SEED = 17
 WINDOW = 1 << 16
+SUMS = 1 << 20
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
@@ -104,22 +110,93 @@ def knapsack(size: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
+def least_miss(size: np.ndarray, count: np.ndarray, budget: int) -> int:
+    """How far from ``budget`` any sum must stay: the sizes' common divisor and
+    their total tell."""
+    held = (count > 0) & (size > 0)
+    if not held.any():
+        return budget
+    g = int(np.gcd.reduce(size[held]))
+    return max(budget - int((size * count)[held].sum()), min(budget % g, -budget % g))
+
+
+def nearest(size: np.ndarray, count: np.ndarray, budget: int, sums: int = SUMS) -> np.ndarray:
+    """How many of each size to take so that their sum comes near ``budget``,
+    above or below: exactly as near as it can while there are no more than
+    ``sums`` different sums below it."""
+    take = np.zeros(len(size), np.int64)
+    if budget <= 0:
+        return take
+    floor = least_miss(size, count, budget)
+    real, maker, parent = np.zeros(1, np.int64), np.full(1, -1, np.int32), np.full(1, -1, np.int32)
+    miss, end, items = budget, (0, -1), []
+    # words a cell; 0: sums are told apart by their value
+    unit, full = int(budget <= sums), np.zeros(sums + 1, bool)
+    full[0] = True
+    for k in np.argsort(-size, kind="stable").tolist():
+        s, left, piece = int(size[k]), int(count[k]), 1
+        while s > 0 and left > 0 and miss > floor:
+            p = min(piece, left)
+            left -= p
+            piece *= 2
+            new = real + s * p
+            d = np.abs(new - budget)
+            at = int(d.argmin())
+            if d[at] < miss:
+                miss, end = int(d[at]), (at, len(items))
+            fresh = np.flatnonzero(new < budget)
+            if unit:
+                fresh = fresh[~full[new[fresh] // unit]]
+                cell, one = np.unique(new[fresh] // unit, return_index=True)
+                full[cell] = True
+                fresh = fresh[one]
+            else:
+                fresh = fresh[~np.isin(new[fresh], real)]
+            real = np.concatenate([real, new[fresh]])
+            maker = np.concatenate([maker, np.full(len(fresh), len(items), np.int32)])
+            parent = np.concatenate([parent, fresh.astype(np.int32)])
+            items.append((k, p))
+            if not unit and len(real) > sums:
+                unit = -(-budget // sums)
+                full[real // unit] = True
+    at, item = end
+    while item >= 0:
+        k, p = items[item]
+        take[k] += p
+        item, at = int(maker[at]), int(parent[at])
+    return take
+
+
 def fit(size: np.ndarray, count: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
     """How many documents of each size to take once for a budget of words."""
     total = int((size * count).sum())
     if total <= 0 or budget <= 0:
         return np.zeros(len(size), np.int64)
-    take = np.minimum(count, np.floor(count * (budget / total)).astype(np.int64))
-    left = budget - int((take * size).sum())
+    share = np.minimum(count, np.floor(count * (budget / total)).astype(np.int64))
+    left = budget - int((share * size).sum())
     while left < 0:  # rounding of a very large count
-        k = int(np.argmax(np.where(take > 0, size, -1)))
-        take[k] -= 1
+        k = int(np.argmax(np.where(share > 0, size, -1)))
+        share[k] -= 1
         left += int(size[k])
+    best = share + fill(size, count - share, left, window)
+    for start, rest in ((share, left), (np.zeros(len(size), np.int64), budget)):
+        miss = abs(budget - int((best * size).sum()))
+        if miss <= least_miss(size, count - start, rest):
+            continue
+        other = start + nearest(size, count - start, rest)
+        if abs(budget - int((other * size).sum())) < miss:
+            best = other
+    return best
+
+
+def fill(size: np.ndarray, count: np.ndarray, left: int, window: int) -> np.ndarray:
+    """The largest sizes down to ``window`` words, then ``knapsack``."""
+    take = np.zeros(len(size), np.int64)
     for k in np.argsort(-size, kind="stable").tolist():
         if left <= window:
             break
         s = int(size[k])
-        more = min(int(count[k] - take[k]), -(-(left - window) // max(1, s)), left // max(1, s)) if s else 0
+        more = min(int(count[k]), -(-(left - window) // max(1, s)), left // max(1, s)) if s else 0
         take[k] += more
         left -= more * s
     small = (size <= 2 * left) & (size > 0) & (count > take)

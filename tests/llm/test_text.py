@@ -321,3 +321,40 @@ def test_knapsack_is_exact(seed):
         assert abs((take * size).sum() - budget) == min(abs(x - budget) for x in sums)
         near = mixing.fit(size, count, min(budget, int((size * count).sum())), window=100)
         assert (near <= count).all() and (near >= 0).all()
+
+
+def test_fit_compares_with_the_whole_remainder():
+    k = 1000
+    size, one = np.array([400, 500, 700]) * k, np.ones(3, np.int64)
+    assert mixing.fit(size, one, 900 * k).tolist() == [1, 1, 0]
+    # a long text is added where it comes nearer, above the budget too
+    assert mixing.fit(np.array([300 * k]), np.array([1]), 200 * k).tolist() == [1]
+    assert mixing.fit(np.array([300 * k]), np.array([1]), 100 * k).tolist() == [0]
+    # taken for its share, a text of 400k would leave 100k that nothing fills
+    assert mixing.fit(np.array([300, 400, 500, 700]) * k, np.array([1, 2, 1, 1]), 1500 * k).dot(np.array([300, 400, 500, 700])) == 1500
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_fit_of_few_long_documents_is_exact(seed):
+    rng = random.Random(seed)
+    size = np.array(sorted(rng.sample(range(60_000, 900_000), 7)))
+    count = np.array([rng.randint(1, 2) for _ in size])
+    sums = {0}
+    for s, c in zip(size.tolist(), count.tolist()):
+        sums = {x + s * k for x in sums for k in range(c + 1)}
+    for part in (0.03, 0.2, 0.5, 0.77, 0.99):
+        budget = int((size * count).sum() * part)
+        take = mixing.fit(size, count, budget)
+        assert (take <= count).all() and (take >= 0).all()
+        assert abs(int((take * size).sum()) - budget) == min(abs(x - budget) for x in sums)
+
+
+def test_nearest_on_scaled_sums():
+    rng = random.Random(1)
+    size = np.array(sorted(rng.sample(range(100_000, 5_000_000), 60)))
+    count = np.ones(60, np.int64)
+    budget = int(size.sum()) // 2 + 1
+    take = mixing.nearest(size, count, budget, sums=1000)
+    assert (take <= count).all() and abs(int((take * size).sum()) - budget) <= budget // 10_000
+    for sums in (10, 1 << 20):  # sizes with a common divisor stop at the nearest multiple
+        assert mixing.nearest(np.array([2, 4]), np.array([50, 50]), 101, sums).dot([2, 4]) in (100, 102)
