@@ -1,5 +1,5 @@
 """The corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing of
-sources and byte-level BPE encoding, each stage on all that the one before it
+sources and byte-level BPE encoding and decoding, each stage on all that the one before it
 kept. Counted as part of the subpackage ``patronage.llm``."""
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def encode(spark, docs, sf_dir):
-    """Token ids of every document."""
-    return bpe.encode(docs, vocabulary("byte_bpe_50k.tiktoken"), keep=("doc_id", "lang", "source"))
+    """Token ids of every document, decoded again and held against its text."""
+    return bpe.encode(docs, vocabulary("byte_bpe_50k.tiktoken"), keep=("doc_id", "lang", "source"), verify=True)
 
 
 STAGES = [("language_id", language), ("line_dedup", line_dedup), ("simhash_near_dedup", near_dedup),

@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections import deque
 from functools import lru_cache
 
 import numpy as np
@@ -212,15 +213,34 @@ def encoded_batches(batches, text_col: str, path: str, pieces: int = REPLAY_PIEC
     yield from flush()
 
 
+def _sha256(raw: bytes) -> bytes:
+    return hashlib.sha256(raw).digest()
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple = ("doc_id",),
-           pieces: int = REPLAY_PIECES) -> DataFrame:
+           pieces: int = REPLAY_PIECES, verify: bool = False) -> DataFrame:
     """``keep`` columns, ``n_tokens`` and ``ids`` (array<int>) of every row's
-    whole text. Other columns, also ones with these names, are dropped."""
+    whole text. Other columns, also ones with these names, are dropped. With
+    ``verify``, the ids are decoded in the same pass and a row that does not
+    give its text again (compared by sha256) raises."""
     src = df.select(*keep, df[text_col].cast("string").alias("_text"))
     schema = src.drop("_text").schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
-        for b, ids in encoded_batches(batches, "_text", path, pieces):
+        ranks, texts = load_ranks(path), deque()
+
+        def digests():
+            for b in batches:
+                if verify:
+                    texts.extend(_sha256((t or "").encode("utf-8", "surrogatepass")) for t in b.column("_text").to_pylist())
+                yield b
+
+        for b, ids in encoded_batches(digests(), "_text", path, pieces):
+            if verify:
+                for k, i in enumerate(ids):
+                    if _sha256(decode_ids(i.tolist(), ranks)) != texts.popleft():
+                        row = {c: b.column(c)[k].as_py() for c in keep}
+                        raise ValueError(f"decoded ids differ from the text of row {row}")
             cols = [b.column(c) for c in keep]
             off = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)

@@ -1,6 +1,8 @@
 """The pipeline's stages, each against its own input."""
 
 import corpus_pipeline
+import pytest
+from patronage.llm import bpe
 from patronage.llm.queries import QUERIES
 
 
@@ -26,3 +28,15 @@ def test_run_on_small_table(spark):
 
 def test_every_operator_has_its_query():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_last_stage_decodes_its_ids(spark, odd_docs, monkeypatch):
+    held = {}
+    monkeypatch.setattr(type(odd_docs), "mapInArrow", lambda self, f, schema: held.update(f=f, src=self) or self)
+    corpus_pipeline.encode(spark, odd_docs, "")
+    batches = held["src"].toArrow().to_batches()
+    assert sum(b.num_rows for b in held["f"](iter(batches))) == odd_docs.count()
+    right = bpe.Slice.encoded
+    monkeypatch.setattr(bpe.Slice, "encoded", lambda self, ranks: (i[:-1] for i in right(self, ranks)))
+    with pytest.raises(ValueError, match="decoded ids differ"):
+        list(held["f"](iter(batches)))
