@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patronage.llm import bpe, binary, langid, lattice, licences, lines, mixing, pii, search, simhash
+from patronage.llm import (bpe, binary, hosts, langid, lattice, licences, lines, maxscore, mixing, pii, repetitions, search,
+                           simhash)
 from patronage.sources.tables import read_table
 
 
@@ -58,6 +59,25 @@ def op10_source_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_blockmax_maxscore(spark, sf_dir):
+    return maxscore.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_period_runs(spark, sf_dir):
+    return repetitions.run_report(read_table(spark, sf_dir, "documents"))
+
+
+# The contract's rules: (host, path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_url_filter(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    outcomes = hosts.numbered_outcomes(hosts.with_host(pages.select("url")), read_table(spark, sf_dir, "labels"))
+    return hosts.judge(pages, outcomes, hosts.rule_table(spark, URL_RULES))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_pii, op3_byte_bpe, op4_language_id, op5_line_dedup, op6_simhash_near_dedup,
-    op7_token_binary, op8_license_scan, op9_topk_search, op10_source_mixing)}
+    op7_token_binary, op8_license_scan, op9_topk_search, op10_source_mixing, op11_blockmax_maxscore, op12_period_runs,
+    op13_url_filter)}
