@@ -5,19 +5,23 @@ A document is its sequence of non-blank lines (white space collapsed), each a
 ``gram`` words; a window is the grams inside the shortest run with
 ``least`` words. The least gram hash of every window is a fingerprint, so
 any repeated run of ``least`` words or more holds a fingerprint that is
-selected in each of its copies, whatever surrounds them.
-
-By default both are one word: every non-blank line is a window, a gram and a
-fingerprint of its own. Positions are joined on fingerprints that occur more
-than once, and every occurrence but the first (by doc_id, then line) is
-deleted. Longer repeated runs go with their lines, each of which stands
-earlier too, so nothing is left for an extension to find. What goes is
-exactly: every non-blank line that stands earlier.
-
-With wider windows each occurrence is extended both ways, line by line, over
-the reach of a window; the extended runs are matched by their hashes, and what
-goes is the lines that lie in a run of ``least`` words or more that stands
-earlier, and those that extend a repeated fingerprint; shorter ones stay.
+selected in each of its copies, whatever surrounds them. Positions are joined on
+fingerprints that occur more than once, each occurrence is extended both ways,
+line by line, over the reach of a window, and the extended runs are matched by their hashes:
+an occurrence is deleted unless it is the first (by doc_id, then line). Fingerprints lie no
+further apart than a window, so the extended runs cover a repeated run of any length from end to end.
+
+Levels follow each other through the same steps, each on the lines that are left.
+The first has windows of ``LEVELS[0]`` words over single lines: it takes repeated passages of
+several lines and needs a fraction of all lines for it. In the last each
+window is one line, and takes repeated lines that stand alone or in runs too
+short for the first. As a first occurrence is never deleted, the lines left are enough to
+find every later one. What goes in the end is exactly: every non-blank line
+that stands earlier.
+
+With one level of wider windows (``gram``, ``least``), what goes is the lines that lie in a run
+of ``least`` words or more that stands earlier, and those that extend a repeated
+fingerprint; shorter ones stay.
 
 Matching is a grouped minimum, so a line shared by a third of all documents is
 never expanded into pairs.
@@ -37,8 +41,9 @@ from pyspark.sql import types as T
 
 from patronage.llm.common import row_keys, store
 
-MIN_WORDS = 1   # repeated runs of so many words are found for certain: any non-blank line
+MIN_WORDS = 1   # repeated runs of so many words are found for certain in the last level: any non-blank line
 GRAM_WORDS = 1  # words that a fingerprint covers
+LEVELS = ((GRAM_WORDS, 150), (GRAM_WORDS, MIN_WORDS))  # (gram, window) of each level, in words
 
 
 def line_hashes(text: str):
@@ -64,9 +69,20 @@ def _ends(words: np.ndarray, need: int) -> np.ndarray:
     return np.searchsorted(total, total[:-1] + need, side="left") - 1
 
 
-def fingerprints(lines: bytes, words: list[int], gram: int = GRAM_WORDS, least: int = MIN_WORDS):
-    """Selected grams of a document: {first line: (last line, hash)}."""
+def fingerprints(lines: bytes, words: list[int], gram: int = GRAM_WORDS, least: int = MIN_WORDS, gone=()):
+    """Selected grams of a document: {first line: (last line, hash)}. Lines in the
+    runs ``gone`` are in no gram; the lines around them count as neighbours."""
     n = len(words)
+    if gone:
+        left = np.ones(n, bool)
+        for a, z in gone:
+            left[a: z + 1] = False
+        at = np.flatnonzero(left).tolist()
+        kept = b"".join(lines[16 * i: 16 * i + 16] for i in at)
+        return {at[a]: (at[z], h) for a, (z, h) in fingerprints(kept, [words[i] for i in at], gram, least).items()
+                if at[z] - at[a] == z - a}
+    if least <= 1:
+        return {i: (i, run_hash(lines, i, i)) for i in range(n)}
     w = np.array(words, np.int64)
     gram_end, run_end = _ends(w, gram).tolist(), _ends(w, least).tolist()
     hashes = [run_hash(lines, i, gram_end[i]) if gram_end[i] < n else None for i in range(n)]
@@ -121,53 +137,53 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(run, src.drop("_text").schema.add("lines", "binary").add("words", T.ArrayType(T.IntegerType())))
 
 
-def line_marks(table: DataFrame) -> DataFrame:
-    """_k1, _k2, doc_id, a, z (= a) and hash of every line of a line table."""
-    def run(batches):
-        for b in batches:
-            n = np.diff(b.column("words").offsets.to_numpy())
-            row = pa.array(np.repeat(np.arange(b.num_rows), n))
-            a = pa.array((np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))
-            h = np.frombuffer(b"".join(b.column("lines").to_pylist()), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(row) for c in ("_k1", "_k2", "doc_id")), a, a,
-                 pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))],
-                ["_k1", "_k2", "doc_id", "a", "z", "h1", "h2"])
-
-    return table.mapInArrow(run, "_k1 long, _k2 long, doc_id long, a int, z int, h1 long, h2 long")
-
-
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  gram: int = GRAM_WORDS, least: int = MIN_WORDS) -> DataFrame:
+                  gram: int | None = None, least: int | None = None, levels=LEVELS) -> DataFrame:
     """(_k1, _k2, runs): for each document with something to delete, the runs
-    (first, last non-blank line) that stand earlier too."""
+    (first, last non-blank line) that stand earlier too. ``gram`` and ``least``
+    ask for a single level."""
+    if least is not None:
+        levels = ((gram or least, least),)
     table = store(line_table(docs, id_col, text_col), "lines")
-    runs = store(line_marks(table), "lines-runs") if least <= 1 else extended_runs(table, gram, least)
+    found = None
+    for gram, least in levels:
+        later = later_runs(extended_runs(table, gram, least, found))
+        # copies of a row are one document: their runs are the same
+        part = later.groupBy("_k1", "_k2", "a").agg(F.max("z").alias("z"))
+        if found is not None:
+            part = part.unionAll(found.select("_k1", "_k2", F.inline("runs")))
+        found = store(part.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("a", "z")).alias("runs")), "lines-found")
+    return found
+
+
+def later_runs(runs: DataFrame) -> DataFrame:
+    """The occurrences of runs of equal hash but the first of each."""
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_k1", "_k2", "a")
     # written, so that the join reads both sides from exchanges and a hot line can be dealt over tasks
     first = store(runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
                       .filter("first <> last").select("h1", "h2", "first"), "lines-first")
-    later = runs.join(first, ["h1", "h2"]).filter(place > F.col("first"))
-    return (later.groupBy("_k1", "_k2", "a").agg(F.max("z").alias("z"))
-                 .groupBy("_k1", "_k2").agg(F.collect_list(F.struct("a", "z")).alias("runs")))
+    return runs.join(first, ["h1", "h2"]).filter(place > F.col("first"))
 
 
-def extended_runs(table: DataFrame, gram: int, least: int) -> DataFrame:
+def extended_runs(table: DataFrame, gram: int, least: int, gone: DataFrame | None = None) -> DataFrame:
     """_k1, _k2, doc_id, a, z and hash of the repeated fingerprints of a line
-    table and of the runs that extend them."""
+    table and of the runs that extend them; lines in the runs ``gone`` are left out."""
+    source = table.select("_k1", "_k2", "lines", "words")
+    source = source.join(gone, ["_k1", "_k2"], "left") if gone is not None else source.withColumn(
+        "runs", F.lit(None).cast("array<struct<a:int,z:int>>"))
+
     def select(batches):
         for b in batches:
             out = [[] for _ in range(6)]
-            for k1, k2, lines, words in zip(*(b.column(c).to_pylist() for c in ("_k1", "_k2", "lines", "words"))):
-                for a, (z, h) in fingerprints(lines, words, gram, least).items():
+            for k1, k2, lines, words, runs in zip(*(b.column(c).to_pylist() for c in ("_k1", "_k2", "lines", "words", "runs"))):
+                for a, (z, h) in fingerprints(lines, words, gram, least, [(r["a"], r["z"]) for r in runs or ()]).items():
                     for col, v in zip(out, (k1, k2, a, z, *_halves(h))):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64()] * 2)],
                 ["_k1", "_k2", "a", "z", "h1", "h2"])
 
-    marks = store(table.select("_k1", "_k2", "lines", "words")
-                       .mapInArrow(select, "_k1 long, _k2 long, a int, z int, h1 long, h2 long"), "lines-marks")
+    marks = store(source.mapInArrow(select, "_k1 long, _k2 long, a int, z int, h1 long, h2 long"), "lines-marks")
     shared = marks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     spots = (marks.join(shared, ["h1", "h2"], "left_semi")
                   .groupBy("_k1", "_k2").agg(F.collect_set(F.struct("a", "z")).alias("spots")))
@@ -204,7 +220,7 @@ def cut_lines(text: str, runs: list[tuple[int, int]]):
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                gram: int = GRAM_WORDS, least: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
+                gram: int | None = None, least: int | None = None, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with later repeated runs of lines cut from ``text_col``; with
     ``drop_emptied``, rows that lose all their words go."""
     runs = repeated_runs(docs, id_col, text_col, gram, least)
@@ -229,7 +245,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 gram: int = GRAM_WORDS, least: int = MIN_WORDS) -> DataFrame:
+                 gram: int | None = None, least: int | None = None) -> DataFrame:
     """For every row: doc_id, n_lines, n_removed, words_removed, removed (line
     numbers joined by commas) and kept_sha256 of the text that is left."""
     import hashlib

@@ -242,3 +242,31 @@ def test_lines_wider_windows(spark, seed):
            for r in lines.repeated_runs(df, gram=10, least=20).collect()}
     for key in sure:
         assert sure[key] <= cut.get(key, set()) <= may[key], key
+
+
+@pytest.mark.parametrize("levels", [((1, 4), (1, 1)), ((1, 150), (1, 30), (1, 1)), ((1, 1),)])
+def test_lines_levels_agree(spark, small_docs, levels):
+    rows = corpus(7) + [(100 + i, "\n".join(["boiler plate of the site"] * (i % 3) + [f"own {i}"] + ["tail"])) for i in range(60)]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), small_docs):
+        runs = {(r["_k1"], r["_k2"]): {k for x in r["runs"] for k in range(x["a"], x["z"] + 1)}
+                for r in lines.repeated_runs(docs, levels=levels).collect()}
+        want = plain_runs([tuple(r) for r in docs.select("doc_id", "text").collect()], 1)
+        got = {(r["doc_id"], r["text"] or ""): runs.get((r["_k1"], r["_k2"]), set()) for r in docs.select(
+            "doc_id", "text", *lines.row_keys(docs["doc_id"], docs["text"])).collect()}
+        assert got == want
+
+
+def test_first_level_takes_passages_from_few_fingerprints(spark):
+    rng = random.Random(1)
+    line = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 999)) for _ in range(12))
+    shared = [line() for _ in range(40)]
+    rows = [(i, "\n".join([line() for _ in range(10)] + shared + [line() for _ in range(10)])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lines.repeated_runs(df, levels=((1, 60),)).collect()
+    # runs of the whole passage, in all documents but the first
+    assert len(found) == 29
+    for r in found:
+        assert {k for x in r["runs"] for k in range(x["a"], x["z"] + 1)} == set(range(10, 50))
+    h, w = lines.line_hashes(rows[0][1])
+    assert len(lines.fingerprints(h, w, 1, 60)) < len(w) * 0.6
+    assert set(lines.fingerprints(h, w, 1, 60, [(0, 49)])) <= set(range(50, 60))
