@@ -15,7 +15,8 @@ of pairs; links leave a task as counts per row and as star edges.
 Vectors that are null, empty or zero, or hold null or non-finite components,
 and rows with a null label or vec_id link with nothing: no links, a component
 of their own. Vectors of different lengths are never compared. Repeated rows
-are vectors of their own that link with each other (cosine 1).
+are vectors of their own that link with each other (cosine 1); so are rows that share
+a vec_id but not a vector.
 """
 
 from __future__ import annotations
@@ -224,10 +225,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     src = src.withColumn("_c1", F.when(F.col("_ok"), F.xxhash64("_label", "_v"))) \
              .withColumn("_c2", F.when(F.col("_ok"), F.xxhash64(F.lit(1), "_label", "_v")))
     classes = (src.filter("_ok").groupBy("_c1", "_c2")
-                  .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"),
+                  .agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight"),
                        F.first("_v").alias("embedding"), F.first("_label").alias("label"))
                   .withColumn("salt", F.xxhash64("label")))
-    classes = store(classes.select("_c1", "_c2", "rep", "weight", "salt", "embedding"), "lattice-classes")
+    # a class is named by a number of its own, as rows of several classes may share a vec_id
+    classes = store(classes.select("_c1", "_c2", F.monotonically_increasing_id().alias("rep"), "low", "weight", "salt",
+                                   "embedding"), "lattice-classes")
     sigs = store(signatures(classes, tables, probes, scale, seed), "lattice-sigs")
     width = 1 + probes
     keyed = (sigs.select("rep", F.posexplode("sig").alias("_pos", "cell"))
@@ -237,11 +240,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                         threshold, tables, probes), "lattice-links")
     counts = part.groupBy("rep").agg(F.sum("n").alias("n"))
     comp = components(part.select(F.col("rep").alias("a"), F.col("root").alias("b")), "lattice")
-    names = comp.groupBy("root").agg(F.min("node").alias("component_id"))
+    names = (comp.join(classes.select(F.col("rep").alias("node"), "low"), "node")
+                 .groupBy("root").agg(F.min("low").alias("component_id")))
     comp = comp.join(names, "root").select(F.col("node").alias("rep"), "component_id")
-    per = (classes.select("_c1", "_c2", "rep", "weight").join(counts, "rep", "left").join(comp, "rep", "left")
+    per = (classes.select("_c1", "_c2", "rep", "low", "weight").join(counts, "rep", "left").join(comp, "rep", "left")
                   .select("_c1", "_c2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-                          F.coalesce("component_id", "rep").alias("component_id")))
+                          F.coalesce("component_id", "low").alias("component_id")))
     return (src.select("vec_id", "_c1", "_c2").join(per, ["_c1", "_c2"], "left")
                .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                        F.coalesce("component_id", "vec_id").alias("component_id"))

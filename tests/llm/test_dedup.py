@@ -270,3 +270,15 @@ def test_first_level_takes_passages_from_few_fingerprints(spark):
     h, w = lines.line_hashes(rows[0][1])
     assert len(lines.fingerprints(h, w, 1, 60)) < len(w) * 0.6
     assert set(lines.fingerprints(h, w, 1, 60, [(0, 49)])) <= set(range(50, 60))
+
+
+def test_lattice_rows_that_share_an_id(spark):
+    rng = np.random.default_rng(9)
+    a, c = rng.normal(size=16), rng.normal(size=16)
+    near = lambda v: (v + 0.01 * rng.normal(size=16)).tolist()
+    rows = [(1, a.tolist(), 1), (1, c.tolist(), 1), (2, near(a), 1), (3, near(c), 1), (5, near(a), 1), (5, near(a), 1), (0, near(c), 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, lattice.near_duplicates(df).collect()))
+    # rows of id 1 link with 2, 5, 5 and with 3; equal ids do not make vectors equal
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 1, 1, False),
+                   (5, 3, 1, False), (5, 3, 1, False)]
