@@ -358,3 +358,36 @@ def test_nearest_on_scaled_sums():
     assert (take <= count).all() and abs(int((take * size).sum()) - budget) <= budget // 10_000
     for sums in (10, 1 << 20):  # sizes with a common divisor stop at the nearest multiple
         assert mixing.nearest(np.array([2, 4]), np.array([50, 50]), 101, sums).dot([2, 4]) in (100, 102)
+
+
+def test_pii_many_matches_in_one_text(spark):
+    import time
+    n = 20000
+    rows = [(1, "1.2.3.4 " * n), (2, "a@b.co tel 212-555-1234 " * n), (3, "x@y.org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pii.digest(pii.find_spans(df.filter("doc_id = 3"))).collect()
+    t = time.time()
+    spans = pii.candidates(df).selectExpr("doc_id", "size(base) as n", "get(base, size(base) - 1).s as s", "get(base, size(base) - 1).e as e",
+                                          "size(added) as more", "get(added, size(added) - 1).s as last").collect()
+    got = {r["doc_id"]: tuple(r)[1:] for r in spans}
+    assert time.time() - t < 60
+    assert got[1] == (n, 8 * (n - 1), 8 * n - 1, 0, None)
+    assert got[2] == (n, 24 * (n - 1), 24 * (n - 1) + 6, n, 24 * (n - 1) + 11)
+
+
+def test_pii_added_spans_overlap_no_base_span(spark):
+    rng = random.Random(4)
+    bits = ["a1b2c3d4e5f6g7h8i9j0@x.co", "212-555-1234", "+1 212-555-1234", "a1b2c3d4e5f6g7h8i9j0", "10.0.0.1", " ", "x", "4111 1111 1111 1111"]
+    rows = [(i, " ".join(rng.choice(bits) for _ in range(rng.choice([1, 5, 900])))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = 0
+    for r in pii.candidates(df).collect():
+        text = dict(rows)[r["doc_id"]]
+        assert all(text[x["s"]:x["e"]] == x["m"] for x in r["base"] + r["added"])
+        spans = [(x["s"], x["e"]) for x in r["base"]]
+        wide = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}", text)]
+        want = [s for s in wide if not any(b[0] < s[1] and s[0] < b[1] for b in spans)]
+        assert [(x["s"], x["e"]) for x in r["added"] if x["kind"] == "secret"] == want
+        assert not any(b[0] < x["e"] and x["s"] < b[1] for x in r["added"] for b in spans)
+        seen += len(want)
+    assert seen > 100
