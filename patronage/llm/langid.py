@@ -216,14 +216,22 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
     return src.mapInArrow(run, src.drop("_text").schema.add("lang_pred", "string").add("score", "double"))
 
 
-def keep_identified(docs: DataFrame, model, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """``docs`` without rows that are ``und`` or score below ``least``."""
+def keep_identified(docs: DataFrame, model, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """``docs`` without rows that are ``und`` and, where ``least`` is given,
+    those that score below it. Where nothing could be learned, as no row has
+    a language, only null texts and texts without a letter go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            pred, score = score_texts(b.column(at).to_pylist(), shared.value)
-            yield b.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            if shared.value[0]:
+                pred, score = score_texts(texts, shared.value)
+                keep = [p != "und" and (least is None or s >= least) for p, s in zip(pred, score)]
+            else:
+                keep = [x for a in range(0, len(texts), BATCH)
+                        for x in (presence([t or "" for t in texts[a: a + BATCH]]).sum(axis=1) > 0).tolist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from patronage.llm import langid, licences, mixing, pii, search
 
@@ -391,3 +392,45 @@ def test_pii_added_spans_overlap_no_base_span(spark):
         assert not any(b[0] < x["e"] and x["s"] < b[1] for x in r["added"] for b in spans)
         seen += len(want)
     assert seen > 100
+
+
+def test_langid_filter_without_labelled_rows(spark, odd_docs, small_docs):
+    bare = small_docs.withColumn("lang", F.lit(None).cast("string"))
+    model = langid.learn(bare)
+    assert model[0] == []
+    assert langid.keep_identified(bare, model).count() == small_docs.filter("text rlike '[A-Za-zÀ-ÿ]'").count()
+    odd = langid.keep_identified(odd_docs.withColumn("lang", F.lit(None).cast("string")), model)
+    assert sorted(r["doc_id"] for r in odd.select("doc_id").collect() if r["doc_id"]) == [1, 1, 5, 6, 7, 9]
+    full = langid.learn(small_docs)
+    sure = langid.keep_identified(small_docs, full, least=0.9).count()
+    assert sure < langid.keep_identified(small_docs, full).count()
+
+
+def test_langid_scores_equal_the_unfolded_kernel(spark, small_docs):
+    """Folded weights against the ridge written out: kernels with the landmarks, Nystroem
+    features, centred weighted normal equations, one score a language."""
+    rows = [(r["text"], r["lang"]) for r in small_docs.filter("lang is not null and text is not null").limit(120).collect()]
+    texts, langs = zip(*rows)
+    sets = [set(np.flatnonzero(x).tolist()) for x in langid.presence(list(texts))]
+    keep = [i for i, s in enumerate(sets) if s]
+    sets, langs = [sets[i] for i in keep], [langs[i] for i in keep]
+    bits = np.stack([np.packbits(x.astype(bool)) for x in langid.presence([texts[i] for i in keep])])
+    model = langid.fit_ridge(bits, langs)
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    names = sorted(set(langs))
+    marks = [i for n in names for i in [j for j, v in enumerate(langs) if v == n][:langid.LANDMARKS]]
+    kmm = np.array([[kernel(sets[a], sets[b]) for b in marks] for a in marks])
+    knm = np.array([[kernel(s, sets[b]) for b in marks] for s in sets])
+    val, vec = np.linalg.eigh(kmm)
+    good = val > 1e-8 * val.max()
+    phi = knm @ vec[:, good] / np.sqrt(val[good])
+    y = np.array([[float(v == n) for n in names] for v in langs])
+    w = np.array([1 / langs.count(v) for v in langs])
+    w /= w.sum()
+    mean, centre = w @ y, w @ phi
+    p = phi - centre
+    beta = np.linalg.solve((p * w[:, None]).T @ p + langid.RIDGE * np.eye(p.shape[1]), (p * w[:, None]).T @ (y - mean))
+    want = p @ beta + mean
+    pred, score = langid.score_texts([texts[i] for i in keep], model)
+    assert pred == [names[k] for k in want.argmax(axis=1)]
+    assert np.allclose(score, np.clip(want.max(axis=1), 0, 1), atol=2e-3)
