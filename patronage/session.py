@@ -66,6 +66,16 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df):
+    """Cut lineage by a Parquet table in the shared checkpoint folder. Unlike a
+    checkpoint it drops what the optimizer has derived about the columns, which in
+    loops grows with every round."""
+    import uuid
+    path = scratch_path(df.sparkSession, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``patronage`` importable in Python workers (pandas functions
     pickle references to its modules): zip the package once per context and
