@@ -712,3 +712,40 @@ SELECT ProductCategory, count(*) AS n FROM clean GROUP BY 1 ORDER BY n DESC, 1 L
 ORACLE["top_products_by_category"] = with_(CLEAN) + """
 SELECT * FROM (SELECT ProductCategory, ProductID, CAST(sum(Quantity) AS BIGINT) AS units FROM clean GROUP BY 1, 2)
 QUALIFY row_number() OVER (PARTITION BY ProductCategory ORDER BY units DESC, ProductID) <= 3"""
+
+# Neighbour searches on the scaled features, by all pairs.
+_NB = _SC + """,
+pts AS (SELECT CAST(CustomerID AS BIGINT) AS id, """ + ", ".join(FEAT_COLS) + """ FROM sc),
+pairs AS MATERIALIZED (SELECT a.id AS a, b.id AS b, sqrt(""" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in FEAT_COLS) + """) AS d
+       FROM pts a, pts b)"""
+ORACLE["k_distance_customers"] = with_(_NB) + """,
+ranked AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS k FROM pairs)
+SELECT round(d, 6) AS kdist, row_number() OVER (ORDER BY d, a) - 1 AS position FROM ranked WHERE k = 5"""
+
+
+def _density(cells: str) -> str:
+    """Labels of DBSCAN for each (eps, ms) cell: least core id reachable, then border points."""
+    return with_(_NB).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+cells(eps, ms) AS (VALUES {cells}),
+core AS MATERIALIZED (SELECT eps, ms, a AS id FROM pairs, cells WHERE d <= eps GROUP BY eps, ms, a HAVING count(*) >= ms),
+links AS MATERIALIZED (SELECT x.eps, x.ms, p.a, p.b FROM pairs p JOIN core x ON x.id = p.a AND p.d <= x.eps
+       JOIN core y ON y.id = p.b AND y.eps = x.eps AND y.ms = x.ms WHERE p.a <> p.b),
+low(eps, ms, id, lab) USING KEY (eps, ms, id) AS (
+  SELECT eps, ms, id, id FROM core
+  UNION
+  SELECT l.eps, l.ms, l.b, min(t.lab) FROM low t JOIN links l ON l.eps = t.eps AND l.ms = t.ms AND l.a = t.id
+  JOIN recurring.low r ON r.eps = l.eps AND r.ms = l.ms AND r.id = l.b
+  WHERE t.lab < r.lab GROUP BY l.eps, l.ms, l.b),
+named AS (SELECT *, dense_rank() OVER (PARTITION BY eps, ms ORDER BY lab) - 1 AS cluster FROM low),
+touch AS (SELECT n.eps, n.ms, p.a AS id, min(n.cluster) AS cluster FROM pairs p JOIN named n ON n.id = p.b AND p.d <= n.eps
+       GROUP BY n.eps, n.ms, p.a),
+labels AS (SELECT c.eps, c.ms, p.id, coalesce(n.cluster, t.cluster, -1) AS label FROM pts p CROSS JOIN cells c
+       LEFT JOIN named n ON n.eps = c.eps AND n.ms = c.ms AND n.id = p.id
+       LEFT JOIN touch t ON t.eps = c.eps AND t.ms = c.ms AND t.id = p.id)
+"""
+
+
+ORACLE["dbscan_customers"] = _density("(1.5::DOUBLE, 5)") + "SELECT id, CAST(label AS INTEGER) AS label FROM labels"
+ORACLE["dbscan_grid"] = _density(", ".join(f"({e}::DOUBLE, {m})" for e in (1.0, 1.5, 2.0) for m in (3, 5, 10))) + """
+SELECT eps, CAST(ms AS INTEGER) AS min_samples, CAST(count(DISTINCT label) FILTER (label >= 0) AS INTEGER) AS n_clusters,
+       CAST(count(*) FILTER (label = -1) AS INTEGER) AS n_noise FROM labels GROUP BY eps, ms"""
