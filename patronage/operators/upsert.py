@@ -1,8 +1,8 @@
 """Table updates by customer.
 
 Both are joins on the customer key followed by ``coalesce``: the result is
-a new version of the table (write it with overwrite), never an in-place
-row loop. Counts of inserted and updated rows come from one aggregation.
+a new version of the table, never an in-place row loop; ``upsert_into`` writes
+just the rows that change to a keyed table. Counts of inserted and updated rows come from one aggregation.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.operators.features import COLUMN_MAP
+from patronage.session import stored
+from patronage.sources.keyed import KeyedTable
 
 
 def existing_and_new(current: DataFrame, incoming: DataFrame, key: str = "CustomerID"):
@@ -68,3 +70,22 @@ def upsert_features(current: DataFrame, features: DataFrame, now=None):
     counts = merged.agg(F.count(F.when(F.col("__new"), 1)).alias("inserted"),
                         F.count(F.when(F.col("__upd"), 1)).alias("updated"))
     return merged.drop("__new", "__upd"), counts
+
+
+def stored_features(spark, folder: str, **sizes) -> KeyedTable:
+    """The stored feature table as a keyed table, for ``upsert_into``."""
+    schema = ("customer_id string, " + ", ".join(f"{c} double" for c in COLUMN_MAP.values())
+              + ", cluster int, persona string, created_at timestamp, updated_at timestamp")
+    return KeyedTable(spark, folder, schema, ["customer_id"], **sizes)
+
+
+def upsert_into(table: KeyedTable, features: DataFrame, version: int, now=None, key: str = "CustomerID") -> DataFrame:
+    """S6 in place: as ``upsert_features``, but only buckets that hold incoming customers are
+    read and only their rows written, as ``version`` of ``table``. Returns the
+    counts (inserted, updated)."""
+    incoming = features.select(F.col(key).alias("customer_id"))
+    held = table.read(only=table.touched(incoming)).join(incoming, "customer_id", "left_semi")
+    merged, counts = upsert_features(held, features, now)
+    counts = stored(counts)  # before the table changes under it
+    table.write(merged, version)
+    return counts

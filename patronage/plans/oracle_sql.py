@@ -749,3 +749,5 @@ ORACLE["dbscan_customers"] = _density("(1.5::DOUBLE, 5)") + "SELECT id, CAST(lab
 ORACLE["dbscan_grid"] = _density(", ".join(f"({e}::DOUBLE, {m})" for e in (1.0, 1.5, 2.0) for m in (3, 5, 10))) + """
 SELECT eps, CAST(ms AS INTEGER) AS min_samples, CAST(count(DISTINCT label) FILTER (label >= 0) AS INTEGER) AS n_clusters,
        CAST(count(*) FILTER (label = -1) AS INTEGER) AS n_noise FROM labels GROUP BY eps, ms"""
+
+ORACLE["upsert_incremental"] = ORACLE["upsert_values"]

@@ -981,6 +981,17 @@ def q_upsert_values(spark, sf_dir):
                          (F.col("created_at") == F.col("updated_at")).alias("created_now"))
 
 
+@register("upsert_incremental")
+def q_upsert_incremental(spark, sf_dir):
+    """As upsert_values, on a keyed table that is read and written by touched buckets."""
+    table, ref = _stored(spark, sf_dir)
+    held = U.stored_features(spark, _scratch(spark, "features"))
+    held.write(table.withColumn("created_at", F.lit("2001-01-01 00:00:00").cast("timestamp")), 1)
+    U.upsert_into(held, features(spark, sf_dir), 2, now=ref)
+    return held.read().select("customer_id", "recency", "frequency", "total_qty", F.round("monetary", 4).alias("monetary"),
+                              (F.col("created_at") == F.col("updated_at")).alias("created_now"))
+
+
 @register("forecast_store")
 def q_forecast_store(spark, sf_dir):
     """Forecasts of all segments stored by key, one read back."""
