@@ -1,12 +1,20 @@
 """Shapley explanations of the persona model.
 
 The explained function is the model's predicted cluster number, as a
-number, for one customer at a time. With d <= 10 features all 2^d
-coalitions are enumerated exactly: v(S) = mean over the background rows
-of f(x_S, b_rest). Customers are scored block-wise in ``mapInPandas``; the
-model (scaler statistics, centroids) and the background sample (a fixed
-number of rows) are broadcast, so nothing grows with the customer count
-except the number of tasks.
+number, for one customer at a time: v(S) = mean over the background rows of
+f(x_S, b_rest). Up to ``exact_features`` features all 2^d coalitions are enumerated;
+beyond, ``pairs`` seeded permutations and their reverses are walked (antithetic
+sampling): contributions still add up exactly, and each has a standard error from the
+spread of the pairs. ``method`` says which of the two a row comes from.
+
+A squared distance to a centroid is a sum over features, so a coalition's distance is what
+the customer has in it plus what the background row has outside. Both are matrix products of
+the coalitions with squared differences: the background's once a task, the customers' once a
+block; what is left a customer is an addition and the least of k.
+
+Customers are scored block-wise in ``mapInPandas``; the model (scaler statistics, centroids)
+and the background sample (``n_background`` rows, by hash) are broadcast, so nothing grows with
+the customer count except the number of tasks. Null features count as 0.
 """
 
 from __future__ import annotations
@@ -22,6 +30,8 @@ from patronage.sources.personas import PERSONA_MAP, UNKNOWN
 
 MAX_EXACT_FEATURES = 10
 BACKGROUND = 100
+PAIRS = 64
+BLOCK = 256
 
 
 def _coalition_weights(d: int):
@@ -56,48 +66,92 @@ def shapley_values(x: np.ndarray, background: np.ndarray, predict) -> tuple[np.n
     return phi, float(v[0]), float(v[-1])
 
 
+class Explainer:
+    """Contributions for the nearest of ``centers`` against a background."""
+
+    def __init__(self, mean, scale, centers, background, exact_features: int = MAX_EXACT_FEATURES, pairs: int = PAIRS, seed: int = 42):
+        self.mean, self.scale, self.centers = (np.asarray(v, float) for v in (mean, scale, centers))
+        d = len(self.mean)
+        self.method = "exact" if d <= exact_features else "sampled"
+        if self.method == "exact":
+            self.ids, self.masks, self.weight = _coalition_weights(d)
+        else:
+            rng = np.random.default_rng(seed)
+            half = np.argsort(rng.random((pairs, d)), axis=1)
+            self.walks = np.concatenate([half, half[:, ::-1]])
+            rank = np.argsort(self.walks, axis=1)  # the step at which a feature comes in
+            self.masks = (rank[:, None, :] < np.arange(d + 1)[None, :, None]).reshape(-1, d)
+        self.inside = self.masks.astype(float)
+        # (coalition, background row, centroid)
+        b = self._parts(np.asarray(background, float))
+        self.outside = np.einsum("sj,bjc->sbc", 1 - self.inside, b, optimize=True)
+
+    def _parts(self, x: np.ndarray) -> np.ndarray:
+        """Squared scaled differences (row, feature, centroid)."""
+        return (((x - self.mean) / self.scale)[:, :, None] - self.centers.T[None]) ** 2
+
+    def clusters(self, x: np.ndarray) -> np.ndarray:
+        return self._parts(x).sum(axis=1).argmin(axis=1)
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """v(S) of every coalition (row, coalition)."""
+        own = np.einsum("sj,xjc->xsc", self.inside, self._parts(x), optimize=True)
+        return np.stack([(p[:, None, :] + self.outside).argmin(axis=2).mean(axis=1) for p in own])
+
+    def explain(self, x: np.ndarray):
+        """(contributions, their standard errors, base values) of the rows of ``x``."""
+        v, d = self.values(x), x.shape[1]
+        phi, error = np.zeros(x.shape), np.zeros(x.shape)
+        if self.method == "exact":
+            for j in range(d):
+                without = self.ids[~self.masks[:, j]]
+                phi[:, j] = (v[:, without | (1 << j)] - v[:, without]) @ self.weight[without]
+            return phi, error, v[:, 0]
+        steps = np.diff(v.reshape(len(x), len(self.walks), d + 1), axis=2)
+        gain = np.empty_like(steps)
+        np.put_along_axis(gain, np.broadcast_to(self.walks, steps.shape), steps, axis=2)
+        pairs = len(self.walks) // 2
+        both = (gain[:, :pairs] + gain[:, pairs:]) / 2
+        if pairs > 1:
+            error = both.std(axis=1, ddof=1) / math.sqrt(pairs)
+        return both.mean(axis=1), error, v[:, 0]
+
+
 def explain(features: DataFrame, cols: list[str], mean: list[float], scale: list[float],
             centers: np.ndarray, background: DataFrame, id_col: str = "CustomerID",
-            n_background: int = BACKGROUND, seed: int = 42) -> DataFrame:
+            n_background: int = BACKGROUND, seed: int = 42, exact_features: int = MAX_EXACT_FEATURES,
+            pairs: int = PAIRS) -> DataFrame:
     """Per customer: predicted cluster, persona, base value and the
-    contributions sorted by absolute size (importance 6 digits, direction)."""
-    d = len(cols)
-    if d > MAX_EXACT_FEATURES:
-        raise ValueError("exact enumeration supports at most 10 features")
+    contributions sorted by absolute size (importance 6 digits, direction,
+    standard error), the method and the background rows it used."""
     bg = (background.select(*[F.col(c).cast("double") for c in cols]).na.fill(0.0)
           .orderBy(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))).limit(n_background).toPandas()
           .to_numpy(dtype=float))
     sc = features.sparkSession.sparkContext
-    b = sc.broadcast((np.asarray(mean, float), np.asarray(scale, float), np.asarray(centers, float), bg))
+    b = sc.broadcast((mean, scale, centers, bg, exact_features, pairs, seed))
     names = list(cols)
     pmap = dict(PERSONA_MAP)
 
     def run(it):
-        mu, sd, C, B = b.value
-        pred = lambda Z: _predict(Z, mu, sd, C)
+        model = Explainer(*b.value)
         for pdf in it:
-            if pdf.empty:
-                continue
-            X = pdf[names].to_numpy(dtype=float)
-            out = []
-            for x in X:
-                phi, base, _ = shapley_values(x, B, pred)
-                cluster = int(pred(x[None, :])[0])
-                contrib = sorted(
-                    ({"feature": f, "importance": round(abs(float(v)), 6),
-                      "direction": "positive" if v > 0 else "negative"} for f, v in zip(names, phi)),
-                    key=lambda c: -c["importance"])
-                out.append((cluster, pmap.get(cluster, UNKNOWN), base, contrib, phi.sum()))
-            res = pd.DataFrame({
-                id_col: pdf[id_col].to_numpy(),
-                "cluster": [o[0] for o in out], "persona": [o[1] for o in out],
-                "base_value": [o[2] for o in out], "contributions": [o[3] for o in out],
-                "contribution_sum": [o[4] for o in out]})
-            yield res
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at: at + BLOCK]
+                x = part[names].to_numpy(dtype=float)
+                phi, error, base = model.explain(x)
+                cluster = model.clusters(x)
+                contributions = [sorted(
+                    ({"feature": f, "importance": round(abs(float(v)), 6), "direction": "positive" if v > 0 else "negative",
+                      "standard_error": float(e)} for f, v, e in zip(names, p, q)), key=lambda c: -c["importance"])
+                    for p, q in zip(phi, error)]
+                yield pd.DataFrame({
+                    id_col: part[id_col].to_numpy(), "cluster": cluster.astype(int),
+                    "persona": [pmap.get(int(c), UNKNOWN) for c in cluster], "base_value": base, "contributions": contributions,
+                    "contribution_sum": phi.sum(axis=1), "method": model.method, "background_rows": len(bg)})
 
     id_type = dict(features.dtypes)[id_col]
     schema = (f"{id_col} {id_type}, cluster int, persona string, base_value double, "
-              "contributions array<struct<feature:string,importance:double,direction:string>>, "
-              "contribution_sum double")
+              "contributions array<struct<feature:string,importance:double,direction:string,standard_error:double>>, "
+              "contribution_sum double, method string, background_rows int")
     data = features.select(id_col, *[F.col(c).cast("double") for c in cols]).na.fill(0.0, subset=cols)
     return data.mapInPandas(run, schema)
