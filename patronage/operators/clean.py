@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.functions.scalars import stats_row
+from patronage.session import stored
 
 OUTLIER_COLUMNS = ["UnitPrice", "Quantity", "DiscountPct"]
 WHITESPACE_EDGES = r"^\s+|\s+$"
@@ -45,14 +46,14 @@ def clean_data(df: DataFrame) -> DataFrame:
     return positive_quantity(drop_blank_customers(drop_cancelled(drop_duplicates(df))))
 
 
-def iqr_bounds(df: DataFrame, c: str, k: float = 1.5, exact: bool = True, accuracy: int = 100_000):
+def iqr_bounds(df: DataFrame, c: str, k: float = 1.5, exact: bool = True, accuracy: int = 100_000, held: bool = False):
     """(lo, hi) fence literals for ``c`` from interpolated quartiles (pandas
     ``quantile``, DuckDB ``quantile_cont``): exact by ranked value counts, so no
     task holds the value set, or ``percentile_approx`` with ``exact=False``."""
     x = F.col(c).cast("double")
     if exact:
         from patronage.operators.ordered import column_quantiles
-        q1, q3 = column_quantiles(df, [c], [0.25, 0.75])[c]
+        q1, q3 = column_quantiles(df, [c], [0.25, 0.75], held)[c]
         if q1 is None:
             return F.lit(None).cast("double"), F.lit(None).cast("double")
         return F.lit(q1 - k * (q3 - q1)), F.lit(q3 + k * (q3 - q1))
@@ -65,11 +66,15 @@ def handle_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 1.5
                     exact: bool = True) -> DataFrame:
     """Per column, in sequence, keep rows inside the inclusive Tukey
     fences; each column's quartiles are taken over the rows the previous
-    columns kept. Nulls fall out (comparisons with null are not true)."""
-    out = df
-    for c in cols or OUTLIER_COLUMNS:
-        lo, hi = iqr_bounds(out, c, k, exact)
-        out = out.filter((F.col(c) >= lo) & (F.col(c) <= hi))
+    columns kept. Nulls fall out (comparisons with null are not true).
+    Only these columns are written for the quartiles; rows of ``df`` meet the
+    fences once, as literals."""
+    cols = cols or OUTLIER_COLUMNS
+    left, out = stored(df.select(*cols)), df
+    for c in cols:
+        lo, hi = iqr_bounds(left, c, k, exact, held=True)
+        fence = (F.col(c) >= lo) & (F.col(c) <= hi)
+        left, out = left.filter(fence), out.filter(fence)
     return out
 
 

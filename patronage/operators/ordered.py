@@ -16,9 +16,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronage.session import materialize
+from patronage.session import stored
 
 DEFAULT_BUCKETS = 64
+ACCURACY = 10_000      # of the sketch that brackets quantiles
+DRIVER_ROWS = 1 << 16  # values with counts that the driver ranks at the end
 
 
 def running_totals(counts: DataFrame, keys: list[str], order_col: str, measures: list[str],
@@ -51,57 +53,133 @@ def running_totals(counts: DataFrame, keys: list[str], order_col: str, measures:
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, ps: list[float], n_buckets: int = DEFAULT_BUCKETS) -> list:
-    """Interpolated quantiles (pandas / numpy ``linear``, DuckDB
-    ``quantile_cont``) without a single aggregation buffer: values are
-    counted per distinct value (a shuffle by value), ranked with
-    ``running_totals``, and the order statistics around each rank (n-1)p
-    are picked by filtered minimums. Returns Python floats (None if empty)."""
-    counts = (df.filter(F.col(col).isNotNull())
-                .groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    n = counts.agg(F.sum("c")).first()[0] or 0
-    if n == 0:
-        return [None for _ in ps]
-    cum = running_totals(counts, [], "v", ["c"], n_buckets)
-    ranks = sorted({r for p in ps for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
-    row = cum.agg(*[F.min(F.when(F.col("cum_c") >= r + 1, F.col("v"))).alias(f"r{r}") for r in ranks]).first()
-    out = []
-    for p in ps:
-        h = (n - 1) * p
-        lo, hi = math.floor(h), math.ceil(h)
-        a, b = row[f"r{lo}"], row[f"r{hi}"]
-        out.append(a + (h - lo) * (b - a))
-    return out
+def exact_quantiles(df: DataFrame, col: str, ps: list[float], n_buckets: int | None = None) -> list:
+    """``column_quantiles`` of one column."""
+    return column_quantiles(df, [col], ps)[col]
+
+
+def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int | None = None):
+    """One interpolated quantile as a literal Column."""
+    return F.lit(exact_quantiles(df, col, [p])[0])
 
 
-def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int = DEFAULT_BUCKETS):
-    """One interpolated quantile as a literal Column (see ``exact_quantiles``)."""
-    return F.lit(exact_quantiles(df, col, [p], n_buckets)[0])
-
-
-def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], n_buckets: int = DEFAULT_BUCKETS) -> dict:
-    """Exact interpolated quantiles of several columns: one pass counts every
-    (column, value), the counts are ranked per column with ``running_totals``.
-    No task holds a column's values. Returns {column: [q for p in ps]}; None
-    for a column without values."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
-    counts = materialize(df.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("v").isNotNull())
-                           .groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")))
-    total = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("c").alias("n")).collect()}
-    if not total:
-        return {c: [None] * len(ps) for c in cols}
-    ranks = {k: sorted({r for p in ps for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}) for k, n in total.items()}
-    cum = running_totals(counts, ["k"], "v", ["c"], n_buckets)
-    width = max(map(len, ranks.values()))
-    want = F.create_map(*[x for k, r in ranks.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in r]))])
-    rows = cum.withColumn("r", want[F.col("k")]).groupBy("k").agg(*[
-        F.min(F.when(F.col("cum_c") > F.get(F.col("r"), F.lit(i)), F.col("v"))).alias(f"q{i}") for i in range(width)]).collect()
-    at = {r["k"]: dict(zip(ranks[r["k"]], [r[f"q{i}"] for i in range(width)])) for r in rows}
+def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], held: bool = False, accuracy: int = ACCURACY,
+                     driver_rows: int = DRIVER_ROWS) -> dict:
+    """Exact interpolated quantiles of several columns (pandas / numpy ``linear``, DuckDB
+    ``quantile_cont``): {column: [q for p in ps]}; None for a column without values.
+
+    The columns are written once (unless ``held`` says that ``df`` is such a table). One sketch pass
+    brackets every wanted rank; one counting pass counts what lies between the brackets as
+    a whole and what lies inside by value, so no value outside leaves its task. While more than
+    ``driver_rows`` values are left, they are cut at quantiles of their own and only the
+    pieces that hold a wanted rank are kept. A rank that the sketch should have missed widens its
+    column's bracket to everything, so the result is exact in any case."""
+    data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    data = data if held else stored(data)
+    near = [min(1.0, max(0.0, p + e)) for p in ps for e in (-2 / accuracy, 2 / accuracy)]
+    aggs = []
+    for i in range(len(cols)):
+        aggs += [F.count(f"c{i}").alias(f"n{i}"), F.percentile_approx(f"c{i}", near, accuracy).alias(f"q{i}")]
+    first = data.agg(*aggs).first()
+    total = {i: first[f"n{i}"] for i in range(len(cols)) if first[f"n{i}"]}
+    wanted = {i: sorted({r for p in ps for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}) for i, n in total.items()}
+    spans = {i: _joined(list(zip(first[f"q{i}"][::2], first[f"q{i}"][1::2]))) for i in total}
+    while True:
+        regions, inside = _count_regions(data, spans)
+        missed = [i for i in total if not _ranks_inside(regions[i], wanted[i])]
+        if not missed:
+            break
+        spans.update({i: [(float("-inf"), float("inf")), ] for i in missed})
+    at = _values_at(inside, regions, wanted, driver_rows)
     out = {}
     for i, c in enumerate(cols):
         if i not in total:
             out[c] = [None] * len(ps)
             continue
         hs = [(total[i] - 1) * p for p in ps]
-        out[c] = [at[i][math.floor(h)] + (h - math.floor(h)) * (at[i][math.ceil(h)] - at[i][math.floor(h)]) for h in hs]
+        out[c] = [at[i][math.floor(h)] + (h - math.floor(h)) * (at[i][math.ceil(h)] - at[i][math.floor(h)])
+                  if math.floor(h) != h else at[i][math.floor(h)] for h in hs]
+    return out
+
+
+def _joined(spans: list[tuple]) -> list[tuple]:
+    """Disjoint brackets in order that cover the same values."""
+    out = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _count_regions(data: DataFrame, spans: dict):
+    """({column: counts of its regions}, table k, g, v, c of the values inside).
+    Regions alternate: before the first bracket, in it, after it and so on; a bracket's region is odd."""
+    parts = []
+    for i, brackets in spans.items():
+        v = F.col(f"c{i}")
+        region = F.lit(2 * len(brackets))
+        for j, (lo, hi) in reversed(list(enumerate(brackets))):
+            region = F.when(v < lo, 2 * j).when((v <= hi) | F.lit(hi == float("inf")), 2 * j + 1).otherwise(region)
+        parts.append(F.when(v.isNotNull(), F.struct(F.lit(i).alias("k"), region.alias("g"),
+                                                    F.when(region % 2 == 1, v).alias("v"))))
+    if not parts:
+        return {}, None
+    counts = stored(data.select(F.explode(F.array_compact(F.array(*parts))).alias("p")).select("p.*")
+                        .groupBy("k", "g", "v").agg(F.count(F.lit(1)).alias("c")))
+    regions = {i: [0] * (2 * len(b) + 1) for i, b in spans.items()}
+    for r in counts.groupBy("k", "g").agg(F.sum("c").alias("c")).collect():
+        regions[r["k"]][r["g"]] = r["c"]
+    return regions, counts.filter("g % 2 = 1")
+
+
+def _ranks_inside(regions: list[int], ranks: list[int]) -> bool:
+    edge = [sum(regions[:g]) for g in range(len(regions) + 1)]
+    return all(any(edge[g] <= r < edge[g + 1] for g in range(1, len(regions), 2)) for r in ranks)
+
+
+def _values_at(counts: DataFrame, regions: dict, wanted: dict, driver_rows: int) -> dict:
+    """{column: {rank: value}} from the values inside the brackets."""
+    if not wanted:
+        return {}
+    # groups of values that stand together: (column, group) -> how many values come before
+    before = {(k, g): sum(n[:g]) for k, n in regions.items() for g in range(1, len(n), 2)}
+    while counts.count() > driver_rows:
+        cuts = {(r["k"], r["g"]): sorted(set(r["q"])) for r in counts.groupBy("k", "g").agg(
+            F.percentile_approx("v", [j / 64 for j in range(1, 64)], 1000).alias("q")).collect()}
+        piece = F.lit(None).cast("int")
+        for (k, g), q in cuts.items():
+            edges = F.array(*[F.lit(x) for x in q])
+            piece = F.when((F.col("k") == k) & (F.col("g") == g), F.size(F.filter(edges, lambda b: b < F.col("v")))).otherwise(piece)
+        cut = counts.withColumn("piece", piece)
+        sizes = {}
+        for r in cut.groupBy("k", "g", "piece").agg(F.sum("c").alias("c")).collect():
+            sizes.setdefault((r["k"], r["g"]), {})[r["piece"]] = r["c"]
+        keep, later = {}, {}
+        for (k, g), n in sizes.items():
+            at = before[(k, g)]
+            for j in sorted(n):
+                if any(at <= r < at + n[j] for r in wanted[k]):
+                    keep[(k, g, j)] = g * 64 + j
+                    later[(k, g * 64 + j)] = at
+                at += n[j]
+        new = F.lit(None).cast("int")
+        for (k, g, j), name in keep.items():
+            new = F.when((F.col("k") == k) & (F.col("g") == g) & (F.col("piece") == j), name).otherwise(new)
+        smaller = stored(cut.withColumn("g", new).filter("g is not null").drop("piece"))
+        if smaller.count() >= counts.count():
+            break
+        counts, before = smaller, later
+    out = {k: {} for k in wanted}
+    rows = {}
+    for r in counts.collect():
+        rows.setdefault((r["k"], r["g"]), []).append((r["v"], r["c"]))
+    for (k, g), values in rows.items():
+        at = before[(k, g)]
+        for v, c in sorted(values):
+            for r in wanted[k]:
+                if at <= r < at + c:
+                    out[k][r] = v
+            at += c
     return out

@@ -30,3 +30,29 @@ def test_exact_quantiles_match_pandas(spark, xs):
     got = exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": s})), "x", [0.05, 0.25, 0.5, 0.75])
     exp = s.quantile([0.05, 0.25, 0.5, 0.75]).to_numpy()
     assert np.allclose(got, exp, rtol=0, atol=1e-9)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.integers(min_value=-9, max_value=9)), max_size=80), st.sampled_from([1, 7]))
+def test_column_quantiles_with_few_rows_on_the_driver(spark, xs, rows):
+    from patronage.operators.ordered import column_quantiles
+    ps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    df = spark.createDataFrame([(None if x is None else float(x), None, float(i)) for i, x in enumerate(xs)],
+                               "a double, b double, c double")
+    got = column_quantiles(df, ["a", "b", "c"], ps, accuracy=4, driver_rows=rows)
+    some = [x for x in xs if x is not None]
+    assert got["b"] == [None] * 6
+    for name, v in (("a", some), ("c", range(len(xs)))):
+        want = np.quantile(np.array(v, float), ps).tolist() if len(v) else [None] * 6
+        assert got[name] == want or np.allclose(got[name], want, rtol=0, atol=1e-12)
+
+
+def test_column_quantiles_of_many_values_take_few(spark):
+    from pyspark.sql import functions as F
+    from patronage.operators.ordered import column_quantiles
+    df = spark.range(200_000).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("x"),
+                                     F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 1000).alias("y"))
+    pdf = df.toPandas()
+    got = column_quantiles(df, ["x", "y"], [0.25, 0.5, 0.75], accuracy=100, driver_rows=50)
+    for c in ("x", "y"):
+        assert np.allclose(got[c], pdf[c].quantile([0.25, 0.5, 0.75]).to_numpy(), rtol=0, atol=1e-9)
