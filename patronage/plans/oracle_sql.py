@@ -751,3 +751,6 @@ SELECT eps, CAST(ms AS INTEGER) AS min_samples, CAST(count(DISTINCT label) FILTE
        CAST(count(*) FILTER (label = -1) AS INTEGER) AS n_noise FROM labels GROUP BY eps, ms"""
 
 ORACLE["upsert_incremental"] = ORACLE["upsert_values"]
+ORACLE["neighbour_counts"] = with_(_NB) + """
+SELECT a AS id, count(*) AS neighbours FROM pairs WHERE d <= 1.5 GROUP BY a"""
+ORACLE["model_round_trip"] = with_(FEATURES) + "SELECT CustomerID, true AS same FROM feat"

@@ -562,8 +562,8 @@ def q_label_centroid_neighbours(spark, sf_dir):
 def retrieval_hits(spark, sf_dir):
     """Benchmark items as questions over the document chunks."""
     docs = S.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    chunks = T.chunk_documents(docs, "text").withColumn(
-        "chunk_id", F.col("doc_id") * 100000 + F.col("chunk_no"))
+    # numbered in order of document and chunk, whatever their number
+    chunks = positions(T.chunk_documents(docs, "text"), "doc_id", "chunk_no", out="chunk_id")
     model = T.fit_embedder(chunks, "content")
     cvec = T.embed(model, chunks)
     bench = S.read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"),
@@ -594,6 +594,7 @@ from patronage.operators import anomaly as N  # noqa: E402
 from patronage.operators import cluster as K  # noqa: E402
 from patronage.operators import evaluate as V  # noqa: E402
 from patronage.operators import explain as X  # noqa: E402
+from patronage.operators.neighbours import positions  # noqa: E402
 from patronage.operators import prep as M  # noqa: E402
 from patronage.operators import upsert as U  # noqa: E402
 from patronage.streaming import transactions as ST  # noqa: E402
@@ -681,6 +682,29 @@ def q_persona_assignment(spark, sf_dir):
                                   F.round("PC2", 6).alias("PC2"))
 
 
+@register("model_round_trip")
+def q_model_round_trip(spark, sf_dir):
+    """S12 + K5: the persona model saved, loaded and applied again: whether each
+    customer's cluster and persona are those of the training run."""
+    from patronage.plans import training as TR
+    from patronage.session import materialize
+    feats = materialize(TR.prepare(S.transactions(spark, sf_dir), outliers=False))
+    res = TR.train_personas(feats, n_init=2, compare=False)
+    path = _scratch(spark, "model")
+    TR.save_model(res["model"], path)
+    again = TR.predict_personas(TR.load_model(path), feats)
+    first = res["personas"].select("CustomerID", F.col("Cluster").alias("c"), F.col("Persona").alias("p"))
+    return again.join(first, "CustomerID", "full").select(
+        "CustomerID", (F.col("Cluster").eqNullSafe(F.col("c")) & F.col("Persona").eqNullSafe(F.col("p"))).alias("same"))
+
+
+@register("neighbour_counts")
+def q_neighbour_counts(spark, sf_dir):
+    """Customers within 1.5 of each customer on the scaled features, itself included."""
+    sc = scaled_regions(spark, sf_dir).withColumn("id", F.col("CustomerID").cast("long"))
+    return K.neighbour_counts(sc, FT.FEATURE_COLS, K.DBSCAN_EPS, "id")
+
+
 @register("dbscan_customers")
 def q_dbscan_customers(spark, sf_dir):
     """K6: DBSCAN (eps 1.5, min_samples 5) on the scaled features."""
