@@ -53,25 +53,25 @@ def running_totals(counts: DataFrame, keys: list[str], order_col: str, measures:
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, ps: list[float], n_buckets: int | None = None) -> list:
+def exact_quantiles(df: DataFrame, col: str, ps: list[float], n_buckets: int = DEFAULT_BUCKETS) -> list:
     """``column_quantiles`` of one column."""
-    return column_quantiles(df, [col], ps)[col]
+    return column_quantiles(df, [col], ps, n_buckets=n_buckets)[col]
 
 
-def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int | None = None):
+def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int = DEFAULT_BUCKETS):
     """One interpolated quantile as a literal Column."""
-    return F.lit(exact_quantiles(df, col, [p])[0])
+    return F.lit(exact_quantiles(df, col, [p], n_buckets)[0])
 
 
 def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], held: bool = False, accuracy: int = ACCURACY,
-                     driver_rows: int = DRIVER_ROWS) -> dict:
+                     driver_rows: int = DRIVER_ROWS, n_buckets: int = DEFAULT_BUCKETS) -> dict:
     """Exact interpolated quantiles of several columns (pandas / numpy ``linear``, DuckDB
     ``quantile_cont``): {column: [q for p in ps]}; None for a column without values.
 
     The columns are written once (unless ``held`` says that ``df`` is such a table). One sketch pass
     brackets every wanted rank; one counting pass counts what lies between the brackets as
     a whole and what lies inside by value, so no value outside leaves its task. While more than
-    ``driver_rows`` values are left, they are cut at quantiles of their own and only the
+    ``driver_rows`` values are left, they are cut into ``n_buckets`` pieces at quantiles of their own and only the
     pieces that hold a wanted rank are kept. A rank that the sketch should have missed widens its
     column's bracket to everything, so the result is exact in any case."""
     data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
@@ -90,7 +90,7 @@ def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], held: bool
         if not missed:
             break
         spans.update({i: [(float("-inf"), float("inf")), ] for i in missed})
-    at = _values_at(inside, regions, wanted, driver_rows)
+    at = _values_at(inside, regions, wanted, driver_rows, n_buckets)
     out = {}
     for i, c in enumerate(cols):
         if i not in total:
@@ -139,7 +139,7 @@ def _ranks_inside(regions: list[int], ranks: list[int]) -> bool:
     return all(any(edge[g] <= r < edge[g + 1] for g in range(1, len(regions), 2)) for r in ranks)
 
 
-def _values_at(counts: DataFrame, regions: dict, wanted: dict, driver_rows: int) -> dict:
+def _values_at(counts: DataFrame, regions: dict, wanted: dict, driver_rows: int, n_buckets: int) -> dict:
     """{column: {rank: value}} from the values inside the brackets."""
     if not wanted:
         return {}
@@ -147,7 +147,7 @@ def _values_at(counts: DataFrame, regions: dict, wanted: dict, driver_rows: int)
     before = {(k, g): sum(n[:g]) for k, n in regions.items() for g in range(1, len(n), 2)}
     while counts.count() > driver_rows:
         cuts = {(r["k"], r["g"]): sorted(set(r["q"])) for r in counts.groupBy("k", "g").agg(
-            F.percentile_approx("v", [j / 64 for j in range(1, 64)], 1000).alias("q")).collect()}
+            F.percentile_approx("v", [j / n_buckets for j in range(1, n_buckets)], 1000).alias("q")).collect()}
         piece = F.lit(None).cast("int")
         for (k, g), q in cuts.items():
             edges = F.array(*[F.lit(x) for x in q])
@@ -161,8 +161,8 @@ def _values_at(counts: DataFrame, regions: dict, wanted: dict, driver_rows: int)
             at = before[(k, g)]
             for j in sorted(n):
                 if any(at <= r < at + n[j] for r in wanted[k]):
-                    keep[(k, g, j)] = g * 64 + j
-                    later[(k, g * 64 + j)] = at
+                    keep[(k, g, j)] = g * n_buckets + j
+                    later[(k, g * n_buckets + j)] = at
                 at += n[j]
         new = F.lit(None).cast("int")
         for (k, g, j), name in keep.items():
