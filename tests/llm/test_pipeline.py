@@ -27,7 +27,7 @@ def test_run_on_small_table(spark):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_last_stage_decodes_its_ids(spark, odd_docs, monkeypatch):
