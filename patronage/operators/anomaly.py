@@ -91,13 +91,13 @@ def fit_isolation_forest(df: DataFrame, cols: list[str], id_col: str = "Customer
     while True:
         p = min(1.0, mult * want / max(n, 1))
         f_union = min(1.0, p * n_trees)
-        u0 = (F.abs(F.xxhash64("__rid", F.lit(seed))) % 1_000_000_007) / 1_000_000_007.0
+        u0 = F.pmod(F.xxhash64("__rid", F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0
         union = base.filter(u0 < f_union)
         trees_of = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                            lambda t: (F.abs(F.xxhash64("__rid", F.lit(seed), t)) % 1_000_000_007)
+                            lambda t: F.pmod(F.xxhash64("__rid", F.lit(seed), t), F.lit(1_000_000_007))
                             / 1_000_000_007.0 < F.lit(p / f_union))
         cand = union.select("*", F.explode(trees_of).alias("tree"))
-        cand = cand.withColumn("h", F.abs(F.xxhash64("__rid", F.lit(seed), F.col("tree"))))
+        cand = cand.withColumn("h", F.xxhash64("__rid", F.lit(seed), F.col("tree")))
         short = cand.groupBy("tree").count().filter(F.col("count") < want).count()
         missing = n_trees - cand.select("tree").distinct().count()
         if (short == 0 and missing == 0) or p >= 1.0:
