@@ -754,3 +754,7 @@ ORACLE["upsert_incremental"] = ORACLE["upsert_values"]
 ORACLE["neighbour_counts"] = with_(_NB) + """
 SELECT a AS id, count(*) AS neighbours FROM pairs WHERE d <= 1.5 GROUP BY a"""
 ORACLE["model_round_trip"] = with_(FEATURES) + "SELECT CustomerID, true AS same FROM feat"
+
+ORACLE["kmeans_invariants"] = with_(FEATURES) + """SELECT CAST(k AS INT) AS k, n AS customers, 0 AS misplaced, true AS inertia_holds,
+    0 AS cost_rises, k AS clusters
+FROM (SELECT count(*) AS n FROM feat) CROSS JOIN (SELECT unnest(range(2, 11)) AS k)"""

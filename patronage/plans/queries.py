@@ -719,6 +719,72 @@ def q_k_distance_customers(spark, sf_dir):
     return rnd(K.k_distance_graph(sc, FT.FEATURE_COLS, 5, "id"))
 
 
+def scaled_points(spark, sf_dir) -> DataFrame:
+    """Scaled features written once, for grids that scan them many times."""
+    from patronage.session import stored
+    return stored(scaled_regions(spark, sf_dir).select("CustomerID", *FT.FEATURE_COLS))
+
+
+@register("kmeans_elbow")
+def q_kmeans_elbow(spark, sf_dir):
+    """K2 + K3: inertia and silhouette of the best of 10 starts for k = 2 .. 10, and the k of the highest silhouette."""
+    best, table = K.kmeans_optimal_k(scaled_points(spark, sf_dir), FT.FEATURE_COLS)
+    return table.withColumn("best", F.col("k") == F.lit(best))
+
+
+@register("kmeans_invariants")
+def q_kmeans_invariants(spark, sf_dir):
+    """K1-K3: per k of the grid the customers, those nearer to another centre than to their
+    own, whether the label counts and distances give the model's inertia, and rounds in which the cost rose."""
+    from patronage.operators import lloyd as LL
+    points = LL.vectors(scaled_points(spark, sf_dir), FT.FEATURE_COLS, ["CustomerID"])
+    models = LL.best_starts(LL.fit_many(points, [LL.Spec(k, i) for k in range(2, 11) for i in range(10)]))
+    labelled = LL.assign(points, models)
+    rows = [(j, m.spec.k, m.inertia, sum(b > a * (1 + 1e-12) for a, b in zip(m.costs, m.costs[1:])), m.centers.tolist())
+            for j, m in enumerate(models)]
+    # nine rows: one a model
+    fitted = spark.createDataFrame(rows, "m int, k int, inertia double, cost_rises int, centers array<array<double>>")
+    gap = F.transform("centers", lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)),
+                                                       F.lit(0.0), lambda s, x: s + x))
+    per = (labelled.select("CustomerID", "v", F.posexplode("labels").alias("m", "label")).join(F.broadcast(fitted), "m")
+                   .withColumn("gaps", gap).withColumn("own", F.col("gaps")[F.col("label")]))
+    out = per.groupBy("k").agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count(F.when(F.col("own") > F.array_min("gaps") + 1e-9, 1)).alias("misplaced"),
+        (F.abs(F.sum("own") - F.first("inertia")) <= 1e-6 * F.first("inertia")).alias("inertia_holds"),
+        F.first("cost_rises").alias("cost_rises"), F.count_distinct("label").alias("clusters"))
+    return out
+
+
+@register("kmeans_methods")
+def q_kmeans_methods(spark, sf_dir):
+    """K4: KMeans on the components, on the features and with the best k, by silhouette."""
+    sc = scaled_points(spark, sf_dir)
+    model, _, n, signs = M.fit_pca(sc, FT.FEATURE_COLS)
+    proj = M.pca_project(model, sc, n, signs)
+    table, best = K.compare_methods(proj, FT.FEATURE_COLS, [f"PC{i + 1}" for i in range(n)])
+    return table.withColumn("best", F.col("method") == F.lit(best and best["method"]))
+
+
+@register("kmeans_tuning")
+def q_kmeans_tuning(spark, sf_dir):
+    """K9: silhouettes over k and initialisation."""
+    return K.tune_kmeans(scaled_points(spark, sf_dir), FT.FEATURE_COLS)
+
+
+@register("pca_tuning")
+def q_pca_tuning(spark, sf_dir):
+    """Silhouettes over the number of components and k."""
+    return K.tune_pca(scaled_points(spark, sf_dir), FT.FEATURE_COLS)
+
+
+@register("dbscan_tuning")
+def q_dbscan_tuning(spark, sf_dir):
+    """Silhouettes over eps {1.0, 2.0} and min_samples {3, 10}."""
+    sc = scaled_points(spark, sf_dir).withColumn("id", F.col("CustomerID").cast("long"))
+    return K.tune_dbscan(sc, FT.FEATURE_COLS, [1.0, 2.0], [3, 10], "id")
+
+
 @register("anomaly_scores")
 def q_anomaly_scores(spark, sf_dir):
     """N1 + N2: isolation forest (200 trees, 5 %) over the customer features."""
