@@ -16,10 +16,16 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.util import (DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable,
+                             MLWriter)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.operators.ordered import exact_quantile
+from patronage.session import stored
 
 # Forest settings.
 N_TREES = 200
@@ -27,6 +33,8 @@ MAX_SAMPLES = 256
 CONTAMINATION = 0.05
 SEED = 42
 EULER = 0.5772156649015329
+TREE_SCHEMA = ("tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, "
+               "size array<int>")
 
 
 def avg_path_length(n):
@@ -64,8 +72,7 @@ def _build_tree(X: np.ndarray, rng: np.random.RandomState, max_depth: int):
     return feat, thr, left, right, size
 
 
-def _tree_builder(cols, n_rows, seed):
-    psi = min(MAX_SAMPLES, n_rows)
+def _tree_builder(cols, psi, seed):
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -76,17 +83,19 @@ def _tree_builder(cols, n_rows, seed):
         f, th, le, ri, sz = _build_tree(X, rng, max_depth)
         return pd.DataFrame({"tree": [t], "feature": [f], "threshold": [th], "left": [le], "right": [ri],
                              "size": [sz]})
-    return build, psi
+    return build
 
 
 def fit_isolation_forest(df: DataFrame, cols: list[str], id_col: str = "CustomerID", n_trees: int = N_TREES,
-                         seed: int = SEED, contamination: float = CONTAMINATION):
+                         seed: int = SEED, contamination: float = CONTAMINATION, max_samples: int = MAX_SAMPLES):
     """Returns a model dict (trees, psi, offset, cols) and the summary
-    DataFrame (total_checked, anomalies_found, anomaly_rate)."""
+    DataFrame (total_checked, anomalies_found, anomaly_rate). A null feature counts as 0,
+    in training as in scoring; ``max_samples`` rows make a tree."""
     n = df.count()
-    psi = min(MAX_SAMPLES, n)
+    psi = min(max_samples, n)
     want = psi
-    base = df.select(F.col(id_col).cast("string").alias("__rid"), *[F.col(c).cast("double").alias(c) for c in cols])
+    base = df.select(F.col(id_col).cast("string").alias("__rid"),
+                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     mult = 3.0
     while True:
         p = min(1.0, mult * want / max(n, 1))
@@ -103,49 +112,48 @@ def fit_isolation_forest(df: DataFrame, cols: list[str], id_col: str = "Customer
         if (short == 0 and missing == 0) or p >= 1.0:
             break
         mult *= 2.0
-    build, psi = _tree_builder(cols, n, seed)
-    schema = ("tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, "
-              "size array<int>")
-    trees = (cand.select("tree", "h", "__rid", *cols).groupBy("tree").applyInPandas(build, schema)
+    build = _tree_builder(cols, psi, seed)
+    trees = (cand.select("tree", "h", "__rid", *cols).groupBy("tree").applyInPandas(build, TREE_SCHEMA)
              .orderBy("tree").toPandas())
     model = {"cols": list(cols), "psi": psi,
              "trees": [tuple(np.asarray(r[c]) for c in ("feature", "threshold", "left", "right", "size"))
                        for _, r in trees.iterrows()]}
-    scored = score_samples(model, df, id_col)
+    # the quantile reads the scores several times, the summary once more
+    scored = stored(score_samples(model, df, id_col).select("score_sample"))
     offset = exact_quantile(scored, "score_sample", contamination)
     model["offset"] = float(df.sparkSession.range(1).select(offset).first()[0])
-    flagged = decision(model, df, id_col)
-    summary = flagged.agg(F.count(F.lit(1)).alias("total_checked"),
-                          F.count(F.when(F.col("is_anomaly"), 1)).alias("anomalies_found"))
-    summary = summary.withColumn("anomaly_rate", F.round(F.col("anomalies_found") / F.col("total_checked"), 4))
+    summary = anomaly_summary(scored.select((F.col("score_sample") < F.lit(model["offset"])).alias("is_anomaly")))
     return model, summary
 
 
+def tree_scores(X: np.ndarray, trees, psi: int) -> np.ndarray:
+    """Negative anomaly score of each row: all rows go down one tree after the other."""
+    cpsi = float(avg_path_length(np.array([psi]))[0]) or 1.0
+    depth_sum = np.zeros(len(X))
+    for feat, thr, left, right, size in trees:
+        node = np.zeros(len(X), dtype=int)
+        depth = np.zeros(len(X))
+        active = feat[node] >= 0
+        while active.any():
+            idx = np.where(active)[0]
+            f = feat[node[idx]]
+            go_left = X[idx, f] < thr[node[idx]]
+            node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
+            depth[idx] += 1
+            active = feat[node] >= 0
+        depth_sum += depth + avg_path_length(size[node])
+    return -np.power(2.0, -(depth_sum / len(trees)) / cpsi)
+
+
 def _scorer(bmodel):
     def run(it):
         m = bmodel.value
-        cols, trees, psi = m["cols"], m["trees"], m["psi"]
-        cpsi = float(avg_path_length(np.array([psi]))[0]) or 1.0
+        cols = m["cols"]
         for pdf in it:
             if pdf.empty:
                 continue
-            X = pdf[cols].to_numpy(dtype=float)
-            depth_sum = np.zeros(len(X))
-            for feat, thr, left, right, size in trees:
-                node = np.zeros(len(X), dtype=int)
-                depth = np.zeros(len(X))
-                active = feat[node] >= 0
-                while active.any():
-                    idx = np.where(active)[0]
-                    f = feat[node[idx]]
-                    go_left = X[idx, f] < thr[node[idx]]
-                    node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
-                    depth[idx] += 1
-                    active = feat[node] >= 0
-                depth_sum += depth + avg_path_length(size[node])
-            score = -np.power(2.0, -(depth_sum / len(trees)) / cpsi)
             out = pdf.drop(columns=cols).copy()
-            out["score_sample"] = score
+            out["score_sample"] = tree_scores(pdf[cols].to_numpy(dtype=float), m["trees"], m["psi"])
             yield out
     return run
 
@@ -173,3 +181,67 @@ def anomaly_summary(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("total_checked"),
                       F.count(F.when(F.col("is_anomaly"), 1)).alias("anomalies_found")).withColumn(
         "anomaly_rate", F.round(F.col("anomalies_found") / F.col("total_checked"), 4))
+
+
+NODE_ARRAYS = ("feature", "threshold", "left", "right", "size")
+
+
+class IsolationForestModel(Model, HasInputCols, MLWritable, MLReadable):
+    """The fitted forest as a pipeline stage that can be saved: settings in the
+    metadata, one row a tree in a Parquet table beside them. ``transform`` adds
+    ``anomaly_score``, ``is_anomaly`` and ``reconstruction_error`` to whatever columns there are."""
+
+    psi = Param(Params._dummy(), "psi", "rows of a tree's sample", TypeConverters.toInt)
+    offset = Param(Params._dummy(), "offset", "score below which a row is an anomaly", TypeConverters.toFloat)
+
+    def __init__(self, model: dict | None = None):
+        super().__init__()
+        self.trees: list[tuple] = []
+        if model is not None:
+            self._set(inputCols=model["cols"], psi=model["psi"], offset=model["offset"])
+            self.trees = model["trees"]
+
+    def as_dict(self) -> dict:
+        return {"cols": self.getInputCols(), "psi": self.getOrDefault(self.psi),
+                "offset": self.getOrDefault(self.offset), "trees": self.trees}
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        b = dataset.sparkSession.sparkContext.broadcast((self.trees, self.getOrDefault(self.psi)))
+
+        def run(*columns: pd.Series) -> pd.Series:
+            return pd.Series(tree_scores(np.column_stack([c.to_numpy(dtype=float) for c in columns]), *b.value))
+
+        score = F.pandas_udf(run, "double")(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.getInputCols()])
+        d = F.col("__score") - F.lit(self.getOrDefault(self.offset))
+        return (dataset.withColumn("__score", score)
+                       .withColumns({"anomaly_score": F.round(d, 6), "is_anomaly": d < 0,
+                                     "reconstruction_error": F.round(F.lit(0.5) - d, 6)}).drop("__score"))
+
+    def write(self) -> MLWriter:
+        return _ForestWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ForestReader()
+
+
+class _ForestWriter(MLWriter):
+    def __init__(self, instance: IsolationForestModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        rows = [(i, *[np.asarray(a).tolist() for a in tree]) for i, tree in enumerate(self.instance.trees)]
+        self.sparkSession.createDataFrame(rows, TREE_SCHEMA).write.parquet(f"{path}/trees")
+
+
+class _ForestReader(MLReader):
+    def load(self, path: str) -> IsolationForestModel:
+        model = IsolationForestModel()
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        trees = self.sparkSession.read.schema(TREE_SCHEMA).parquet(f"{path}/trees").orderBy("tree").collect()
+        model.trees = [tuple(np.asarray(r[c]) for c in NODE_ARRAYS) for r in trees]
+        return model

@@ -7,6 +7,7 @@ the score order come from bucketed prefix sums, not a global sort.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from patronage.functions.expr import risk_band
 from patronage.functions.scalars import stats_row
 from patronage.operators.ordered import running_totals
-from patronage.session import materialize
+from patronage.session import materialize, path_exists
 
 # Default churn training columns, split and forest settings.
 DEFAULT_CHURN_FEATURES = ["Recency", "Frequency", "Monetary", "AvgBasketSize", "DiscountUsage", "ReturnRate"]
@@ -84,6 +85,28 @@ def train_churn_model(features: DataFrame, feature_cols: list[str] | None = None
     return model, metrics, rates, imp, cols
 
 
+def save_churn_model(model, cols: list[str], path: str) -> None:
+    """L3: the forest and its column list as one pipeline, so that neither is kept without the other."""
+    assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    PipelineModel(stages=[assembler, model]).write().overwrite().save(path)
+
+
+def load_churn_model(path: str):
+    """L3: (forest, column list) as saved."""
+    assembler, model = PipelineModel.load(path).stages
+    return model, assembler.getInputCols()
+
+
+def ensure_churn_model(path: str, features: DataFrame, id_col="CustomerID"):
+    """The stored forest, or one trained on ``features`` and stored if there is none."""
+    spark = features.sparkSession
+    if path_exists(spark, path):
+        return load_churn_model(path)
+    model, _, _, _, cols = train_churn_model(features, id_col=id_col)
+    save_churn_model(model, cols, path)
+    return model, cols
+
+
 def score_groups(scored: DataFrame, label="label", score="score") -> DataFrame:
     return scored.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"),

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from patronage.operators.clean import numeric_columns
 from patronage.operators.ordered import running_totals
-from patronage.session import materialize
+from patronage.session import materialize, path_exists
+from patronage.sources.sinks import write_table
 
 # Decision thresholds.
 PSI_THRESHOLD = 0.25
@@ -165,3 +166,14 @@ def baseline_snapshot(df: DataFrame, id_col: str = "CustomerID") -> DataFrame:
     """Id + numeric features (the fallback baseline drops label and
     projection columns and keeps numerics only)."""
     return df.select(id_col, *numeric_columns(df, BASELINE_EXCLUDE))
+
+
+def load_baseline(spark, path: str, personas_path: str | None = None, id_col: str = "CustomerID") -> DataFrame | None:
+    """The stored baseline; without one the snapshot of the stored persona
+    table, which becomes the baseline; None if neither exists."""
+    if path_exists(spark, path):
+        return spark.read.parquet(path)
+    if personas_path and path_exists(spark, personas_path):
+        write_table(baseline_snapshot(spark.read.parquet(personas_path), id_col), path)
+        return spark.read.parquet(path)
+    return None

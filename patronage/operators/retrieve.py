@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -28,6 +29,8 @@ MMR_K = 6
 MMR_LAMBDA = 0.7
 EMBED_DIM = 256
 QUERY_BLOCK = 10_000
+# Where chunks may be cut, coarsest first.
+SEPARATORS = ("\n\n", "\n", " ")
 
 
 def chunk_documents(docs: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE,
@@ -44,6 +47,101 @@ def chunk_documents(docs: DataFrame, text_col: str = "text", size: int = CHUNK_S
                         F.substring(text_col, F.col("i") * step + 1, size).alias("content")))
 
 
+def _cuts(text: str, lo: int, hi: int, level: int) -> tuple[list[int], int]:
+    """Where the pieces of ``text[lo:hi]`` begin at the coarsest separator from ``level`` on
+    that occurs in it, and that separator's level; a separator begins the piece after it."""
+    for at in range(level, len(SEPARATORS)):
+        sep = SEPARATORS[at]
+        found = text.find(sep, lo, hi)
+        if found >= 0:
+            cuts = [lo]
+            while found >= 0:
+                if found > lo:
+                    cuts.append(found)
+                found = text.find(sep, found + len(sep), hi)
+            return cuts, at
+    return [lo], len(SEPARATORS)
+
+
+def chunk_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
+    """(start, end) of the separator-aware chunks of a text, in linear time: pieces
+    between separators are put together while they fit ``size``; the next chunk begins with
+    the last pieces that fit ``overlap``. A piece of ``size`` or more is cut on at finer
+    separators, and without any by characters. Outer white space is cut off, what is only
+    white space gives no chunk."""
+    return _spans(text, 0, len(text), 0, size, overlap)
+
+
+def _spans(text: str, lo: int, hi: int, level: int, size: int, overlap: int):
+    cuts, at = _cuts(text, lo, hi, level)
+    if at == len(SEPARATORS):
+        # no separator left: windows of characters
+        step = size - overlap
+        for k in range(max(1, -(-(hi - lo - overlap) // step))):
+            yield from _trimmed(text, lo + k * step, min(lo + k * step + size, hi))
+        return
+    first = 0
+    for i, (s, e) in enumerate(zip(cuts, [*cuts[1:], hi])):
+        if e - s >= size:
+            if first < i:
+                yield from _trimmed(text, cuts[first], s)
+            yield from _spans(text, s, e, at + 1, size, overlap)
+            first = i + 1
+        elif e - cuts[first] > size:
+            yield from _trimmed(text, cuts[first], s)
+            while first < i and (s - cuts[first] > overlap or e - cuts[first] > size):
+                first += 1
+    if first < len(cuts):
+        yield from _trimmed(text, cuts[first], hi)
+
+
+def _trimmed(text: str, lo: int, hi: int):
+    body = text[lo:hi]
+    left = len(body) - len(body.lstrip())
+    body = body.strip()
+    if body:
+        yield lo + left, lo + left + len(body)
+
+
+def chunk_by_separators(docs: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE,
+                        overlap: int = CHUNK_OVERLAP, rows: int = 2048) -> DataFrame:
+    """T1 at paragraph, line and word borders (``chunk_spans``) over whole texts: the
+    other columns, ``chunk_no``, ``chunk_start`` (code points) and ``content``. Null texts and texts
+    of white space give no row. Output batches hold ``rows`` chunks, so a long text is not
+    copied out at once."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be below size")
+    added = [("chunk_no", "int"), ("chunk_start", "int"), ("content", "string")]
+    keep = [c for c in docs.columns if c != text_col]
+    if clash := {n for n, _ in added} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are written by this operator")
+
+    def run(batches):
+        for batch in batches:
+            kept = batch.select(keep)
+            at, no, start, content = [], [], [], []
+
+            def flush():
+                cols = [kept.column(c).take(pa.array(at, pa.int64())) for c in keep]
+                return pa.RecordBatch.from_arrays(
+                    [*cols, pa.array(no, pa.int32()), pa.array(start, pa.int32()), pa.array(content, pa.string())],
+                    names=[*keep, *[n for n, _ in added]])
+
+            for i, value in enumerate(batch.column(text_col)):
+                text = value.as_py()
+                for j, (s, e) in enumerate(chunk_spans(text, size, overlap) if text else ()):
+                    at.append(i), no.append(j), start.append(s), content.append(text[s:e])
+                    if len(at) >= rows:
+                        yield flush()
+                        at, no, start, content = [], [], [], []
+            if at:
+                yield flush()
+
+    return docs.select(*keep, text_col).mapInArrow(
+        run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+                       + [f"{n} {t}" for n, t in added]))
+
+
 def fit_embedder(texts: DataFrame, text_col: str = "content", dim: int = EMBED_DIM):
     """T2 (re-aimed): tokens -> hashed term counts -> IDF -> L2 norm, all
     Spark ML. Returns a fitted PipelineModel producing ``embedding``."""

@@ -758,3 +758,14 @@ ORACLE["model_round_trip"] = with_(FEATURES) + "SELECT CustomerID, true AS same
 ORACLE["kmeans_invariants"] = with_(FEATURES) + """SELECT CAST(k AS INT) AS k, n AS customers, 0 AS misplaced, true AS inertia_holds,
     0 AS cost_rises, k AS clusters
 FROM (SELECT count(*) AS n FROM feat) CROSS JOIN (SELECT unnest(range(2, 11)) AS k)"""
+
+ORACLE["anomaly_model_round_trip"] = ORACLE["churn_model_round_trip"] = ORACLE["model_round_trip"]
+ORACLE["drift_baseline_fallback"] = ORACLE["stream_refresh"]
+ORACLE["persona_profile_documents"] = with_(_PROF) + """,
+named AS (SELECT coalesce(d.Persona, 'Unknown') AS Persona, f.* FROM fs f LEFT JOIN pdim d ON d.Cluster = f.RegionKey),
+mean AS (SELECT Persona, """ + ", ".join(f"CAST(round(avg({c}), 3) AS VARCHAR) AS {c}" for c in _PROFILE) + """
+         FROM named GROUP BY Persona)
+SELECT Persona, 'persona_profile' AS type, 'Persona: ' || Persona || chr(10) || 'Average feature profile: ' || """ + \
+    " || ', ' || ".join(f"'{c}: ' || coalesce({c}, 'nan')" for c in _PROFILE) + " AS content FROM mean"
+ORACLE["separator_chunk_cover"] = """SELECT doc_id, md5(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) AS text_md5, true AS fits
+FROM documents WHERE regexp_replace(text, '[ \\t\\r\\n]', '', 'g') <> ''"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patronage.operators import clean as C
@@ -801,6 +801,78 @@ def q_anomaly_summary(spark, sf_dir):
     return summary
 
 
+@register("anomaly_model_round_trip")
+def q_anomaly_model_round_trip(spark, sf_dir):
+    """The isolation forest saved, loaded and applied as a stage: whether each customer's
+    scores are those of the training run."""
+    f = features(spark, sf_dir)
+    fitted, _ = N.fit_isolation_forest(f, FT.FEATURE_COLS)
+    path = _scratch(spark, "forest")
+    N.IsolationForestModel(fitted).write().overwrite().save(path)
+    again = N.IsolationForestModel.load(path).transform(f.select("CustomerID", *FT.FEATURE_COLS))
+    first = N.decision(fitted, f).withColumnsRenamed({"anomaly_score": "s", "is_anomaly": "a", "reconstruction_error": "e"})
+    return again.join(first, again["CustomerID"] == first["customer_id"], "full").select("CustomerID", (
+        F.col("s").eqNullSafe(F.col("anomaly_score")) & F.col("a").eqNullSafe(F.col("is_anomaly"))
+        & F.col("e").eqNullSafe(F.col("reconstruction_error"))).alias("same"))
+
+
+@register("churn_model_round_trip")
+def q_churn_model_round_trip(spark, sf_dir):
+    """L3 + L7: the churn forest trained and stored where there is none, read on the next call:
+    whether each customer's probability is the same."""
+    f = features(spark, sf_dir)
+    path = _scratch(spark, "churn")
+    first = L.predict_churn(*swap(L.ensure_churn_model(path, f), f)).select("customer_id", F.col("churn_probability").alias("p"))
+    again = L.predict_churn(*swap(L.ensure_churn_model(path, f), f))
+    return again.join(first, "customer_id", "full").select(
+        F.col("customer_id").alias("CustomerID"), F.col("p").eqNullSafe(F.col("churn_probability")).alias("same"))
+
+
+def swap(stored_model, f):
+    model, cols = stored_model
+    return model, f, cols
+
+
+@register("drift_baseline_fallback")
+def q_drift_baseline_fallback(spark, sf_dir):
+    """No baseline is stored, so that of the stored persona table is taken and kept."""
+    from patronage.sources.sinks import write_table
+    base, personas = _scratch(spark, "baseline"), _scratch(spark, "personas")
+    write_table(PD.attach_persona(feat_seg(spark, sf_dir).withColumn("Cluster", F.col("RegionKey"))), personas)
+    R.load_baseline(spark, base, personas)
+    got = R.load_baseline(spark, base)
+    return got.select("CustomerID", "Recency", "Frequency", "TotalQty", F.round("Monetary", 4).alias("Monetary"))
+
+
+@register("persona_profile_documents")
+def q_persona_profile_documents(spark, sf_dir):
+    """A document per persona (by region number) with its mean features."""
+    named = PD.attach_persona(feat_seg(spark, sf_dir).withColumn("Cluster", F.col("RegionKey")))
+    docs = PD.profile_documents(named.select("Persona", *PROFILE_FEATURES), "customer_personas")
+    return docs.select("Persona", "content", F.col("metadata")["type"].alias("type"))
+
+
+@register("separator_chunks")
+def q_separator_chunks(spark, sf_dir):
+    """Chunks at paragraph, line and word borders over every whole document."""
+    return T.chunk_by_separators(S.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("separator_chunk_cover")
+def q_separator_chunk_cover(spark, sf_dir):
+    """What the chunks of a document add to each other, without white space, hashed; the longest chunk fits."""
+    chunks = T.chunk_by_separators(S.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    w = Window.partitionBy("doc_id").orderBy("chunk_no")
+    end = F.col("chunk_start") + F.length("content")
+    fresh = F.expr("substring(content, greatest(before - chunk_start, 0) + 1)")
+    return (chunks.withColumn("before", F.coalesce(F.lag(end).over(w), F.lit(0)))
+                  .groupBy("doc_id").agg(
+                      F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+                          "chunk_no", F.regexp_replace(fresh, "[ \\t\\r\\n]", "").alias("f")))),
+                          lambda x: x["f"]), "")).alias("text_md5"),
+                      (F.max(F.length("content")) <= T.CHUNK_SIZE).alias("fits")))
+
+
 @register("kafka_records")
 def q_kafka_records(spark, sf_dir):
     """ST1: cleaned lines as Kafka (key, value) records."""

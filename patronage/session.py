@@ -76,6 +76,12 @@ def stored(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``patronage`` importable in Python workers (pandas functions
     pickle references to its modules): zip the package once per context and

@@ -85,6 +85,27 @@ def persona_documents(spark: SparkSession) -> DataFrame:
     )
 
 
+def _plain(c):
+    """A number of at most three digits after the point, never in scientific notation, at least one digit kept."""
+    return F.regexp_replace(c.cast("decimal(38,3)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
+def profile_documents(personas: DataFrame, source: str, exclude=("CustomerID", "Cluster", "Persona", "PC1", "PC2")) -> DataFrame:
+    """One text document per persona with the mean of each numeric feature (3 digits), in column order.
+    A feature without values reads ``nan``; customers without a persona give no document."""
+    cols = [f.name for f in personas.schema.fields
+            if f.name not in exclude and isinstance(f.dataType, T.NumericType)]
+    means = personas.filter(F.col("Persona").isNotNull()).groupBy("Persona").agg(
+        *[F.round(F.avg(c), 3).alias(c) for c in cols])
+    entries = [F.concat(F.lit(f"{c}: "), F.coalesce(_plain(F.col(c)), F.lit("nan"))) for c in cols]
+    return means.select(
+        "Persona",
+        F.concat(F.lit("Persona: "), F.col("Persona"), F.lit("\nAverage feature profile: "),
+                 F.concat_ws(", ", *entries)).alias("content"),
+        F.create_map(F.lit("source"), F.lit(source), F.lit("type"), F.lit("persona_profile"),
+                     F.lit("persona"), F.col("Persona")).alias("metadata"))
+
+
 def persona_summary(spark: SparkSession) -> DataFrame:
     """Cluster, Persona, Description rows."""
     return persona_dim(spark).select("Cluster", "Persona", "Description")
