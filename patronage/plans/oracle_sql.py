@@ -769,3 +769,7 @@ SELECT Persona, 'persona_profile' AS type, 'Persona: ' || Persona || chr(10) ||
     " || ', ' || ".join(f"'{c}: ' || coalesce({c}, 'nan')" for c in _PROFILE) + " AS content FROM mean"
 ORACLE["separator_chunk_cover"] = """SELECT doc_id, md5(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) AS text_md5, true AS fits
 FROM documents WHERE regexp_replace(text, '[ \\t\\r\\n]', '', 'g') <> ''"""
+
+ORACLE["vector_index_recall"] = """SELECT count(*) AS queries, CAST(sum(least(20, (SELECT count(*) FROM embeddings))) AS BIGINT) AS wanted,
+       true AS reached
+FROM embeddings WHERE vec_id % 100 = 0"""

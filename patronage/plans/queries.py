@@ -559,6 +559,31 @@ def q_label_centroid_neighbours(spark, sf_dir):
     return top.select("label", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def _index_search(spark, sf_dir):
+    from patronage.operators.vector_index import VectorIndex
+    vecs = S.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = vecs.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "qid")
+    index = VectorIndex(vecs, "vec_id")
+    probes = index.probes_for(0.95, T.FETCH_K)
+    return vecs, asked, index.search(asked, T.FETCH_K, probes, id_col="vec_id")
+
+
+@register("vector_index_search")
+def q_vector_index_search(spark, sf_dir):
+    """The 20 stored vectors closest (cosine) to every hundredth one, with as many
+    probes as a sample of the index needs for 0.95 of its answers."""
+    return rnd(_index_search(spark, sf_dir)[2])
+
+
+@register("vector_index_recall")
+def q_vector_index_recall(spark, sf_dir):
+    """Whether the index finds at least nine tenths of the exact answers."""
+    from patronage.operators.vector_index import recall
+    vecs, asked, found = _index_search(spark, sf_dir)
+    exact = T.nearest(vecs, asked, T.FETCH_K, id_col="vec_id")
+    return recall(found, exact).select("queries", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def retrieval_hits(spark, sf_dir):
     """Benchmark items as questions over the document chunks."""
     docs = S.read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
