@@ -55,10 +55,10 @@ def linear_forecast(series: DataFrame, group_col: str = "Persona", periods: int
         F.round(F.greatest(pred + Z * F.col("sd"), F.lit(0.0)), 2).alias("upper_bound"))
 
 
-SEASONAL_MIN_POINTS = 24
+SEASONAL_MIN_POINTS = 24  # two whole years, without which season and trend cannot be told apart
 
 
-def _seasonal_fit(periods: int, group_col: str):
+def _seasonal_fit(periods: int, group_col: str, min_points: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds").reset_index(drop=True)
         n = len(pdf)
@@ -67,7 +67,8 @@ def _seasonal_fit(periods: int, group_col: str):
         last = pd.Timestamp(pdf["ds"].iloc[-1])
         dates = [(last + pd.offsets.MonthEnd(h)).date() for h in range(1, periods + 1)]
         tf = np.arange(n, n + periods, dtype=float)
-        if n >= SEASONAL_MIN_POINTS:
+        model = "seasonal" if n >= min_points else "linear"
+        if model == "seasonal":
             # multiplicative yearly season: linear model on log1p(y)
             def design(tt):
                 month = (pd.DatetimeIndex(pdf["ds"]).month.to_numpy()[0] - 1 + tt) % 12
@@ -86,19 +87,21 @@ def _seasonal_fit(periods: int, group_col: str):
             pred = a + b * tf
             lo, hi = pred - Z * sd, pred + Z * sd
         else:
-            return pd.DataFrame(columns=[group_col, "date", "predicted_value", "lower_bound", "upper_bound"])
+            return pd.DataFrame(columns=[group_col, "date", "predicted_value", "lower_bound", "upper_bound", "model"])
         clip = lambda v: np.round(np.maximum(v, 0.0), 2)
         return pd.DataFrame({group_col: pdf[group_col].iloc[0], "date": dates,
-                             "predicted_value": clip(pred), "lower_bound": clip(lo), "upper_bound": clip(hi)})
+                             "predicted_value": clip(pred), "lower_bound": clip(lo), "upper_bound": clip(hi),
+                             "model": model})
     return fit
 
 
-def seasonal_forecast(series: DataFrame, group_col: str = "Persona", periods: int = PERIODS) -> DataFrame:
-    """trend + yearly multiplicative seasonality per group (linear when a
-    series has fewer than 24 months)."""
-    schema = f"`{group_col}` string, date date, predicted_value double, lower_bound double, upper_bound double"
+def seasonal_forecast(series: DataFrame, group_col: str = "Persona", periods: int = PERIODS,
+                      min_points: int = SEASONAL_MIN_POINTS) -> DataFrame:
+    """trend + yearly multiplicative seasonality per group. A series of fewer than
+    ``min_points`` months gets the linear trend (one of a single month none); ``model`` says which it was."""
+    schema = f"`{group_col}` string, date date, predicted_value double, lower_bound double, upper_bound double, model string"
     return (series.select(F.col(group_col).cast("string").alias(group_col), "ds", "y")
-                  .groupBy(group_col).applyInPandas(_seasonal_fit(periods, group_col), schema))
+                  .groupBy(group_col).applyInPandas(_seasonal_fit(periods, group_col, min_points), schema))
 
 
 def forecast_all(tx_with_group: DataFrame, group_col: str = "Persona", periods: int = PERIODS,

@@ -96,7 +96,22 @@ def test_linear_forecast(spark):
     assert list(fc["predicted_value"]) == [22.0, 24.0, 26.0]
     assert str(fc["date"].iloc[0]) == "2024-07-31"
     sea = FC.seasonal_forecast(spark.createDataFrame(pdf)).toPandas()
-    assert len(sea) == 3
+    assert len(sea) == 3 and set(sea["model"]) == {"linear"}
+
+
+def test_seasonal_forecast_recovers_season_and_names_its_model(spark):
+    ds = pd.date_range("2021-01-31", periods=48, freq="ME")
+    y = np.expm1(4 + 0.01 * np.arange(48) + 0.3 * np.sin(2 * np.pi * np.arange(48) / 12))
+    pdf = pd.DataFrame({"Persona": "A", "ds": ds[:42], "y": y[:42]})
+    short = pd.DataFrame({"Persona": "B", "ds": ds[:8], "y": y[:8]})
+    alone = pd.DataFrame({"Persona": "C", "ds": ds[:1], "y": y[:1]})
+    series = spark.createDataFrame(pd.concat([pdf, short, alone]))
+    out = FC.seasonal_forecast(series, periods=6).orderBy("Persona", "date").toPandas()
+    a = out[out["Persona"] == "A"]
+    assert np.allclose(a["predicted_value"], y[42:], atol=0.02) and set(a["model"]) == {"seasonal"}
+    assert set(out[out["Persona"] == "B"]["model"]) == {"linear"} and "C" not in set(out["Persona"])
+    again = FC.seasonal_forecast(series, periods=6, min_points=8).toPandas()
+    assert set(again[again["Persona"] == "B"]["model"]) == {"seasonal"}
 
 
 def test_chunks_cover_whole_text(spark):
