@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from patronage.functions.expr import risk_band
 from patronage.functions.scalars import stats_row
 from patronage.operators.ordered import running_totals
-from patronage.session import materialize, path_exists
+from patronage.session import materialize, path_exists, stored
 
 # Default churn training columns, split and forest settings.
 DEFAULT_CHURN_FEATURES = ["Recency", "Frequency", "Monetary", "AvgBasketSize", "DiscountUsage", "ReturnRate"]
@@ -29,8 +29,8 @@ FOREST = dict(numTrees=200, maxDepth=8, minInstancesPerNode=10)
 def prepare_churn_labels(df: DataFrame, recency="Recency", frequency="Frequency") -> DataFrame:
     """L1: 1 when Recency > its 75th percentile and Frequency <= its 25th."""
     from patronage.operators.ordered import column_quantiles
-    r = column_quantiles(df, [recency], [0.75])[recency][0]
-    f = column_quantiles(df, [frequency], [0.25])[frequency][0]
+    q = column_quantiles(df, [recency, frequency], [0.25, 0.75])
+    r, f = q[recency][1], q[frequency][0]
     return df.withColumn("ChurnLabel", ((F.col(recency) > F.lit(r)) & (F.col(frequency) <= F.lit(f)))
                          .cast("int"))
 
@@ -38,7 +38,8 @@ def prepare_churn_labels(df: DataFrame, recency="Recency", frequency="Frequency"
 def stratified_split(df: DataFrame, label="ChurnLabel", id_col="CustomerID", test_size=TEST_SIZE,
                      seed=SEED) -> DataFrame:
     """L2: exact stratified split: rows are ranked in each class by a seeded
-    hash of the id and the first round(n * test_size) are the test rows. Ranks
+    hash of the id and the first round(n * test_size) are the test rows (equal ids
+    share a hash and a side, so the size is exact for distinct ids). Ranks
     come from bucketed running counts, so no class gathers in one task."""
     marked = materialize(df.withColumn("__u", F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)),
                                                      F.lit(1 << 52)).cast("double")))
@@ -113,32 +114,29 @@ def score_groups(scored: DataFrame, label="label", score="score") -> DataFrame:
         F.count(F.when(F.col(label) != 1, 1)).alias("neg"))
 
 
-def roc_auc(scored: DataFrame, label="label", score="score") -> DataFrame:
-    """L4: exact ROC-AUC (Mann-Whitney, tied scores count one half)."""
-    g = score_groups(scored, label, score)
-    cum = running_totals(g, [], "score", ["neg"])
-    t = stats_row(g.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))
-    below = F.col("cum_neg") - F.col("neg")
-    pairs = float(t["p"] or 0) * float(t["n"] or 0)
-    # one class only: undefined, null
-    return cum.agg(F.try_divide(F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))), F.lit(pairs)).alias("roc_auc"))
+def ranking_metrics(scored: DataFrame, label="label", score="score") -> DataFrame:
+    """L4 + L5: exact ROC-AUC (Mann-Whitney, tied scores count one half) and
+    step-wise average precision (over distinct thresholds, from high to low, recall increment
+    x precision there), from one ascending running total: what stands at or
+    above a score is the total, less the running total, plus the score's own. Null where undefined."""
+    g = stored(score_groups(scored, label, score))
+    t = g.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    pos, neg = float(t["p"] or 0), float(t["n"] or 0)
+    cum = running_totals(g, [], "score", ["pos", "neg"])
+    above_pos, above_neg = F.lit(pos) - F.col("cum_pos") + F.col("pos"), F.lit(neg) - F.col("cum_neg") + F.col("neg")
+    wins = F.sum(F.col("pos") * (F.col("cum_neg") - 0.5 * F.col("neg")))
+    return cum.agg(F.try_divide(wins, F.lit(pos * neg)).alias("roc_auc"),
+                   F.try_divide(F.sum(F.col("pos") * above_pos / (above_pos + above_neg)), F.lit(pos)).alias("avg_precision"))
 
 
-def average_precision(scored: DataFrame, label="label", score="score") -> DataFrame:
-    """Step-wise average precision: sum over distinct thresholds (high to
-    low) of recall increment x precision at that threshold."""
-    g = score_groups(scored, label, score)
-    cum = running_totals(g, [], "score", ["pos", "neg"], descending=True)
-    p_total = F.lit(float(stats_row(g.agg(F.sum("pos").alias("p")))["p"] or 0))
-    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    return cum.agg(F.try_divide(F.sum(F.col("pos") * prec), p_total).alias("avg_precision"))
+def roc_auc(scored: DataFrame, label="label", score="score") -> DataFrame:
+    """L4 alone."""
+    return ranking_metrics(scored, label, score).select("roc_auc")
 
 
-def ranking_metrics(scored: DataFrame, label="label", score="score") -> DataFrame:
-    auc = roc_auc(scored, label, score).first()[0]
-    ap = average_precision(scored, label, score).first()[0]
-    return scored.sparkSession.range(1).select(F.lit(auc).cast("double").alias("roc_auc"),
-                                               F.lit(ap).cast("double").alias("avg_precision"))
+def average_precision(scored: DataFrame, label="label", score="score") -> DataFrame:
+    """L5 alone."""
+    return ranking_metrics(scored, label, score).select("avg_precision")
 
 
 def feature_importances(model, cols: list[str]) -> DataFrame:

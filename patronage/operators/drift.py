@@ -1,9 +1,8 @@
 """Feature drift between a baseline and a new feature table.
 
-Both tables are unpivoted to (feature, value) with a narrow explode; every
-statistic is then a grouped aggregation whose partial step shrinks each
-map task to (feature x bin) rows before the shuffle. The two-sample KS
-statistic uses the exact bucketed running totals of ``ordered``, so no
+Both tables are unpivoted to (feature, value) and counted by value in the map
+tasks; that one written table feeds ranges, the bins of both divergences and the
+two-sample KS statistic, whose exact running totals come from ``ordered``, so no
 window runs over a whole feature in one task.
 """
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from patronage.operators.clean import numeric_columns
 from patronage.operators.ordered import running_totals
-from patronage.session import materialize, path_exists
+from patronage.session import path_exists, stored
 from patronage.sources.sinks import write_table
 
 # Decision thresholds.
@@ -26,6 +25,7 @@ KL_THRESHOLD = 0.1
 PSI_BUCKETS = 10
 KL_BUCKETS = 20
 MIN_VALUES = 5
+MIN_SPREAD = 1e-10
 
 BASELINE_EXCLUDE = ("CustomerID", "Cluster", "Persona", "PC1", "PC2")
 
@@ -45,63 +45,65 @@ def drift_features(baseline: DataFrame, new: DataFrame, cols: list[str] | None =
     return [c for c in base_cols if c in have]
 
 
-def long_pair(baseline: DataFrame, new: DataFrame, cols: list[str]) -> DataFrame:
-    return _long(baseline, cols, "e").unionByName(_long(new, cols, "a"))
-
-
-def _ranges(values: DataFrame) -> DataFrame:
-    return values.groupBy("feature").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.count(F.when(F.col("side") == "e", 1)).alias("n_e"),
-        F.count(F.when(F.col("side") == "a", 1)).alias("n_a"))
-
-
-def _binned(values: DataFrame, ranges: DataFrame, bins: int) -> DataFrame:
-    """Counts per (feature, bin, side) on the joint range, empty bins as 0."""
-    # ranges has one row per feature (bounded by the schema width)
-    v = values.join(F.broadcast(ranges.select("feature", "lo", "hi")), "feature")
-    idx = F.least(F.floor((F.col("value") - F.col("lo")) * F.lit(bins) / (F.col("hi") - F.col("lo"))),
-                  F.lit(bins - 1)).cast("int")
-    counts = v.groupBy("feature", idx.alias("bin")).agg(
-        F.count(F.when(F.col("side") == "e", 1)).alias("c_e"),
-        F.count(F.when(F.col("side") == "a", 1)).alias("c_a"))
-    grid = ranges.select("feature", "n_e", "n_a", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return (grid.join(counts, ["feature", "bin"], "left")
-                .select("feature", "bin", "n_e", "n_a",
-                        F.coalesce("c_e", F.lit(0)).alias("c_e"), F.coalesce("c_a", F.lit(0)).alias("c_a")))
-
-
-def psi_table(values: DataFrame, ranges: DataFrame, bins: int = PSI_BUCKETS) -> DataFrame:
-    """Population stability index per feature."""
-    b = _binned(values, ranges, bins)
-    e = F.least(F.greatest(F.col("c_e") / F.col("n_e"), F.lit(1e-10)), F.lit(1.0))
-    a = F.least(F.greatest(F.col("c_a") / F.col("n_a"), F.lit(1e-10)), F.lit(1.0))
-    return b.groupBy("feature").agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
-
-
-def kl_table(values: DataFrame, ranges: DataFrame, bins: int = KL_BUCKETS) -> DataFrame:
-    """R2: KL(expected || actual) of the binned densities (+1e-10, normalised)."""
-    b = _binned(values, ranges, bins)
-    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    b = b.join(F.broadcast(ranges.select("feature", "lo", "hi")), "feature")
-    b = b.select("feature", (F.col("c_e") / (F.col("n_e") * width) + F.lit(1e-10)).alias("pe"),
-                 (F.col("c_a") / (F.col("n_a") * width) + F.lit(1e-10)).alias("pa"))
-    s = b.groupBy("feature").agg(F.sum("pe").alias("se"), F.sum("pa").alias("sa"),
-                                 F.collect_list(F.struct("pe", "pa")).alias("cells"))
-    # cells: exactly ``bins`` entries per feature
-    term = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + (x["pe"] / F.col("se")) * F.log(
-        (x["pe"] / F.col("se")) / (x["pa"] / F.col("sa"))))
-    return s.select("feature", term.alias("kl_divergence"))
-
-
-def ks_table(values: DataFrame) -> DataFrame:
+def value_counts(baseline: DataFrame, new: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, value, m_e, m_a): how often each value stands on either side,
+    combined in the map tasks. All statistics come from this table."""
+    both = _long(baseline, cols, "e").unionByName(_long(new, cols, "a"))
+    return both.groupBy("feature", "value").agg(
+        F.count(F.when(F.col("side") == "e", 1)).alias("m_e"), F.count(F.when(F.col("side") == "a", 1)).alias("m_a"))
+
+
+def feature_ranges(counts: DataFrame) -> DataFrame:
+    """Joint range and row counts of each feature with enough values on both
+    sides. One row a feature (bounded by the schema), so it may pass through the driver."""
+    rows = counts.groupBy("feature").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("m_e").alias("n_e"), F.sum("m_a").alias("n_a")
+    ).filter((F.col("n_e") >= MIN_VALUES) & (F.col("n_a") >= MIN_VALUES)).collect()
+    return counts.sparkSession.createDataFrame(
+        [tuple(r) for r in rows], "feature string, lo double, hi double, n_e long, n_a long")
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def binned_divergences(counts: DataFrame, ranges: DataFrame) -> DataFrame:
+    """R1 + R2 in one pass: (feature, psi, kl_divergence) of features with a
+    spread. Values are counted in the 20 bins of KL; two of them make a bin of PSI."""
+    idx = F.least(F.floor((F.col("value") - F.col("lo")) * F.lit(KL_BUCKETS) / (F.col("hi") - F.col("lo"))),
+                  F.lit(KL_BUCKETS - 1)).cast("int")
+    spread = ranges.filter(F.col("hi") - F.col("lo") >= MIN_SPREAD)
+    bins = (counts.join(F.broadcast(spread), "feature")
+                  .groupBy("feature", "lo", "hi", "n_e", "n_a", idx.alias("bin"))
+                  .agg(F.sum("m_e").alias("c_e"), F.sum("m_a").alias("c_a")))
+    cells = bins.groupBy("feature", "lo", "hi", "n_e", "n_a").agg(  # at most KL_BUCKETS entries
+        F.map_from_entries(F.collect_list(F.struct("bin", "c_e"))).alias("in_e"),
+        F.map_from_entries(F.collect_list(F.struct("bin", "c_a"))).alias("in_a"))
+
+    def filled(c):
+        return F.transform(F.sequence(F.lit(0), F.lit(KL_BUCKETS - 1)), lambda i: F.coalesce(F.col(c)[i], F.lit(0)))
+
+    def coarse(c, n):
+        step = KL_BUCKETS // PSI_BUCKETS
+        return F.transform(F.sequence(F.lit(0), F.lit(PSI_BUCKETS - 1)), lambda i: F.least(F.greatest(F.aggregate(
+            F.slice(F.col(c), i * step + 1, step), F.lit(0).cast("long"), lambda acc, x: acc + x) / F.col(n), F.lit(1e-10)), F.lit(1.0)))
+
+    width = (F.col("hi") - F.col("lo")) / F.lit(KL_BUCKETS)
+    cells = cells.select("feature", "n_e", "n_a", width.alias("width"), filled("in_e").alias("e"), filled("in_a").alias("a"))
+    cells = cells.select("feature", coarse("e", "n_e").alias("pe"), coarse("a", "n_a").alias("pa"),
+                         F.transform("e", lambda x: x / (F.col("n_e") * F.col("width")) + F.lit(1e-10)).alias("de"),
+                         F.transform("a", lambda x: x / (F.col("n_a") * F.col("width")) + F.lit(1e-10)).alias("da"))
+    cells = cells.withColumns({"se": _total(F.col("de")), "sa": _total(F.col("da"))})
+    psi = _total(F.zip_with("pe", "pa", lambda e, a: (a - e) * F.log(a / e)))
+    kl = _total(F.zip_with("de", "da", lambda e, a: e / F.col("se") * F.log((e / F.col("se")) / (a / F.col("sa")))))
+    return cells.select("feature", psi.alias("psi"), kl.alias("kl_divergence"))
+
+
+def ks_table(counts: DataFrame, ranges: DataFrame) -> DataFrame:
     """Two-sample KS statistic D and asymptotic p-value."""
-    counts = values.groupBy("feature", "value").agg(
-        F.count(F.when(F.col("side") == "e", 1)).alias("m_e"),
-        F.count(F.when(F.col("side") == "a", 1)).alias("m_a"))
-    cum = running_totals(counts, ["feature"], "value", ["m_e", "m_a"])
-    tot = counts.groupBy("feature").agg(F.sum("m_e").alias("n_e"), F.sum("m_a").alias("n_a"))
-    d = (cum.join(F.broadcast(tot), "feature")
+    cum = running_totals(counts.join(F.broadcast(ranges.select("feature")), "feature", "left_semi"), ["feature"], "value",
+                         ["m_e", "m_a"])
+    d = (cum.join(F.broadcast(ranges.select("feature", "n_e", "n_a")), "feature")
             .groupBy("feature", "n_e", "n_a")
             .agg(F.max(F.abs(F.col("cum_m_e") / F.col("n_e") - F.col("cum_m_a") / F.col("n_a")))
                  .alias("ks_statistic")))
@@ -129,16 +131,10 @@ def detect_drift(baseline: DataFrame, new: DataFrame, cols: list[str] | None = N
     """Per feature PSI, KL, KS with flags; features with fewer than 5
     values on a side are skipped; a constant joint range gives PSI = KL = 0."""
     feats = drift_features(baseline, new, cols)
-    # the long table feeds five aggregations: write it once
-    values = materialize(long_pair(baseline, new, feats))
-    ranges = _ranges(values).filter((F.col("n_e") >= MIN_VALUES) & (F.col("n_a") >= MIN_VALUES))
-    spread = ranges.filter(F.col("hi") - F.col("lo") >= 1e-10)
-    kept = values.join(F.broadcast(ranges.select("feature")), "feature", "left_semi")
-    psi = psi_table(kept, spread)
-    kl = kl_table(kept, spread)
-    ks = ks_table(kept)
-    out = (ranges.select("feature").join(psi, "feature", "left").join(kl, "feature", "left")
-                 .join(ks, "feature", "left")
+    counts = stored(value_counts(baseline, new, feats))
+    ranges = feature_ranges(counts)
+    out = (ranges.select("feature").join(F.broadcast(binned_divergences(counts, ranges)), "feature", "left")
+                 .join(F.broadcast(ks_table(counts, ranges)), "feature", "left")
                  .select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"),
                          F.coalesce("kl_divergence", F.lit(0.0)).alias("kl_divergence"),
                          "ks_statistic", "ks_pvalue"))

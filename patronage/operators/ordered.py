@@ -1,12 +1,11 @@
-"""Exact cumulative sums over a value order without a global sort.
+"""Exact cumulative sums over a value order without a global sort, and exact quantiles.
 
 A window ordered over a whole table runs in one task. Instead the distinct
-values of each key are cut into ``n_buckets`` ranges at approximate
-quantiles; bucket totals (keys x buckets rows, a bounded table) give each
-bucket's starting offset, and a window inside each bucket finishes the
-exact running sum. Every window partition holds one bucket of distinct
-values, so a hot value is a single row and the work spreads over
-``keys x buckets`` tasks.
+values of all keys are dealt by range to as many buckets as the session has
+shuffle partitions, so their number grows with the cluster and the input it is
+sized for; bucket totals (at most keys + buckets rows) give each bucket's
+starting offset, and a window inside each bucket finishes the exact running
+sum. A hot value is a single row, and a key with most values spreads over many buckets.
 """
 
 from __future__ import annotations
@@ -18,53 +17,51 @@ from pyspark.sql import functions as F
 
 from patronage.session import stored
 
-DEFAULT_BUCKETS = 64
+PIECES = 64            # of the values that are left between quantile brackets, in each round
 ACCURACY = 10_000      # of the sketch that brackets quantiles
 DRIVER_ROWS = 1 << 16  # values with counts that the driver ranks at the end
 
 
 def running_totals(counts: DataFrame, keys: list[str], order_col: str, measures: list[str],
-                   n_buckets: int = DEFAULT_BUCKETS, descending: bool = False,
+                   n_buckets: int | None = None, descending: bool = False,
                    prefix: str = "cum_") -> DataFrame:
     """``counts`` has one row per (keys, order_col). Adds ``cum_<m>``: the sum
     of ``m`` over rows whose ``order_col`` is <= the row's (>= when
-    ``descending``), the row itself included."""
-    o = F.col(order_col).cast("double")
-    sign = -1.0 if descending else 1.0
-    base = counts.withColumn("__ord", o * F.lit(sign))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    sketch = F.percentile_approx("__ord", probs, 10_000).cast("array<double>").alias("__bounds")
-    if keys:
-        # one row per key; the key set is the (bounded) set of features / groups
-        tagged = base.join(F.broadcast(base.groupBy(*keys).agg(sketch)), keys, "left")
-    else:
-        tagged = base.withColumn("__bounds", base.agg(sketch).scalar())
-    tagged = tagged.withColumn(
-        "__bucket", F.size(F.filter(F.col("__bounds"), lambda b: b < F.col("__ord")))).drop("__bounds")
-    totals = tagged.groupBy(*keys, "__bucket").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
+    ``descending``), the row itself included. ``n_buckets`` defaults to the
+    session's shuffle partitions."""
+    spark = counts.sparkSession
+    n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sign = F.lit(-1.0 if descending else 1.0)
+    # the dealing samples its input: it is written before anything relies on it
+    dealt = stored(counts.withColumn("__ord", F.col(order_col).cast("double") * sign)
+                         .repartitionByRange(n_buckets, *keys, "__ord")
+                         .withColumn("__bucket", F.spark_partition_id()))
+    totals = dealt.groupBy(*keys, "__bucket").agg(*[F.sum(m).alias(f"__t_{m}") for m in measures])
     wk = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__bucket", *[
+    offsets = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__b"), *[
         F.coalesce(F.sum(f"__t_{m}").over(wk), F.lit(0)).alias(f"__o_{m}") for m in measures])
-    joined = tagged.join(F.broadcast(offsets), keys + ["__bucket"], "left")
+    same = F.col("__bucket") == F.col("__b")
+    for i, k in enumerate(keys):  # a null key is a key
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = dealt.join(F.broadcast(offsets), same, "left")
     wb = (Window.partitionBy(*keys, "__bucket").orderBy("__ord")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = joined.select(*counts.columns, *[
+    return joined.select(*counts.columns, *[
         (F.col(f"__o_{m}") + F.sum(m).over(wb)).alias(f"{prefix}{m}") for m in measures])
-    return out
 
 
-def exact_quantiles(df: DataFrame, col: str, ps: list[float], n_buckets: int = DEFAULT_BUCKETS) -> list:
+def exact_quantiles(df: DataFrame, col: str, ps: list[float], n_buckets: int = PIECES) -> list:
     """``column_quantiles`` of one column."""
     return column_quantiles(df, [col], ps, n_buckets=n_buckets)[col]
 
 
-def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int = DEFAULT_BUCKETS):
+def exact_quantile(df: DataFrame, col: str, p: float, n_buckets: int = PIECES):
     """One interpolated quantile as a literal Column."""
     return F.lit(exact_quantiles(df, col, [p], n_buckets)[0])
 
 
 def column_quantiles(df: DataFrame, cols: list[str], ps: list[float], held: bool = False, accuracy: int = ACCURACY,
-                     driver_rows: int = DRIVER_ROWS, n_buckets: int = DEFAULT_BUCKETS) -> dict:
+                     driver_rows: int = DRIVER_ROWS, n_buckets: int = PIECES) -> dict:
     """Exact interpolated quantiles of several columns (pandas / numpy ``linear``, DuckDB
     ``quantile_cont``): {column: [q for p in ps]}; None for a column without values.
 

@@ -56,3 +56,13 @@ def test_column_quantiles_of_many_values_take_few(spark):
     got = column_quantiles(df, ["x", "y"], [0.25, 0.5, 0.75], accuracy=100, driver_rows=50)
     for c in ("x", "y"):
         assert np.allclose(got[c], pdf[c].quantile([0.25, 0.5, 0.75]).to_numpy(), rtol=0, atol=1e-9)
+
+
+def test_running_totals_by_key(spark):
+    """Keys that share buckets, a null key, one key with most values, no rows."""
+    rows = ([("hot", float(i % 40 - 20), i) for i in range(40)] + [("b", 1.5, 3), ("b", -1.5, 4), (None, 2.0, 5), (None, 9.0, 6)])
+    df = spark.createDataFrame(rows, "k string, v double, c long")
+    for n in (None, 1, 5):
+        got = {(r["k"], r["v"]): r["cum_c"] for r in running_totals(df, ["k"], "v", ["c"], n_buckets=n).collect()}
+        assert got == {(k, v): sum(c for k2, v2, c in rows if k2 == k and v2 <= v) for k, v, _ in rows}
+    assert running_totals(df.limit(0), ["k"], "v", ["c"]).count() == 0
