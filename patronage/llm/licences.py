@@ -6,8 +6,9 @@ runs of other characters than letters and digits as one blank) and looked up
 among the known licence sentences; a copyright notice ends with its sentence
 and gives way to them. The sequence of their identifiers is then
 matched against ordered rules, longest first: a rule matches consecutive
-identifiers, copyright lines between them aside, no more than ``MAX_GAP``
-characters apart. A sentence serves one match.
+identifiers, copyright lines between them aside, no more than ``max_gap``
+characters apart (None: any distance). A sentence serves one match. What a rule matches over a
+wider gap only is no licence of the row, but stands in its column ``split``.
 
 Every text is scanned whole. Null and empty texts have no matches; repeated
 rows give equal rows; other columns are not read.
@@ -63,8 +64,42 @@ SENTENCES = {
     "cc-by-sa-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0": "Released under CC0 1.0.",
     "reserved": "All rights reserved.",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "gpl-received": "You should have received a copy of the GNU General Public License along with this program.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "agpl-received": "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "agpl-ref": "Licensed under the GNU Affero General Public License v3.0.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "lgpl-received": "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    "epl2-head": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl1-head": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-ref": "Distributed under the Boost Software License, Version 1.0.",
+    "wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "cc-by-nd": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nd-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-sa-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-nd-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "cc0-long": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
 }
 
+# Identifiers that may follow a licence tag in a source file.
+TAGGED = ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only",
+          "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only",
+          "AGPL-3.0-or-later", "MPL-2.0", "EPL-1.0", "EPL-2.0", "Zlib", "BSL-1.0", "Unlicense", "WTFPL", "CC0-1.0", "CC-BY-4.0",
+          "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0")
+SENTENCES.update({f"tag-{name}": f"SPDX-License-Identifier: {name}" for name in TAGGED})
+
 # Rules, a licence name and its sentences in order.
 RULES = [
     ("MIT", ("mit-grant", "mit-notice", "mit-as-is", "mit-liability")),
@@ -89,6 +124,28 @@ RULES = [
     ("CC-BY-SA-4.0", ("cc-by-sa",)), ("CC-BY-SA-4.0", ("cc-by-sa-long",)),
     ("CC0-1.0", ("cc0",)),
     ("all-rights-reserved", ("reserved",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see", "gpl-received")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-see", "gpl-received")),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-hope", "gpl-see", "gpl-received")),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-hope", "gpl-see")), ("GPL-2.0-only", ("gpl2-only",)),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope", "agpl-see", "agpl-received")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope", "agpl-see")), ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("AGPL-3.0-only", ("agpl-ref",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-see", "lgpl-received")),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-see")), ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "lgpl-hope", "lgpl-see", "lgpl-received")),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "lgpl-hope", "lgpl-see")), ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("EPL-2.0", ("epl2-head",)), ("EPL-1.0", ("epl1-head",)),
+    ("Zlib", ("zlib-as-is", "zlib-liability", "zlib-grant")), ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("boost-ref",)), ("WTFPL", ("wtfpl",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd",)), ("CC-BY-ND-4.0", ("cc-by-nd-long",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-long",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa",)), ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-long",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd",)), ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-long",)),
+    ("CC0-1.0", ("cc0-long",)),
+    *((name, (f"tag-{name}",)) for name in TAGGED),
 ]
 
 # Every known sentence holds one of these (tested), so a text without any has none.
@@ -160,51 +217,62 @@ def sentence_ids(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
-def match_rules(found: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
+@lru_cache(maxsize=1)
+def rules_by_length() -> dict[int, dict[tuple, str]]:
+    out: dict[int, dict] = {}
+    for name, ids in RULES:
+        out.setdefault(len(ids), {})[ids] = name
+    return out
+
+
+def split_matches(found: list, hits: list, max_gap: int | None = MAX_GAP) -> list[tuple[str, int, int]]:
+    """Matches that only a wider gap between sentences would allow."""
+    seq = [s for s in found if s[2] != COPYRIGHT]
+    if max_gap is None or all(b[0] - a[1] <= max_gap for a, b in zip(seq, seq[1:])):
+        return []
+    return [m for m in match_rules(found, None) if m not in set(hits)]
+
+
+def match_rules(found: list[tuple[int, int, str]], max_gap: int | None = MAX_GAP) -> list[tuple[str, int, int]]:
     """(licence, start, end) of the rule matches in a sequence of identifiers."""
     seq = [s for s in found if s[2] != COPYRIGHT]
     free = [True] * len(seq)
     out = []
-    by_first: dict[str, list] = {}
-    for name, ids in sorted(RULES, key=lambda r: -len(r[1])):
-        by_first.setdefault(ids[0], []).append((name, ids))
-    longest = max(len(ids) for _, ids in RULES)
-    for length in range(longest, 0, -1):
+    rules = rules_by_length()
+    for length in sorted(rules, reverse=True):
         for i in range(len(seq) - length + 1):
             part = seq[i: i + length]
             if not all(free[i: i + length]):
                 continue
-            if any(b[0] - a[1] > MAX_GAP for a, b in zip(part, part[1:])):
+            if max_gap is not None and any(b[0] - a[1] > max_gap for a, b in zip(part, part[1:])):
                 continue
-            ids = tuple(p[2] for p in part)
-            for name, rule in by_first.get(ids[0], ()):
-                if rule == ids:
-                    out.append((name, part[0][0], part[-1][1]))
-                    free[i: i + length] = [False] * length
-                    break
+            name = rules[length].get(tuple(p[2] for p in part))
+            if name:
+                out.append((name, part[0][0], part[-1][1]))
+                free[i: i + length] = [False] * length
     return sorted(out, key=lambda m: (m[1], m[2]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_gap: int | None = MAX_GAP) -> DataFrame:
     """doc_id, n_sentences, sentences (id:start:end), n_licences, licences
-    (distinct names in order) and matches (name:start:end) of every row."""
+    (distinct names in order), matches and split matches (name:start:end) of every row."""
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("_text"))
-    names = ["doc_id", "n_sentences", "sentences", "n_licences", "licences", "matches"]
+    names = ["doc_id", "n_sentences", "sentences", "n_licences", "licences", "matches", "split"]
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for t in b.column("_text").to_pylist():
                 found = sentence_ids(t or "")
-                hits = match_rules(found) if found else []
+                hits = match_rules(found, max_gap) if found else []
                 labels = list(dict.fromkeys(h[0] for h in hits))
                 row = (len(found), ",".join(f"{n}:{a}:{z}" for a, z, n in found), len(labels), ",".join(labels),
-                       ",".join(f"{n}:{a}:{z}" for n, a, z in hits))
+                       *(",".join(f"{n}:{a}:{z}" for n, a, z in m) for m in (hits, split_matches(found, hits, max_gap))))
                 for col, v in zip(out, row):
                     col.append(v)
-            types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
+            types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id")] + [pa.array(c, t) for c, t in zip(out, types)], names)
 
     schema = (src.drop("_text").schema.add("n_sentences", "long").add("sentences", "string")
-              .add("n_licences", "long").add("licences", "string").add("matches", "string"))
+              .add("n_licences", "long").add("licences", "string").add("matches", "string").add("split", "string"))
     return src.mapInArrow(run, schema)

@@ -158,6 +158,74 @@ def test_licence_sentences_on_the_line_of_a_copyright():
     assert licences.sentence_ids(text) == [(0, 28, "copyright"), (29, 49, "reserved")]
 
 
+def plain_licences(text):
+    """Names of the sentences in a text and of its licences, by trying every sentence at every word and
+    every rule at every sentence."""
+    words = [m.group() for m in re.finditer(r"[^\W_]+", text.lower())]
+    found = []
+    for name, s in licences.SENTENCES.items():
+        want = re.findall(r"[^\W_]+", s.lower())
+        found += [(i, i + len(want), name) for i in range(len(words)) if words[i: i + len(want)] == want]
+    kept = []
+    for a, z, name in sorted(found, key=lambda f: (f[0] - f[1], f)):
+        if all(z <= b or y <= a for b, y, _ in kept):
+            kept.append((a, z, name))
+    names = [n for _, _, n in sorted(kept)]
+    used, hits = set(), []
+    for length in range(5, 0, -1):
+        for i in range(len(names) - length + 1):
+            for licence, rule in licences.RULES:
+                if len(rule) == length and list(rule) == names[i: i + length] and not used & set(range(i, i + length)):
+                    hits.append((i, licence))
+                    used |= set(range(i, i + length))
+    return names, [n for _, n in sorted(hits)]
+
+
+def test_licence_scan_equals_trying_all(spark):
+    rng = np.random.default_rng(8)
+    s, names, texts = licences.SENTENCES, list(licences.SENTENCES), []
+    noise = ["Nothing to see here.", "The quick brown fox!", "See the file.", "Is this software free?", "It comes as is."]
+    for i in range(300):
+        parts = []
+        for _ in range(int(rng.integers(0, 5))):
+            if rng.random() < 0.5:
+                rule = licences.RULES[rng.integers(len(licences.RULES))][1]
+                parts += [s[n] for n in rule[: int(rng.integers(1, len(rule) + 1))]]
+            else:
+                parts.append(s[names[rng.integers(len(names))]] if rng.random() < 0.5 else noise[rng.integers(len(noise))])
+        texts.append("\n".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licences.scan(docs, max_gap=None).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found, hits = plain_licences(texts[r["doc_id"]])
+        assert [x.split(":")[0] for x in r["sentences"].split(",") if x] == found
+        assert [x.split(":")[0] for x in r["matches"].split(",") if x] == hits and r["split"] == ""
+        assert r["n_licences"] == len(set(hits))
+    assert {n for r in rows for n in r["licences"].split(",") if n} > {"AGPL-3.0-or-later", "LGPL-2.1-or-later", "Zlib", "EPL-2.0"}
+
+
+def test_licence_notices_and_tags():
+    s = licences.SENTENCES
+    name = lambda t: [m[0] for m in licences.match_rules(licences.sentence_ids(t))]
+    assert name("// SPDX-License-Identifier: Apache-2.0\nint x;") == ["Apache-2.0"]
+    assert name("# SPDX-License-Identifier: GPL-2.0-or-later\n") == ["GPL-2.0-or-later"]
+    assert name("SPDX-License-Identifier: Unknown-1.0") == []
+    lgpl = " ".join(s[n] for n in ("lgpl21-free", "lgpl-hope", "lgpl-see", "lgpl-received"))
+    for text in (lgpl, re.sub(r"(.{40,60}) ", r"\1\n", lgpl)):
+        assert name(text) == ["LGPL-2.1-or-later"]
+    for licence, rule in licences.RULES:  # every rule finds its own sentences
+        assert name("\n".join(s[n] for n in rule)) == [licence], rule
+
+
+def test_licence_sentences_far_apart_are_reported():
+    s = licences.SENTENCES
+    found = licences.sentence_ids(s["mit-grant"] + "\n" + "x" * 500 + "\n" + s["mit-notice"])
+    hits = licences.match_rules(found)
+    assert hits == [] and [m[0] for m in licences.split_matches(found, hits)] == ["MIT"]
+    assert [m[0] for m in licences.match_rules(found, 600)] == ["MIT"] and licences.split_matches(found, [], None) == []
+
+
 def test_licence_scan(spark, odd_docs, no_docs, small_docs):
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
              "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
