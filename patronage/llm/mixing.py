@@ -10,8 +10,10 @@ remains: first by the largest sizes down to a window of ``WINDOW`` words and
 exactly inside it; where that is not as near as can be, by the sums of all
 documents left against all that remains, then by the sums of all documents
 against the whole budget. The nearest of these is taken. Sums are held one by
-one up to ``SUMS`` of them, from then on one for each ``SUMS``-th part of the
-budget, each with its exact value; every sum met is compared. Which documents of a size are taken is
+one up to ``sums`` of them, and the fit is as near as any choice could be; from then on
+one is held for each budget / ``sums`` words, with its exact value, every sum met is compared, and what a
+source misses its budget by stays in the order of those words. Each row carries its source's
+``miss``, so a fit that is not exact is seen. Which documents of a size are taken is
 decided by a seeded hash.
 
 Documents never gather by source: they are counted by (source, size, hash
@@ -167,7 +169,7 @@ def nearest(size: np.ndarray, count: np.ndarray, budget: int, sums: int = SUMS)
     return take
 
 
-def fit(size: np.ndarray, count: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
+def fit(size: np.ndarray, count: np.ndarray, budget: int, window: int = WINDOW, sums: int = SUMS) -> np.ndarray:
     """How many documents of each size to take once for a budget of words."""
     total = int((size * count).sum())
     if total <= 0 or budget <= 0:
@@ -183,7 +185,7 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int, window: int = WINDOW)
         miss = abs(budget - int((best * size).sum()))
         if miss <= least_miss(size, count - start, rest):
             continue
-        other = start + nearest(size, count - start, rest)
+        other = start + nearest(size, count - start, rest, sums)
         if abs(budget - int((other * size).sum())) < miss:
             best = other
     return best
@@ -206,9 +208,9 @@ def fill(size: np.ndarray, count: np.ndarray, left: int, window: int) -> np.ndar
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words, repeats counted) of
-    every row, with _k1 and _k2 that name the row and copies, how often it is
+        weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, window: int = WINDOW, sums: int = SUMS) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words, repeats counted) and miss (words that
+    its source's mix is off its rounded target) of every row, with _k1 and _k2 that name the row and copies, how often it is
     taken."""
     rows = store(sizes(docs, id_col, text_col, source_col, seed), "mix-sizes")
     buckets = store(rows.groupBy("skey", "size", "bucket")
@@ -222,9 +224,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", kind="stable")
-        return pdf.assign(extra=fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["rest"].iloc[0])))
+        size, rest = pdf["size"].to_numpy(np.int64), int(pdf["rest"].iloc[0])
+        extra = fit(size, pdf["n"].to_numpy(np.int64), rest, window, sums)
+        return pdf.assign(extra=extra, miss=abs(rest - int((extra * size).sum())))
 
-    schema = "skey long, size long, n long, source_size long, target double, passes long, rest long, extra long"
+    schema = "skey long, size long, n long, source_size long, target double, passes long, rest long, extra long, miss long"
     fitted = (hist.drop("source").join(plan, "skey").groupBy("skey")
                   .applyInPandas(choose, schema).drop("n", "rest"))
     before = F.sum("n").over(Window.partitionBy("skey", "size").orderBy("bucket")
@@ -236,7 +240,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return (rows.join(cuts, ["skey", "size", "bucket"])
                 .withColumn("copies", F.col("passes") + (turn <= F.col("quota")).cast("long"))
                 .select("doc_id", "_k1", "_k2", "size", "source_size", "target",
-                        (F.col("size") * F.col("copies")).alias("taken"), "copies"))
+                        (F.col("size") * F.col("copies")).alias("taken"), "miss", "copies"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

@@ -56,7 +56,7 @@ def op9_topk_search(spark, sf_dir):
 
 def op10_source_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken")
+        "doc_id", "size", "source_size", "target", "taken", "miss")
 
 
 def op11_blockmax_maxscore(spark, sf_dir):

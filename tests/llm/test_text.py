@@ -358,6 +358,7 @@ def test_mix_meets_targets(spark, table):
         assert r["source_size"] == total[s] and abs(r["target"] - want[s]) < 1e-6 * max(1, want[s])
     # ten documents a source in the smallest table leave few sums to choose from
     assert all(abs(taken[s] - want[s]) <= (0.001 if table == "sf0.01" else 0.05) * want[s] + 2 for s in want)
+    assert all(abs(r["miss"] - abs(r["target"] - taken[source[r["doc_id"]]])) <= 0.5 + 1e-6 for r in rows)
     again = mixing.mix(docs.repartition(3)).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in again)
 
