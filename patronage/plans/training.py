@@ -8,8 +8,8 @@ renumbered by descending mean Monetary before the persona names are
 attached (a stated change: the reference names arbitrary cluster ids).
 
 The fitted scoring chain is a single ``PipelineModel``: a SQL stage with
-the learned means and deviations, the vector assembler, the KMeans model
-and a SQL stage with the cluster renumbering, so saving and loading it
+the learned means and deviations, one with the fitted centres
+and one with the cluster renumbering, so saving and loading it
 keeps every fitted number.
 """
 
@@ -73,18 +73,20 @@ def train_personas(features: DataFrame, k: int = K.KMEANS_K, seed: int = K.SEED,
         best_k = int(best["k"])
     # refit on the selected features with the chosen k
     sel = [f"{c}__s" for c in final]
-    km_model, pred = K.kmeans_fit(scaled, sel, best_k, seed, n_init, out="RawCluster")
+    km = K.kmeans_best(scaled, sel, best_k, seed, n_init)
+    km_stage = K.nearest_center_stage(sel, km.centers, "RawCluster")
+    pred = km_stage.transform(scaled)
     means_by = (pred.groupBy("RawCluster").agg(F.avg("Monetary").alias("m")).orderBy(F.desc("m"), "RawCluster")
                 .collect())
     mapping = {int(r["RawCluster"]): i for i, r in enumerate(means_by)}
-    model = PipelineModel(stages=[scaler, *km_model.stages, relabel_stage(mapping)])
+    model = PipelineModel(stages=[scaler, km_stage, relabel_stage(mapping)])
     two_d, _, _, s2 = M.fit_pca(renamed, final, k=2)
     pc2 = M.pca_project(two_d, renamed.select(id_col, *final), 2, s2).select(id_col, "PC1", "PC2")
     personas = attach_persona(model.transform(feats).select(*features.columns, "Cluster")).join(pc2, id_col)
     return {"model": model, "features": final, "dropped": drop, "scale_cols": scale_cols,
             "means": means, "scales": sds, "pca_ratios": ratios, "pca_components": n_pc,
             "comparison": table, "best": best, "k": best_k, "personas": personas,
-            "centers": _ordered(km_model.stages[-1].clusterCenters(), mapping), "mapping": mapping}
+            "centers": _ordered(km.centers, mapping), "mapping": mapping}
 
 
 def _ordered(centers, mapping: dict[int, int]) -> list:
