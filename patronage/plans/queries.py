@@ -66,11 +66,11 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned_m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned lines written once to the checkpoint folder, for queries that
+    """Cleaned lines written once to the checkpoint folder, in columns, for queries that
     run several statistics over them (instead of re-running scan, joins and
     the whole-row distinct for each)."""
-    from patronage.session import materialize
-    return materialize(cleaned(spark, sf_dir))
+    from patronage.session import stored
+    return stored(cleaned(spark, sf_dir))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -905,18 +905,22 @@ def q_kafka_records(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
+    """The stored table of the early half, the features of the whole period, and the time of the update. Both come
+    from lines that are cleaned once, and hold only the columns that a query asks for."""
     ref = F.lit("2001-09-01 00:00:00").cast("timestamp")
-    early, _ = halves(spark, sf_dir)
-    return U.feature_table(early, now=F.lit(None).cast("timestamp")), ref
+    tx = cleaned_m(spark, sf_dir)
+    early = FT.build_customer_features(tx.filter(F.col("InvoiceDate") < time_cut(tx)))
+    return U.feature_table(early, now=F.lit(None).cast("timestamp")), FT.build_customer_features(tx), ref
 
 
 @register("write_clusters")
 def q_write_clusters(spark, sf_dir):
     """The stored feature table (early half) updated with cluster
     numbers (regions) and persona names of all current customers."""
-    table, ref = _stored(spark, sf_dir)
-    assign = PD.attach_persona(feat_seg(spark, sf_dir).select(F.col("CustomerID").alias("customer_id"),
-                                                             F.col("RegionKey").alias("Cluster")), "Cluster")
+    table, current, ref = _stored(spark, sf_dir)
+    regions = current.join(S.customer_segments(spark, sf_dir), "CustomerID", "left")
+    assign = PD.attach_persona(regions.select(F.col("CustomerID").alias("customer_id"),
+                                              F.col("RegionKey").alias("Cluster")), "Cluster")
     out = U.write_clusters(table, assign, key="customer_id", now=ref)
     return out.select("customer_id", "cluster", "persona", ts_text("updated_at").alias("updated_at"))
 
@@ -925,8 +929,9 @@ def q_write_clusters(spark, sf_dir):
 def q_upsert_counts(spark, sf_dir):
     """Inserted and updated customers when the full-period
     features are stored over the early-half table."""
-    table, ref = _stored(spark, sf_dir)
-    merged, counts = U.upsert_features(table, features(spark, sf_dir), now=ref)
+    from patronage.session import stored
+    table, current, ref = _stored(spark, sf_dir)
+    merged, counts = U.upsert_features(stored(table), stored(current), now=ref)
     return counts.withColumn("total", F.lit(merged.count()).cast("long"))
 
 
@@ -1150,9 +1155,10 @@ def q_feature_hash_json(spark, sf_dir):
 @register("existing_and_new")
 def q_existing_and_new(spark, sf_dir):
     """Customers with features, against the stored early half."""
-    table, _ = _stored(spark, sf_dir)
-    known, new = U.existing_and_new(table.select(F.col("customer_id").alias("CustomerID")),
-                                    features(spark, sf_dir).select("CustomerID", "Frequency"))
+    from patronage.session import stored
+    table, current, _ = _stored(spark, sf_dir)
+    known, new = U.existing_and_new(stored(table.select(F.col("customer_id").alias("CustomerID"))),
+                                    stored(current.select("CustomerID", "Frequency")))
     return (known.withColumn("existing", F.lit(True))
                  .unionByName(new.withColumn("existing", F.lit(False))))
 
@@ -1161,9 +1167,9 @@ def q_existing_and_new(spark, sf_dir):
 def q_upsert_values(spark, sf_dir):
     """The merged table itself: new values of customers in the full
     period, stamps kept or set."""
-    table, ref = _stored(spark, sf_dir)
+    table, current, ref = _stored(spark, sf_dir)
     table = table.withColumn("created_at", F.lit("2001-01-01 00:00:00").cast("timestamp"))
-    merged, _ = U.upsert_features(table, features(spark, sf_dir), now=ref)
+    merged, _ = U.upsert_features(table, current, now=ref)
     return merged.select("customer_id", "recency", "frequency", "total_qty", F.round("monetary", 4).alias("monetary"),
                          (F.col("created_at") == F.col("updated_at")).alias("created_now"))
 
@@ -1171,10 +1177,11 @@ def q_upsert_values(spark, sf_dir):
 @register("upsert_incremental")
 def q_upsert_incremental(spark, sf_dir):
     """As upsert_values, on a keyed table that is read and written by touched buckets."""
-    table, ref = _stored(spark, sf_dir)
+    from patronage.session import stored
+    table, current, ref = _stored(spark, sf_dir)
     held = U.stored_features(spark, _scratch(spark, "features"))
     held.write(table.withColumn("created_at", F.lit("2001-01-01 00:00:00").cast("timestamp")), 1)
-    U.upsert_into(held, features(spark, sf_dir), 2, now=ref)
+    U.upsert_into(held, stored(current), 2, now=ref)
     return held.read().select("customer_id", "recency", "frequency", "total_qty", F.round("monetary", 4).alias("monetary"),
                               (F.col("created_at") == F.col("updated_at")).alias("created_now"))
 
