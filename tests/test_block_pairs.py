@@ -72,6 +72,13 @@ def test_grid_cells_equal_single_runs_and_share_the_meetings(spark, monkeypatch)
         assert score == pytest.approx(V.silhouette_score(labelled, ["a", "b"], "label")[0], abs=1e-9)
 
 
+def test_a_point_without_a_place_leaves_the_score_undefined(spark):
+    rows = [(i, float(i % 2) * 9 + i * 0.01) for i in range(12)] + [(12, None)]
+    df = spark.createDataFrame(rows, "id long, a double")
+    got = K.tune_dbscan(df, ["a"], [0.5], [3]).first()
+    assert (got["n_clusters"], got["n_noise"]) == (2, 1) and np.isnan(got["score"])
+
+
 def test_silhouette_groups_are_a_share_of_the_points(spark, monkeypatch):
     monkeypatch.setattr(LL, "MIN_OWN", 8)
     monkeypatch.setattr(LL, "GROUPS", 3)
