@@ -10,15 +10,20 @@ spread of the pairs. ``method`` says which of the two a row comes from.
 A squared distance to a centroid is a sum over features, so a coalition's distance is what
 the customer has in it plus what the background row has outside. Both are matrix products of
 the coalitions with squared differences: the background's once a task, the customers' once a
-block; what is left a customer is an addition and the least of k.
+block. Of two centroids one is nearer if the customer's difference is at most the background row's; so
+once a task the rows' differences are sorted, with the set of rows from each place on as bits. A customer
+takes a binary search a pair of centroids and coalition, not a comparison a row: the sets it finds,
+cut with one another, are the rows for which a centroid is the nearest.
 
 Customers are scored block-wise in ``mapInPandas``; the model (scaler statistics, centroids)
 and the background sample (``n_background`` rows, by hash) are broadcast, so nothing grows with
-the customer count except the number of tasks. Null features count as 0.
+the customer count except the number of tasks, which customers are dealt to in files of
+``TASK_ROWS``. Null features count as 0.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -26,12 +31,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patronage.session import stored
 from patronage.sources.personas import PERSONA_MAP, UNKNOWN
 
 MAX_EXACT_FEATURES = 10
 BACKGROUND = 100
 PAIRS = 64
 BLOCK = 256
+ROWS = 128      # background rows that are sorted together
+STEP = 64       # coalitions of a block of customers met at once
+TASK_ROWS = 4096
 
 
 def _coalition_weights(d: int):
@@ -82,9 +91,25 @@ class Explainer:
             rank = np.argsort(self.walks, axis=1)  # the step at which a feature comes in
             self.masks = (rank[:, None, :] < np.arange(d + 1)[None, :, None]).reshape(-1, d)
         self.inside = self.masks.astype(float)
-        # (coalition, background row, centroid)
         b = self._parts(np.asarray(background, float))
-        self.outside = np.einsum("sj,bjc->sbc", 1 - self.inside, b, optimize=True)
+        self.rows = len(b)
+        self.sorted = [self._sorted(b[at:at + ROWS]) for at in range(0, len(b), ROWS)]
+
+    def _sorted(self, parts: np.ndarray):
+        """Of a group of background rows, by pair of centroids: the differences of each coalition in order, and by place
+        the rows from there on as bits, an array a word; and all rows as bits."""
+        n, words = len(parts), -(-len(parts) // 64)
+        outside = np.einsum("sj,bjc->csb", 1 - self.inside, parts, optimize=True)
+        bit = np.zeros((n, words), np.uint64)
+        bit[np.arange(n), np.arange(n) // 64] = np.uint64(1) << (np.arange(n) % 64).astype(np.uint64)
+        pairs = {}
+        for c, e in itertools.combinations(range(len(self.centers)), 2):
+            gap = outside[e] - outside[c]
+            order = np.argsort(gap, axis=1)
+            sets = np.zeros((words, len(gap), n + 1), np.uint64)
+            sets[:, :, :n] = np.moveaxis(np.bitwise_or.accumulate(bit[order][:, ::-1], axis=1)[:, ::-1], 2, 0)
+            pairs[c, e] = np.take_along_axis(gap, order, axis=1), sets
+        return pairs, np.bitwise_or.reduce(bit, axis=0)
 
     def _parts(self, x: np.ndarray) -> np.ndarray:
         """Squared scaled differences (row, feature, centroid)."""
@@ -95,8 +120,27 @@ class Explainer:
 
     def values(self, x: np.ndarray) -> np.ndarray:
         """v(S) of every coalition (row, coalition)."""
-        own = np.einsum("sj,xjc->xsc", self.inside, self._parts(x), optimize=True)
-        return np.stack([(p[:, None, :] + self.outside).argmin(axis=2).mean(axis=1) for p in own])
+        own = np.ascontiguousarray(np.einsum("sj,xjc->csx", self.inside, self._parts(x), optimize=True))
+        k, width = len(self.centers), len(self.inside)
+        total = np.zeros((width, len(x)))
+        for pairs, every in self.sorted:
+            for at in range(0, width, STEP):
+                end = min(at + STEP, width)
+                nearer = {}
+                for (c, e), (cuts, sets) in pairs.items():
+                    gap = own[c, at:end] - own[e, at:end]
+                    gap[np.isnan(gap)] = -np.inf        # the first centroid, as on ties
+                    places = np.stack([cut.searchsorted(g) for cut, g in zip(cuts[at:end], gap)])
+                    places += np.arange(end - at)[:, None] * sets.shape[2]
+                    nearer[c, e] = [word[at:end].ravel().take(places) for word in sets]
+                for w, full in enumerate(every):
+                    for e in range(1, k):
+                        nearest = np.broadcast_to(full, places.shape)
+                        for c in range(k):
+                            if c != e:
+                                nearest = nearest & (~nearer[c, e][w] if c < e else nearer[e, c][w])
+                        total[at:end] += e * np.bitwise_count(nearest).astype(float)
+        return total.T / self.rows
 
     def explain(self, x: np.ndarray):
         """(contributions, their standard errors, base values) of the rows of ``x``."""
@@ -154,4 +198,5 @@ def explain(features: DataFrame, cols: list[str], mean: list[float], scale: list
               "contributions array<struct<feature:string,importance:double,direction:string,standard_error:double>>, "
               "contribution_sum double, method string, background_rows int")
     data = features.select(id_col, *[F.col(c).cast("double") for c in cols]).na.fill(0.0, subset=cols)
-    return data.mapInPandas(run, schema)
+    # a few large files would make as few tasks of long work
+    return stored(data, TASK_ROWS).mapInPandas(run, schema)

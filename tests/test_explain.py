@@ -48,3 +48,23 @@ def test_fourteen_features_and_nulls(spark):
         assert abs(r["base_value"] + r["contribution_sum"] - r["cluster"]) < 1e-9
         assert all(c["standard_error"] >= 0 for c in r["contributions"])
     assert X.explain(df.limit(0), cols, [0.0] * 14, [1.0] * 14, rng.normal(size=(4, 14)), df).count() == 0
+
+
+def test_many_background_rows_equal_centroids_and_ties():
+    rng = np.random.default_rng(5)
+    d = 5
+    centers = rng.normal(size=(3, d))
+    centers = np.concatenate([centers, centers[1:2]])           # the last is never the first nearest
+    mean, scale, background = np.zeros(d), np.ones(d), rng.normal(size=(300, d))
+    m = X.Explainer(mean, scale, centers, background)
+    x = rng.normal(size=(20, d))
+    v = m.values(x)
+    for row, got in zip(x, v):
+        z = np.where(m.masks[:, None, :], row, background[None])
+        assert np.allclose(got, X._predict(z, mean, scale, centers).mean(axis=1))
+
+
+def test_customers_are_dealt_to_tasks_whatever_wrote_them(spark):
+    df = spark.range(2 * X.TASK_ROWS + 1).selectExpr("id CustomerID", "double(id % 7) a", "double(id % 5) b").coalesce(1)
+    got = X.explain(df, ["a", "b"], [3.0, 2.0], [2.0, 1.0], np.array([[-1.0, 0.0], [1.0, 0.5]]), df)
+    assert len(got.inputFiles()) == 3 and got.count() == 2 * X.TASK_ROWS + 1
