@@ -24,6 +24,7 @@ from patronage.operators import clean as C
 from patronage.operators import cluster as K
 from patronage.operators import features as FT
 from patronage.operators import prep as M
+from patronage.session import stored
 from patronage.sources.personas import attach_persona
 
 
@@ -43,10 +44,11 @@ def relabel_stage(mapping: dict[int, int], raw: str = "RawCluster", col: str = "
 
 
 def prepare(tx: DataFrame, outliers: bool = True) -> DataFrame:
-    """Stages 1-2: clean and (optionally) fence outliers, then features."""
+    """Stages 1-2: clean and (optionally) fence outliers, then features. The cleaned lines are
+    written once for the fences and the features, not joined and made distinct for each."""
     c = C.clean_data(tx)
     if outliers:
-        c = C.handle_outliers(c, C.OUTLIER_COLUMNS)
+        c = C.handle_outliers(stored(c), C.OUTLIER_COLUMNS)
     return FT.build_customer_features(c)
 
 
