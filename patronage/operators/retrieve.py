@@ -29,6 +29,7 @@ MMR_K = 6
 MMR_LAMBDA = 0.7
 EMBED_DIM = 256
 QUERY_BLOCK = 10_000
+MEET = 1024     # queries and items of one matrix product
 # Where chunks may be cut, coarsest first.
 SEPARATORS = ("\n\n", "\n", " ")
 
@@ -163,30 +164,45 @@ def _unit(a: np.ndarray) -> np.ndarray:
 
 
 def _block_topk(bq, k: int):
-    """The k best items of one task for every query of a broadcast block."""
+    """The k best items of one task for every query of a broadcast block. Queries meet items
+    ``MEET`` by ``MEET``, and only pairs at or above a query's k-th best so far are sorted, so a
+    task's memory does not depend on how many queries and items there are."""
+    def better(held, block, x, ids):
+        q, s, i, least = held
+        sims = np.round(block @ x.T, 9)                # 9 digits settle float ties
+        floor = least
+        if len(x) > k and np.isneginf(least).any():
+            ranked = np.where(np.isnan(sims), -np.inf, sims)
+            floor = np.maximum(least, np.partition(ranked, len(x) - k, axis=1)[:, len(x) - k])
+        at, item = np.nonzero(~(sims < floor[:, None]))     # undefined similarities come last
+        if not len(at):
+            return held
+        q, s = np.concatenate([q, at]), np.concatenate([s, sims[at, item]])
+        i = ids[item] if i is None else np.concatenate([i, ids[item]])
+        order = np.lexsort((i, -s, q))
+        q, s, i = q[order], s[order], i[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == k - 1
+        least = least.copy()
+        least[q[last]] = np.where(np.isnan(s[last]), -np.inf, s[last])
+        kept = rank < k
+        return q[kept], s[kept], i[kept], least
+
     def part_topk(it):
         ids_all, Qm = bq.value
-        if not len(ids_all):
-            return
-        best_ids, best_sims = None, None
+        blocks = range(0, len(ids_all), MEET)
+        held = {b: (np.zeros(0, int), np.zeros(0), None, np.full(min(MEET, len(ids_all) - b), -np.inf)) for b in blocks}
         for pdf in it:
-            if pdf.empty:
-                continue
-            X = _unit(np.array([np.asarray(v, dtype=float) for v in pdf["v"]]))
-            S = np.round(Qm @ X.T, 9)                      # queries x rows; 9 digits settle float ties
-            ids = pdf["id"].to_numpy()
-            if best_ids is not None:
-                S = np.concatenate([best_sims, S], axis=1)
-                ids = np.concatenate([best_ids, np.broadcast_to(ids, (len(Qm), len(ids)))], axis=1)
-            else:
-                ids = np.broadcast_to(ids, (len(Qm), len(ids)))
-            order = np.lexsort((ids, -S), axis=1)[:, :k] if S.shape[1] else np.zeros((len(Qm), 0), int)
-            best_sims = np.take_along_axis(S, order, axis=1)
-            best_ids = np.take_along_axis(ids, order, axis=1)
-        if best_ids is None:
-            return
-        yield pd.DataFrame({"qid": np.repeat(ids_all, best_ids.shape[1]),
-                            "id": best_ids.reshape(-1), "similarity": best_sims.reshape(-1)})
+            for at in range(0, len(pdf) if held else 0, MEET):
+                part = pdf.iloc[at:at + MEET]
+                X = _unit(np.array([np.asarray(v, dtype=float) for v in part["v"]]))
+                ids = part["id"].to_numpy()
+                for b in blocks:
+                    held[b] = better(held[b], Qm[b:b + MEET], X, ids)
+        for b in blocks:
+            q, s, i, _ = held[b]
+            if len(q):
+                yield pd.DataFrame({"qid": ids_all[b + q], "id": i, "similarity": s})
 
     return part_topk
 

@@ -76,11 +76,11 @@ class VectorIndex:
 
         def run(it):
             for pdf in it:
-                for at in range(0, len(pdf), 1024):
-                    part = pdf.iloc[at:at + 1024]
+                for at in range(0, len(pdf), 256):
+                    part = pdf.iloc[at:at + 256]
                     q = np.stack([np.asarray(v, dtype=float) for v in part["v"]])
                     cells = np.argsort(half - q @ centers.T, axis=1, kind="stable")[:, :take]
-                    yield part.assign(cells=[c.tolist() for c in cells.astype(np.int32)])
+                    yield part.assign(cells=list(cells.astype(np.int32)))
 
         schema = f"id {dict(queries.dtypes)['id']}, v array<double>, cells array<int>"
         return queries.mapInPandas(run, schema).select("id", "v", F.posexplode("cells").alias("pos", "cell"))

@@ -77,3 +77,25 @@ def test_empty(spark):
     assert VectorIndex(none).probes_for() == 1
     assert VectorIndex(none).search(ask(df, 10), 3, probes=2).count() == 0
     assert VectorIndex(df).search(ask(none, 10), 3, probes=2).count() == 0
+
+
+def test_exact_search_keeps_its_memory_in_bounds():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pandas as pd
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(4000, 4)), rng.normal(size=(3000, 4))
+    x[100:1500] = x[100]                                        # ties are told by id
+    unit = T._unit(q)
+    pages = [pd.DataFrame({"id": ids, "v": list(x[ids])}) for ids in np.array_split(rng.permutation(4000), 2)]
+    tracemalloc.start()
+    got = pd.concat(T._block_topk(SimpleNamespace(value=(np.arange(3000), unit)), 20)(iter(pages)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and len(got) == 3000 * 20
+    for i in range(0, 3000, 500):
+        mine = got[got["qid"] == i]
+        s = np.round(T._unit(x) @ unit[i], 9)
+        want = np.lexsort((np.arange(4000), -s))[:20]
+        assert np.array_equal(mine["id"], want) and np.allclose(mine["similarity"], s[want], atol=2e-9)
