@@ -24,6 +24,7 @@ DEFAULT_CHURN_FEATURES = ["Recency", "Frequency", "Monetary", "AvgBasketSize", "
 TEST_SIZE = 0.3
 SEED = 42
 FOREST = dict(numTrees=200, maxDepth=8, minInstancesPerNode=10)
+FILE_ROWS = 16_384      # rows of a file, so that the trees' work is dealt over all cores
 
 
 def prepare_churn_labels(df: DataFrame, recency="Recency", frequency="Frequency") -> DataFrame:
@@ -69,7 +70,8 @@ def train_churn_model(features: DataFrame, feature_cols: list[str] | None = None
     cols = feature_cols or [c for c in DEFAULT_CHURN_FEATURES if c in features.columns]
     lab = stratified_split(prepare_churn_labels(features), id_col=id_col)
     assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    data = class_weights(assembler.transform(lab).select(id_col, "features", "ChurnLabel", "is_test"))
+    # written once: the forest, the metrics and the rates read it, not the split behind it
+    data = stored(class_weights(assembler.transform(lab).select(id_col, "features", "ChurnLabel", "is_test")), FILE_ROWS)
     train = data.filter(~F.col("is_test"))
     test = data.filter(F.col("is_test"))
     rf = RandomForestClassifier(labelCol="ChurnLabel", featuresCol="features", weightCol="class_weight",
@@ -154,7 +156,8 @@ def predict_churn(model, features: DataFrame, cols: list[str], id_col="CustomerI
     factors = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(float(v)).alias("importance"),
                                  F.lit("positive").alias("direction")) for c, v in imp])
     assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
-    scored = model.transform(assembler.transform(features.na.fill(0.0, subset=cols)))
+    asked = stored(features.select(id_col, *cols).na.fill(0.0, subset=cols), FILE_ROWS)
+    scored = model.transform(assembler.transform(asked))
     p = vector_to_array("probability")[1]
     return scored.select(F.col(id_col).alias("customer_id"), F.round(p, 4).alias("churn_probability"),
                          risk_band(p).alias("churn_risk"), factors.alias("top_factors"))
