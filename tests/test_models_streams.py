@@ -200,3 +200,27 @@ def test_churn_training_runs(spark):
     assert 0 <= m["roc_auc"] <= 1 and imp.count() == len(cols)
     pred = L.predict_churn(model, f, cols).first()
     assert pred["churn_risk"] in ("Low", "Medium", "High") and len(pred["top_factors"]) == 3
+
+
+def test_a_replay_has_a_bounded_number_of_batches(spark, tmp_path):
+    tx = spark.range(60).selectExpr(
+        "concat('INV', id) InvoiceID", "string(id % 7) CustomerID", "timestamp'2024-01-01' + make_dt_interval(int(id)) InvoiceDate",
+        "'A' ProductCategory", "string(id % 5) ProductID", "int(1) Quantity", "2.0D UnitPrice", "0.0D DiscountPct", "'Card' PaymentMethod", "false Returned")
+    where = str(tmp_path / "in")
+    ST.to_messages(tx).repartition(9).write.json(where)
+    assert ST.files_a_batch(spark, where, 3) == 3 and ST.files_a_batch(spark, where, 100) == 1
+    q, ref = ST.start_refresh(ST.read_folder(spark, where, ST.files_a_batch(spark, where, 3)), str(tmp_path / "state"),
+                              str(tmp_path / "out"), str(tmp_path / "ckpt"), buckets=2)
+    q.awaitTermination()
+    assert len(ref._done(spark)) == 3
+    assert ref.latest_features(spark).agg(F.sum("TotalQty").alias("n")).first()["n"] == 60
+
+
+def test_customers_to_score_are_dealt_to_tasks(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.range(2 * L.FILE_ROWS + 1).selectExpr("id CustomerID", "double(id % 7) a", "double(id % 5) b", "int(id % 2) y").coalesce(1)
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df.limit(200))
+    model = RandomForestClassifier(labelCol="y", numTrees=2, maxDepth=2, seed=1).fit(data)
+    got = L.predict_churn(model, df, ["a", "b"])
+    assert len(got.inputFiles()) == 3 and got.count() == 2 * L.FILE_ROWS + 1
