@@ -282,3 +282,16 @@ def test_lattice_rows_that_share_an_id(spark):
     # rows of id 1 link with 2, 5, 5 and with 3; equal ids do not make vectors equal
     assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 1, 1, False),
                    (5, 3, 1, False), (5, 3, 1, False)]
+
+
+def test_exploded_buckets_are_never_broadcast(spark):
+    """A small table exploded to many rows looks small to Spark: it stays off the driver."""
+    from pyspark.sql import functions as F
+
+    from patronage.llm.common import split_buckets
+    rows = spark.range(1000).select(F.col("id").alias("fp"), F.explode(F.expr("sequence(0, 14)")).alias("bucket"))
+    sigs = spark.range(1000).select(F.col("id").alias("fp"), (F.col("id") + 1).alias("sig"))
+    got = split_buckets(rows, "bucket", "fp", 512, payload=sigs)
+    assert got.select("fp", "sig").distinct().count() == 1000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
