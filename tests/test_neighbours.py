@@ -119,3 +119,48 @@ def test_positions_equal_a_sort(spark):
     want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     assert got == {i: k for k, (i, _) in enumerate(want)}
     assert positions(df.limit(0), "v").count() == 0
+
+
+def test_counts_for_density_stop_where_enough(spark, monkeypatch):
+    """DBSCAN needs no whole counts: points with enough neighbours in their block meet no other block."""
+    from patronage.operators.neighbours import Boxes
+    rng = np.random.default_rng(4)
+    spots = rng.normal(size=(60, 3)) * 4
+    x = np.concatenate([np.repeat(spots, 10, axis=0), rng.normal(size=(40, 3)) * 4])
+    df, cols = frame(spark, x)
+    points = K._numbered(df, cols, "id")
+    boxes = Boxes(points, [f"v{i}" for i in range(3)], leaf_rows=16, group=16, visitors=100)
+    pairs = []
+    meet = Boxes.meet
+    monkeypatch.setattr(Boxes, "meet", lambda self, step, schema, p, extra=None: pairs.append(len(p)) or meet(self, step, schema, p, extra))
+    whole = (brute(x)[..., None] <= np.array([0.5, 1.5])).sum(1)
+    for enough in (4, 30):
+        got = {r["n"]: (r["c0"], r["c1"]) for r in boxes.counts([0.5, 1.5], enough).collect()}
+        for i, w in enumerate(whole):
+            assert got[i] == tuple(w) if w[0] < enough else min(got[i]) >= enough and max(got[i][0] - w[0], got[i][1] - w[1]) <= 0
+    pairs.clear()
+    dense, _ = frame(spark, np.repeat(spots, 10, axis=0))
+    K.dbscan(dense, cols, 0.5, 5, leaf_rows=16, group=16, visitors=100).count()
+    assert max(pairs[:1]) < 20 and len(pairs) <= 3     # inside for counts and groups, across for groups
+
+
+def test_cells_of_a_grid_equal_single_runs(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(150, 2)) * 0.4, rng.normal(size=(150, 2)) * 0.4 + 3, rng.uniform(-3, 6, size=(60, 2))])
+    df, cols = frame(spark, x)
+    grid = K.DensityClusters(df, cols, [0.3, 0.6, 0.2], "id", enough=8, leaf_rows=16, group=16, visitors=60)
+    cells = [(e, m) for e in (0.3, 0.6, 0.2) for m in (3, 8)]
+    got = sorted(grid.cells(cells).collect(), key=lambda r: r["id"])
+    for c, (eps, least) in enumerate(cells):
+        near = brute(x) <= eps
+        core = near.sum(1) >= least
+        lab = np.where(core, np.arange(len(x)), len(x))
+        while True:
+            new = np.where(core, np.where(near & core[None], lab[None], len(x)).min(1), len(x))
+            if (new == lab).all():
+                break
+            lab = new
+        want = [int(lab[i]) if core[i] else int(np.where(near[i] & core, lab, len(x)).min()) for i in range(len(x))]
+        assert [len(x) if r[f"l{c}"] is None else r[f"l{c}"] for r in got] == want
+    with pytest.raises(ValueError):
+        grid.cells([(0.3, 9)])
