@@ -105,3 +105,29 @@ def test_stored_tables_clean_the_lines_once(spark, raw_df, monkeypatch, name):
     monkeypatch.setattr(Q.S, "customer_segments", lambda *_: spark.createDataFrame(
         [(f"C{i + 10}", "s", i % 5) for i in range(20)], "CustomerID string, Segment string, RegionKey int"))
     assert Q.QUERIES[name](spark, "").count() > 0 and len(read) == 1
+
+
+def test_blocks_meet_without_a_shuffle_a_pair(spark):
+    """Blocks that meet are read from one exchange by each pair, and their sums come by slices."""
+    from patronage.operators import evaluate as V
+    from patronage.operators.neighbours import blocks_met
+    rows = spark.range(500).select((F.col("id") % 10).cast("int").alias("b"), F.struct(F.col("id").alias("p")).alias("r"))
+    pairs = [(0, 0), (0, 3), (2, 7), (9, 9), (5, 6)]
+    met = blocks_met(rows, 10, 50, pairs, lambda r: [r["p"].alias("p")])
+    assert "CartesianProduct" in met._jdf.queryExecution().executedPlan().toString()
+    got = {(r["b"], r["o"]): (sorted(r["p"]), r["p_o"] and sorted(r["p_o"])) for r in met.collect()}
+    block = lambda k: list(range(k, 500, 10))
+    assert got == {(i, j): (block(i), None if i == j else block(j)) for i, j in pairs}
+    old, V.SLICE = V.SLICE, 7
+    try:
+        x = np.random.default_rng(8).normal(size=(120, 2))
+        g = [None if i % 11 == 0 else i % 3 for i in range(120)]
+        df = spark.createDataFrame([(i, k, *map(float, v)) for i, (k, v) in enumerate(zip(g, x))], "__pid long, g int, a double, b double")
+        got = {(r["pid"], r["other"]): (r["own"], r["dsum"], r["npos"], r["cnt"]) for r in V.pair_sums(df, ["a", "b"], "g", 25).collect()}
+    finally:
+        V.SLICE = old
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert len(got) == 120 * 4
+    for (i, o), (own, total, positive, count) in got.items():
+        of = np.array([k == o for k in g])
+        assert own == g[i] and abs(total - dist[i, of].sum()) < 1e-9 and positive == (dist[i, of] > 0).sum() and count == of.sum()
