@@ -224,3 +224,17 @@ def test_customers_to_score_are_dealt_to_tasks(spark):
     model = RandomForestClassifier(labelCol="y", numTrees=2, maxDepth=2, seed=1).fit(data)
     got = L.predict_churn(model, df, ["a", "b"])
     assert len(got.inputFiles()) == 3 and got.count() == 2 * L.FILE_ROWS + 1
+
+
+def test_a_batch_leaves_no_tables_of_its_own(spark, tmp_path):
+    """What a micro-batch writes on its way is gone when it is done, so that disk grows with the state only."""
+    from patronage.session import ensure_checkpoint_dir
+    kept = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(kept))
+    ref = ST.FeatureRefresher(f"{tmp_path}/state", f"{tmp_path}/out")
+    row = ("INV1", "7", "2024-01-02 03:04:05", "cat", "p1", 2, 3.0, 0.0, "card", False)
+    for b in range(2):
+        ref(spark.createDataFrame([(f"INV{b}", *row[1:]), row], ST.MESSAGE_SCHEMA), b)
+    assert set(os.listdir(kept)) == before
+    got = ref.latest_features(spark).first()
+    assert (got["Frequency"], got["TotalQty"], got["Monetary"]) == (2, 4, 12.0)
